@@ -50,6 +50,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """As ``texts``, for rows that are already chosen."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, repair_store, sos_packing, word_table_bpe
+from . import brown_lm, common, language_id, ordinal_toxicity, quality_gbt, repair_store, sos_packing, word_table_bpe
 
 #: Where the vocabulary files are; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +22,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc_mod(F.col("doc_id"), 7) == 2
+    return brown_lm.score(docs, held_out, *brown_lm.train(docs, ~held_out))
+
+
 def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "token-ids")
     repair_store.write(common.table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end=1)
@@ -31,13 +38,33 @@ def op3_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table_bpe.encode_decode(common.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return ordinal_toxicity.score(docs, ordinal_toxicity.learn(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op6_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sos_packing.pack(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
 
 
+def op8_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality_gbt.judge(docs, quality_gbt.learn(docs, common.table(spark, sf_dir, "labels")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc_mod(F.col("doc_id"), 5) == 0
+    return language_id.predict(docs, language_id.learn(docs, ~held_out), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_lm": op1_brown_lm,
     "op2_repair_ids": op2_repair_ids,
     "op3_word_table_bpe": op3_word_table_bpe,
+    "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op6_sos_packing": op6_sos_packing,
+    "op8_quality_gbt": op8_quality_gbt,
+    "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
