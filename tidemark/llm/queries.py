@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, common, language_id, ordinal_toxicity, quality_gbt, repair_store, sos_packing, word_table_bpe
+from . import brown_lm, common, group_join, language_id, mtree, ordinal_toxicity, quality_gbt, repair_store, sos_packing, warc_store, word_table_bpe
 
 #: Where the vocabulary files are; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
@@ -43,10 +43,20 @@ def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_toxicity.score(docs, ordinal_toxicity.learn(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top(common.table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op6_sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sos_packing.pack(common.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2)
 
 
+def op7_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch(spark, "warc")
+    warc_store.write(common.table(spark, sf_dir, "pages"), folder)
+    return warc_store.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return quality_gbt.judge(docs, quality_gbt.learn(docs, common.table(spark, sf_dir, "labels")))
@@ -58,13 +68,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs, ~held_out), held_out)
 
 
+def op10_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.join(common.table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op2_repair_ids": op2_repair_ids,
     "op3_word_table_bpe": op3_word_table_bpe,
     "op4_ordinal_toxicity": op4_ordinal_toxicity,
+    "op5_mtree": op5_mtree,
     "op6_sos_packing": op6_sos_packing,
+    "op7_warc_store": op7_warc_store,
     "op8_quality_gbt": op8_quality_gbt,
     "op9_language_id": op9_language_id,
+    "op10_group_join": op10_group_join,
 }
 ORACLES: dict[str, str] = {}
