@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import technical  # noqa: F401  each module registers its queries
+from . import clean, technical  # noqa: F401  each module registers its queries
 from .registry import ORACLES, QUERIES, Query
 
 
