@@ -159,6 +159,11 @@ def ema_alpha(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "
     return out.drop("_rn", "_own", "_end")
 
 
+def micros(ts) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone; no session setting counts."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), _c(ts))
+
+
 def rounded(df: DataFrame, *keys: str) -> DataFrame:
     """The keys, and all other columns with doubles rounded to 6 decimals: the form in which results are compared."""
     kinds = dict(df.dtypes)
