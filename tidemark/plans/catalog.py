@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, clean, joins, micro, technical  # noqa: F401  each module registers its queries
+from . import aggregates, clean, cross, joins, micro, technical  # noqa: F401  each module registers its queries
 from .registry import ORACLES, QUERIES, Query
 
 
