@@ -26,7 +26,7 @@ from . import common
 from .tokens import encoder
 
 #: Ids in a shard, rounds of replacement, nonterminals of a round, and the count from which a pair is worth a rule.
-SHARD, ROUNDS, PER_ROUND, LEAST = 1 << 20, 6, 2600, 4
+SHARD, ROUNDS, PER_ROUND, LEAST = 1 << 20, 4, 4000, 4
 MAGIC = b"REPAIR01"
 _schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
@@ -83,16 +83,23 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.arange(base, dtype=np.uint32), *flat]), np.concatenate([[0], np.cumsum(lengths)])
 
 
+def lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """The number of ids that each nonterminal stands for."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, "<u4")
+
+
 def pack(part: int, seq: int, start: int, doc_ids: list, docs: list[np.ndarray], base: int) -> bytes:
     ids = np.concatenate(docs)
     sizes = np.array([len(x) for x in docs], np.int64)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
     symbols, ends, rules = compress(ids, last, base)
-    _, where = expansions(rules, base)
     head = {"part": part, "seq": seq, "start": start, "documents": len(docs), "ids": len(ids), "rules": len(rules), "symbols": len(symbols), "base": base}
     text = json.dumps(head, sort_keys=True).encode()
-    body = [np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), (np.flatnonzero(ends) + 1).astype("<u8"), sizes.astype("<u8"), rules, np.diff(where)[base:].astype("<u4"), symbols]
+    body = [np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), (np.flatnonzero(ends) + 1).astype("<u8"), sizes.astype("<u8"), rules, lengths(rules, base), symbols]
     return MAGIC + struct.pack("<I", len(text)) + text + b"".join(x.tobytes() for x in body)
 
 

@@ -1,50 +1,42 @@
 """Ids of whole texts by a public tokenizer, with a bounded cache of words in each Python worker.
 
 The tokenizer splits at white space before it merges, so the ids of a text are the ids of its words in order. Each
-worker keeps the ids of the words it has seen (two generations, so memory is bounded) and asks the tokenizer only for
-new ones, many at a time.
+worker keeps the ids of the words it has seen, up to ``LIMIT``, and asks the tokenizer only for new ones. Words of
+letters are asked for many at a time: the marks of word ends or starts in the vocabulary tell where each one's ids end.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a generation of the cache.
-GENERATION = 220_000
-PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
-#: Unicode's White_Space property, as the tokenizers' patterns understand \s.
+#: Entries from which a worker's cache is emptied; words that are looked up together.
+LIMIT, TOGETHER = 700_000, 150_000
+PUNCTUATION = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
+#: Unicode's White_Space property, as the tokenizers' patterns understand white space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SEGMENTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_letters = re.compile(rb"[a-z]+")
-_spaced = re.compile(" [A-Za-z]+")
 
 
 class Cache(dict):
-    """Two generations: what is found in the older one moves to the newer one."""
-
-    old: dict = {}
+    """A dict that empties itself when it is full."""
 
     def add(self, key, value):
-        if len(self) >= GENERATION:
-            self.old = dict(self)
+        if len(self) >= LIMIT:
             self.clear()
         self[key] = value
         return value
 
-    def find(self, key):
-        found = self.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.add(key, found)
-        return found
 
+class _Encoder:
+    """The ids of words are those of their core, the letters, and of the marks behind it, which no pattern takes together."""
 
-class WordEncoder:
-    """For a vocabulary with word ends, lower case and white space dropped. Words are split at x20 and x09-x0D."""
+    separator = ""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,152 +46,129 @@ class WordEncoder:
         self.tok.no_padding()
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.ends = np.array([str(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.size)])
-        self.words, self.cores = Cache(), Cache()
+        self.bounds = np.array([self.bound(str(self.tok.id_to_token(i) or "")) for i in range(self.size)])
+        self.words: dict = {}
+        self.cores: dict[str, bytes] = {}
 
     def ask(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def ask_all(self, cores: list[str]) -> None:
+        """Put the ids of words of letters into the cache."""
+        for at in range(0, len(cores), 2000):
+            part = cores[at : at + 2000]
+            ids = np.array(self.tok.encode(self.separator.join(part), add_special_tokens=False).ids, self.kind)
+            cuts = self.cuts(ids)
+            if len(cuts) != len(part) + 1:  # a word that is several to the tokenizer
+                self.cores.update((x, self.ask(x)) for x in part)
+                continue
+            data, size = ids.tobytes(), self.kind.itemsize
+            cuts = (cuts * size).tolist()
+            self.cores.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+
+    def learn(self, keys: list, words: list[str]) -> None:
+        """Put the ids of new words into the cache: those of the core of letters and of the marks behind it, else of the whole."""
+        if len(self.cores) >= LIMIT:
+            self.cores.clear()
+        known, letters = self.cores, self.letters
+        cores = [w.rstrip(PUNCTUATION) for w in words]
+        plain = [letters(c) for c in cores]
+        self.ask_all(list(dict.fromkeys(c for c, ok in zip(cores, plain, strict=True) if ok and c not in known)))
+        for key, word, core, ok in zip(keys, words, cores, plain, strict=True):
+            if not ok:
+                core = word
+            ids = known.get(core)
+            if ids is None:
+                ids = known[core] = self.ask(core)
+            if len(core) != len(word):
+                rest = word[len(core) :]
+                more = known.get(rest)
+                if more is None:
+                    more = known[rest] = self.ask(rest)
+                ids += more
+            self.words[key] = ids
+
+    def together(self, docs: list, sizes) -> list[np.ndarray]:
+        out, start, total = [], 0, 0
+        for k, n in enumerate(sizes):
+            total += n
+            if total > TOGETHER or k == len(docs) - 1:
+                out += self.joined(docs[start : k + 1])
+                start, total = k + 1, 0
+        return out
+
+
+class WordEncoder(_Encoder):
+    """For a vocabulary with word ends, lower case and white space dropped. Words are split at x20 and x09-x0D."""
+
+    separator = " "
+
+    @staticmethod
+    def bound(piece: str) -> bool:
+        return piece.endswith("</w>")
+
+    def cuts(self, ids: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.flatnonzero(self.bounds[ids]) + 1])
+
+    @staticmethod
+    def letters(core: str) -> bool:
+        """Letters only, also after the tokenizer's normal form and lower case."""
+        return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+
     @staticmethod
     def split(text: bytes) -> list[bytes]:
         """Words; ASCII letters in lower case where this cannot meet a combining mark or an added token."""
         safe = b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text
         return (text.lower() if safe else text).split()
 
-    def learn(self, words: list[bytes]) -> None:
-        """Put the ids of new words into the cache. Words of ASCII letters are encoded together: each ends with a word end."""
-        new, cores = [], []
-        for w in words:
-            if self.words.find(w) is None:
-                core = w.rstrip(PUNCTUATION)
-                core = core if core and _letters.fullmatch(core, len(core) - 1) and b"<|" not in w else w
-                new.append((w, core))
-                if _letters.fullmatch(core) and self.cores.find(core) is None:
-                    cores.append(core)
-        fresh: dict[bytes, bytes] = {}
-        for at in range(0, len(cores := list(dict.fromkeys(cores))), 1000):
-            part = cores[at : at + 1000]
-            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.kind)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                fresh.update((x, self.ask(x.decode())) for x in part)
-                continue
-            start = 0
-            for x, stop in zip(part, stops.tolist(), strict=True):
-                fresh[x] = ids[start:stop].tobytes()
-                start = stop
-        self.fresh = fresh
-        for w, core in new:
-            if core is w or core == w:
-                self.words.add(w, self.core(w))
-            else:
-                self.words.add(w, self.core(core) + self.core(w[len(core) :]))
-
-    def core(self, word: bytes) -> bytes:
-        found = self.fresh.get(word)
-        if found is None:
-            found = self.cores.find(word)
-        if found is None:
-            found = self.ask(word.decode())
-        return self.cores.add(word, found)
-
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        out, part, size = [], [], 0
-        for text in texts:
-            part.append(self.split(text))
-            size += len(part[-1])
-            if size > 40_000:
-                out += self.joined(part)
-                part, size = [], 0
-        return out + self.joined(part)
+        docs = [self.split(x) for x in texts]
+        return self.together(docs, map(len, docs))
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of single words, each its own text; many cores are asked for together."""
-        return [x for at in range(0, len(words), 20_000) for x in self.joined([[w] for w in words[at : at + 20_000]])]
+        """Ids of single words, each its own text."""
+        return self.together([[w] for w in words], [1] * len(words))
 
     def joined(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        words = set().union(*docs) if docs else set()
-        self.learn([w for w in words if w not in self.words])
+        if len(self.words) >= LIMIT:
+            self.words.clear()
         known = self.words
-        if not known.old:
-            return [np.frombuffer(b"".join(map(known.__getitem__, d)), self.kind) for d in docs]
-        held = {w: known.get(w) or self.again(w) for w in words}
-        return [np.frombuffer(b"".join(map(held.__getitem__, d)), self.kind) for d in docs]
+        if new := list(set().union(*docs).difference(known)):
+            self.learn(new, b" ".join(new).decode().split(" "))
+        return [np.frombuffer(b"".join(map(known.__getitem__, d)), self.kind) for d in docs]
 
-    def again(self, word: bytes) -> bytes:
-        found = self.words.find(word)
-        return self.ask(word.decode()) if found is None else found
 
-
-class ByteEncoder:
+class ByteEncoder(_Encoder):
     """For a byte-level vocabulary that keeps white space: a text is split into runs of it and words with one space before."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.kind = np.dtype("<u4")
-        self.starts = np.array([str(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(self.size)])
+        super().__init__(path)
         self.added = [str(x.content) for x in self.tok.get_added_tokens_decoder().values()]
-        self.words, self.cores = Cache(), Cache()
 
-    def ask(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    @staticmethod
+    def bound(piece: str) -> bool:
+        return piece.startswith("Ġ")
 
-    def learn(self, segments: list[str]) -> dict[str, bytes]:
-        marks = PUNCTUATION.decode()
-        new, cores, out = [], [], {}
-        for w in segments:
-            if (found := self.words.find(w)) is not None:
-                out[w] = found
-                continue
-            core = w.rstrip(marks)
-            core = core if _spaced.fullmatch(core) else w
-            new.append((w, core))
-            if core is not w or _spaced.fullmatch(core):
-                cores.append(core)
-        fresh: dict[str, bytes] = {}
-        need = [c for c in dict.fromkeys(cores) if self.cores.find(c) is None]
-        for at in range(0, len(need), 1000):
-            part = need[at : at + 1000]
-            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, self.kind)
-            starts = np.flatnonzero(self.starts[ids])
-            if len(starts) != len(part):
-                fresh.update((x, self.ask(x)) for x in part)
-                continue
-            stops = [*starts[1:].tolist(), len(ids)]
-            for x, start, stop in zip(part, starts.tolist(), stops, strict=True):
-                fresh[x] = ids[start:stop].tobytes()
-
-        def core_ids(x: str) -> bytes:
-            found = fresh.get(x)
-            if found is None:
-                found = self.cores.find(x)
-            return self.cores.add(x, self.ask(x) if found is None else found)
-
-        for w, core in new:
-            out[w] = self.words.add(w, core_ids(w) if core == w else core_ids(core) + core_ids(w[len(core) :]))
-        return out
+    def cuts(self, ids: np.ndarray) -> np.ndarray:
+        return np.append(np.flatnonzero(self.bounds[ids]), len(ids))
+
+    @staticmethod
+    def letters(core: str) -> bool:
+        return core[:1] == " " and core[1:].isalpha()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        out, part, size = [], [], 0
-        for text in texts:
-            part.append(text.decode())
-            size += len(text)
-            if size > 250_000:
-                out += self.joined(part)
-                part, size = [], 0
-        return out + self.joined(part)
+        docs = [x.decode() for x in texts]
+        return self.together(docs, (len(x) // 6 for x in docs))
 
     def joined(self, docs: list[str]) -> list[np.ndarray]:
+        if len(self.words) >= LIMIT:
+            self.words.clear()
+        known = self.words
         plain = [not any(x in d for x in self.added) for d in docs]
         split = [SEGMENTS.findall(d) if ok else [] for d, ok in zip(docs, plain, strict=True)]
-        words = set().union(*split) if split else set()
-        held = self.learn(list(words))
-        return [np.frombuffer(b"".join(map(held.__getitem__, s)) if ok else self.ask(d), self.kind) for d, s, ok in zip(docs, split, plain, strict=True)]
+        if new := list(set().union(*split).difference(known)):
+            self.learn(new, new)
+        return [np.frombuffer(b"".join(map(known.__getitem__, s)) if ok else self.ask(d), self.kind) for d, s, ok in zip(docs, split, plain, strict=True)]
 
 
 _encoders: dict[tuple[str, str], object] = {}
