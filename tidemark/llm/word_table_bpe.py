@@ -1,14 +1,16 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-1. Spark splits the texts: each task cuts its documents into blocks, and writes for each block the documents as positions
-   in the block's list of distinct words, and that list, dealt into buckets by a hash of the word.
+1. Spark splits the texts: each task cuts its documents into blocks and deals each block's distinct words into buckets by
+   a hash of the word.
 2. By bucket, the lists of all blocks meet. Each distinct word is encoded once, and every block gets the ids of its words
    back in the order of its list.
-3. By block, documents and ids meet, and ids take the words' places. Decoding looks up the piece of each id in the
-   broadcast vocabulary (its size is the tokenizer's) and joins the pieces as the library does without a decoder.
+3. By block, documents (as ranks of their words by frequency in the block) and ids meet, and ids take the words' places.
+   Decoding looks up the piece of each id in the broadcast vocabulary (its size is the tokenizer's) and joins the pieces
+   as the library does without a decoder.
 
-Texts are shuffled as compressed positions only. A word that occurs anywhere is in a block's list once, so frequent words
-make no bucket hot.
+Texts are split once for the lists and once for the documents, so that only compressed lists, ids and ranks are ever
+written; a checksum of each list proves that both passes cut the same blocks. A word that occurs anywhere is in a block's
+list once, so frequent words make no bucket hot.
 
 Defined results: null text is empty and has no ids; repeated rows are encoded each; an empty table gives no rows.
 """
@@ -30,7 +32,7 @@ from . import common
 from .tokens import encoder
 
 #: Distinct words, and positions, at which a block is closed; documents of one stored row.
-BLOCK_WORDS, BLOCK_POSITIONS, ROW_POSITIONS = 150_000, 6_000_000, 1_000_000
+BLOCK_WORDS, BLOCK_POSITIONS, ROW_POSITIONS = 200_000, 5_000_000, 1_000_000
 _split = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 SPLIT = "block long, bucket int, payload binary"
 _replies = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -51,8 +53,8 @@ def _parts(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def split(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of documents (bucket -1: ids, sizes, positions) and of word lists (bucket >= 0) for each block."""
+def split(docs: DataFrame, buckets: int, lists: bool) -> DataFrame:
+    """For each block its word lists (bucket >= 0), or the ranks of its words (bucket -2) and its documents (bucket -1)."""
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import WordEncoder
@@ -62,55 +64,61 @@ def split(docs: DataFrame, buckets: int) -> DataFrame:
         ids: list = []
         docs: list[np.ndarray] = []
 
-        def number() -> int:
-            return (part << 24) + block
-
-        def documents() -> pa.RecordBatch:
-            null = np.array([x is None for x in ids], "u1")
-            payload = _squeeze(np.array([x or 0 for x in ids], "<i8").tobytes(), null.tobytes(), np.array([len(x) for x in docs], "<u8").tobytes(), np.concatenate(docs).astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
-            ids.clear()
-            docs.clear()
-            return common.record(_split, [[number()], [-1], [payload]])
-
-        def lists() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
+            number = (part << 24) + block
             by: list[list[bytes]] = [[] for _ in range(buckets)]
-            at: list[list[int]] = [[] for _ in range(buckets)]
-            for w, k in words.items():
-                b = zlib.crc32(w) % buckets
-                by[b].append(w)
-                at[b].append(k)
-            words.clear()
-            keep = [b for b in range(buckets) if by[b]]
-            payloads = []
-            for b in keep:
-                order = sorted(range(len(by[b])), key=by[b].__getitem__)
-                payloads.append(_squeeze(b" ".join([by[b][i] for i in order]), np.array([at[b][i] for i in order], "<u4").tobytes()))
-            return common.record(_split, [[number()] * len(keep), keep, payloads])
+            for w in words:
+                by[zlib.crc32(w) % buckets].append(w)
+            for own in by:
+                own.sort()
+            joined = [b" ".join(own) for own in by]
+            if lists:
+                keep = [b for b in range(buckets) if by[b]]
+                yield common.record(_split, [[number] * len(keep), keep, [_squeeze(joined[b]) for b in keep]])
+                return
+            # The place in the lists of each word by falling frequency; documents hold frequency ranks, which are small.
+            place = np.fromiter((words[w] for own in by for w in own), np.int64, len(words))
+            flat = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            at, rank = np.empty(len(words), "<u4"), np.empty(len(words), "<u4")
+            at[place] = np.arange(len(words))
+            rank[often] = np.arange(len(words))
+            crc = np.array([zlib.crc32(x) for x in joined], "<u4")
+            yield common.record(_split, [[number], [-2], [_squeeze(at[often].view("u1").reshape(-1, 4).T.tobytes(), crc.tobytes())]])
+            start = 0
+            while start < len(docs):
+                end, size = start, 0
+                while end < len(docs) and (end == start or size + len(docs[end]) <= ROW_POSITIONS):
+                    size += len(docs[end])
+                    end += 1
+                some = ids[start:end]
+                ranks = rank[np.concatenate(docs[start:end])]
+                yield common.record(_split, [[number], [-1], [_squeeze(np.array([x or 0 for x in some], "<i8").tobytes(), np.array([x is None for x in some], "u1").tobytes(), np.array([len(x) for x in docs[start:end]], "<u8").tobytes(), ranks.view("u1").reshape(-1, 4).T.tobytes())]])
+                start = end
 
         for batch in rows:
             for doc_id, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
                 found = WordEncoder.split(text)
-                for w in set(found).difference(words):
+                for w in sorted(set(found).difference(words)):
                     words[w] = len(words)
-                ids.append(doc_id)
-                docs.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                if not lists:
+                    ids.append(doc_id)
+                    docs.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 held += len(found)
-                if held >= ROW_POSITIONS or len(words) >= BLOCK_WORDS:
-                    yield documents()
-                    total, held = held, 0
-                    if len(words) >= BLOCK_WORDS or total >= BLOCK_POSITIONS:
-                        yield lists()
-                        block += 1
-        if docs:
-            yield documents()
-        if words:
-            yield lists()
+                if held >= BLOCK_POSITIONS or len(words) >= BLOCK_WORDS:
+                    yield from close()
+                    block, held = block + 1, 0
+                    words.clear()
+                    ids.clear()
+                    docs.clear()
+        if words or docs:
+            yield from close()
 
     return common.texts(docs).mapInArrow(task, SPLIT)
 
 
 def encode_lists(lists: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
-    """Each bucket's distinct words are encoded once; a row for each block and bucket: positions, id counts, ids."""
+    """Each bucket's distinct words are encoded once; a row for each block and bucket: id counts, ids, the list's checksum."""
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known, bucket = encoder("word", vocabulary), {}, None
@@ -119,13 +127,13 @@ def encode_lists(lists: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
             for block, b, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if b != bucket:
                     known, bucket = {}, b  # rows are sorted by bucket
-                words, at = _parts(payload)
-                words = words.split(b" ")
+                (joined,) = _parts(payload)
+                words = joined.split(b" ")
                 if new := [w for w in words if w not in known]:
                     known.update(zip(new, (x.tobytes() for x in tok.encode_words(new)), strict=True))
                 ids = [known[w] for w in words]
                 counts = np.array([len(x) for x in ids], np.int64) // tok.kind.itemsize
-                out.append((block, b, _squeeze(at, counts.astype("<u4").tobytes(), b"".join(ids))))
+                out.append((block, b, _squeeze(counts.astype("<u4").tobytes(), b"".join(ids), np.array([zlib.crc32(joined)], "<u4").tobytes())))
             yield common.record(_replies, list(zip(*out)) if out else [[]] * 3)
 
     dealt = lists.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
@@ -143,22 +151,27 @@ def assemble(documents: DataFrame, replies: DataFrame, vocabulary: str, out: str
         decimals = [b"%d" % i for i in range(tok.size)]
         block, lists, ready = None, [], None
 
-        def table() -> tuple:
-            """For each position of the block's list: count of ids, and the ids in decimal and as pieces, joined by spaces."""
-            n = sum(len(x[0]) for x in lists)
-            count, numbers, names, raw = np.zeros(n, np.int64), [b""] * n, [b""] * n, [()] * n
-            for at, sizes, ids in lists:
-                start = 0
-                count[at] = sizes
-                ids = ids.tolist()
-                for k, size in zip(at.tolist(), sizes.tolist(), strict=True):
-                    own = ids[start : start + size]
+        def table(order: bytes, sums: bytes) -> tuple:
+            """For each rank: count of ids, and the ids in decimal and as pieces, joined by spaces."""
+            crc = {b: int(c) for b, c in enumerate(np.frombuffer(sums, "<u4"))}
+            numbers, names, raw, counts = [], [], [], []
+            for b, sizes, ids, own in lists:
+                if crc.pop(b) != own:
+                    raise ValueError("the documents were read in another order than their words")
+                start, ids = 0, ids.tolist()
+                counts.append(sizes)
+                for size in sizes.tolist():
+                    some = ids[start : start + size]
                     start += size
-                    numbers[k] = b" ".join([decimals[i] for i in own])
-                    names[k] = b" ".join([pieces[i] for i in own])
+                    numbers.append(b" ".join([decimals[i] for i in some]))
+                    names.append(b" ".join([pieces[i] for i in some]))
                     if not digests:
-                        raw[k] = own
-            return count, numbers, names, raw
+                        raw.append(some)
+            if any(c != zlib.crc32(b"") for c in crc.values()):
+                raise ValueError("a list of words is missing")
+            at = np.frombuffer(order, "u1").reshape(4, -1).T.copy().view("<u4")[:, 0].tolist() if order else []
+            count = np.concatenate(counts)[at] if at else np.zeros(0, np.int64)
+            return count, [numbers[k] for k in at], [names[k] for k in at], [raw[k] for k in at] if raw else raw
 
         for batch in rows:
             got: list[tuple] = []
@@ -167,10 +180,11 @@ def assemble(documents: DataFrame, replies: DataFrame, vocabulary: str, out: str
                     block, lists, ready = b, [], None
                 parts = _parts(payload)
                 if bucket >= 0:
-                    lists.append((np.frombuffer(parts[0], "<u4"), np.frombuffer(parts[1], "<u4").astype(np.int64), np.frombuffer(parts[2], tok.kind)))
+                    lists.append((bucket, np.frombuffer(parts[0], "<u4").astype(np.int64), np.frombuffer(parts[1], tok.kind), int(np.frombuffer(parts[2], "<u4")[0])))
+                    continue
+                if bucket == -2:
+                    ready, lists = table(*parts), []
                     continue
-                if ready is None:
-                    ready, lists = table(), []
                 count, numbers, names, raw = ready
                 holes = bool((count == 0).any())
                 sizes = np.frombuffer(parts[2], "<u8").astype(np.int64)
@@ -197,7 +211,6 @@ def assemble(documents: DataFrame, replies: DataFrame, vocabulary: str, out: str
 def encode_decode(docs: DataFrame, vocabulary: str, out: str = DIGESTS, buckets: int | None = None) -> DataFrame:
     """Ids and decoded text of every document, or (the default) their counts and digests."""
     spark = docs.sparkSession
-    buckets = buckets or 2 * common.partitions(spark)
-    stored = common.cut(split(docs, buckets), "word-lists")
-    replies = encode_lists(stored.where("bucket >= 0"), vocabulary, buckets)
-    return assemble(stored.where("bucket < 0"), replies, vocabulary, out)
+    buckets = buckets or common.partitions(spark)
+    replies = encode_lists(split(docs, buckets, lists=True), vocabulary, buckets)
+    return assemble(split(docs, buckets, lists=False), replies, vocabulary, out)
