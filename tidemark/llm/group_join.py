@@ -4,8 +4,9 @@
 2. A set's n-grams are ordered by a count sketch of the corpus, the rarest first (ties by hash, so all tasks agree). Two
    sets of the wanted similarity share an n-gram of their prefixes, and their sizes differ by no more than the threshold.
 3. Classes with the same prefix and size are one group. By prefix n-gram, groups meet in order of size; a gap in the
-   sizes wider than the threshold parts them, else they are joined to the smallest group of their stretch: one edge
-   for each row, never all pairs. The components of these edges hold every pair of groups that passes the filters.
+   sizes wider than the threshold parts them into stretches. In a stretch of at most ``SHORT`` groups each pair is a
+   candidate if its sizes and its parity marks allow the similarity; the groups of a longer one are all joined to its
+   smallest: one edge for each row, never all pairs. The components of these edges hold every pair that passes the filters.
 4. Groups expand to their classes. The sets of a component (or, if it is large, of blocks of it by size) meet in one tile,
    where overlaps are counted and pairs verified exactly. A tile returns one row for each class: its links and its root.
 5. Components over tiles give the component of each class, and so of each document.
@@ -36,8 +37,10 @@ BLOCK_GRAMS, BLOCK_CLASSES = 1_000_000, 1000
 BROADCAST_ROWS = 1_000_000
 #: Nodes of classes without an id are numbered from here.
 NO_ID = 1 << 62
-SETS = "doc_id long, text_key long, size int, digest binary, prefix binary"
-_sets = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int32()), ("digest", pa.binary()), ("prefix", pa.binary())])
+#: Groups of a stretch up to which its pairs are filtered one by one, a fixed multiple of its rows.
+SHORT = 16
+SETS = "doc_id long, text_key long, size int, digest binary, prefix binary, mark binary"
+_sets = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int32()), ("digest", pa.binary()), ("prefix", pa.binary()), ("mark", pa.binary())])
 _mix = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x7FB5D329728EA185)]
 
 
@@ -73,6 +76,25 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1
 
 
+def parity_mark(g: np.ndarray) -> bytes:
+    """One bit for each cell of a table about as large as the set: whether an odd number of its n-grams fall there."""
+    cells = 64
+    while cells < len(g):
+        cells *= 2
+    return np.packbits((np.bincount((g & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At least so many n-grams are in one of the sets only: marks of a symmetric difference are the xor of both marks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):  # half a table is the xor of its halves
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How many documents hold n-grams of each counter, as eighths of a power of two (one byte). Its size is fixed."""
     schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
@@ -116,18 +138,19 @@ def sets(docs: DataFrame, counters: np.ndarray, n: int, percent: int) -> DataFra
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
         for batch in rows:
-            size, digest, prefix = [], [], []
+            size, digest, prefix, mark = [], [], [], []
             for text in common.as_bytes(batch.column(1)):
                 g = grams(text, n)
                 size.append(len(g))
                 digest.append(xxhash.xxh3_128_digest(g.tobytes()))
+                mark.append(parity_mark(g))
                 p = prefix_length(len(g), percent) if len(g) else 0
                 order = rare[(g >> np.uint64(64 - SKETCH)).astype(np.int64)]
                 if p and p < len(g):
                     # g is sorted, so a stable sort by the counter orders ties by hash.
                     g = g[np.argsort(order, kind="stable")[:p]]
                 prefix.append(g[:p].tobytes())
-            yield common.record(_sets, [batch.column(0), batch.column(2), size, digest, prefix])
+            yield common.record(_sets, [batch.column(0), batch.column(2), size, digest, prefix, mark])
 
     return common.texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(task, SETS)
 
@@ -135,8 +158,8 @@ def sets(docs: DataFrame, counters: np.ndarray, n: int, percent: int) -> DataFra
 def classes_of(found: DataFrame) -> DataFrame:
     """A row for each distinct set: node (its least id), copies, the row that stands for it, its group, its prefix."""
     node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("digest", "size"), F.lit(NO_ID - 1)))
-    rows = found.where("size > 0").groupBy("size", "digest").agg(node.alias("node"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"), F.first("prefix").alias("prefix"))
-    return rows.select("node", "size", "digest", "copies", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), F.xxhash64("prefix", "size").alias("group"), "prefix")
+    rows = found.where("size > 0").groupBy("size", "digest").agg(node.alias("node"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
+    return rows.select("node", "size", "digest", "copies", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), F.xxhash64("prefix", "size").alias("group"), "prefix", "mark")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -149,16 +172,34 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             times = [len(x) for x in each]
             yield common.record(schema, [np.concatenate(each) if each else [], np.repeat(batch.column(0).to_numpy(), times), np.repeat(batch.column(1).to_numpy(), times)])
 
-    groups = classes.groupBy("group", "size").agg(F.first("prefix").alias("prefix"))
-    rows = groups.mapInArrow(task, "gram long, group long, size int")
     from pyspark.sql.window import Window
 
+    # A group of several classes has no mark of its own, so none of its pairs is ruled out by marks.
+    groups = classes.groupBy("group", "size").agg(F.first("prefix").alias("prefix"), F.when(F.count("*") == 1, F.first("mark")).alias("mark"))
+    rows = groups.mapInArrow(task, "gram long, group long, size int")
     by = Window.partitionBy("gram").orderBy("size", "group")
     before = F.lag("size").over(by)
-    # The last group that is too small for the next one ends a stretch; all later groups are too large for it.
+    # A group that is too large for the one before starts a stretch; all later groups are too large for that one as well.
     starts = rows.withColumn("first", F.when(before.isNull() | (before * 100 < F.col("size") * percent), F.col("group")))
     stretch = starts.withColumn("b", F.last("first", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return stretch.where(F.col("group") != F.col("b")).select(F.col("group").alias("a"), "b").distinct()
+    counted = common.cut(stretch.withColumn("n", F.count("*").over(Window.partitionBy("gram", "b"))).where("n > 1").select("gram", "group", "b", "n"), "stretches")
+    long = counted.where(F.col("n") > SHORT).where(F.col("group") != F.col("b")).select(F.col("group").alias("a"), "b").distinct()
+    each = counted.where(F.col("n") <= SHORT).groupBy("gram", "b").agg(F.collect_list("group").alias("gs")).select("gs")
+    pair = F.explode(F.flatten(F.transform("gs", lambda x: F.transform(F.filter("gs", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
+    pairs = each.select(pair.alias("p")).select("p.a", "p.b").distinct()
+    marks = groups.select("group", "size", "mark")
+    met = pairs.join(marks.select(F.col("group").alias("a"), F.col("size").alias("sa"), F.col("mark").alias("ma")), "a").join(marks.select(F.col("group").alias("b"), F.col("size").alias("sb"), F.col("mark").alias("mb")), "b").select("a", "b", "sa", "sb", "ma", "mb")
+    edges = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for sa, sb, ma, mb in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                fits = 100 * min(sa, sb) >= percent * max(sa, sb)
+                keep.append(fits and (ma is None or mb is None or (100 + percent) * apart(ma, mb) <= (100 - percent) * (sa + sb)))
+            yield common.record(edges, [batch.column(0), batch.column(1)]).filter(pa.array(keep, pa.bool_()))
+
+    return long.unionByName(met.mapInArrow(near, "a long, b long"))
 
 
 def tiles(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
