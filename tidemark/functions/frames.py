@@ -164,7 +164,10 @@ def micros(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), _c(ts))
 
 
-def rounded(df: DataFrame, *keys: str) -> DataFrame:
-    """The keys, and all other columns with doubles rounded to 6 decimals: the form in which results are compared."""
+def rounded(df: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
+    """The keys, and all other columns with doubles rounded: the form in which results are compared.
+
+    Prices over quantities end after 7 decimals, often with a 5 that engines round differently; 8 digits keep them whole.
+    """
     kinds = dict(df.dtypes)
-    return df.select(*keys, *(F.round(F.col(c), 6).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns if c not in keys))
+    return df.select(*keys, *(F.round(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns if c not in keys))

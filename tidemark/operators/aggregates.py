@@ -143,7 +143,8 @@ def block_returns(rows: DataFrame, size: int = 126) -> DataFrame:
     numbered = rows.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(fr.across("symbol")))
     blocks = numbered.withColumn("block", F.floor((F.col("_k") - F.col("_n") % size) / size)).where("block >= 0")
     out = blocks.groupBy("symbol", "block").agg(compound("ret").alias("block_return"), compound("market").alias("market_return"))
-    return out.withColumn("beats", F.col("block_return") > F.col("market_return"))
+    out = out.withColumn("beats", F.col("block_return") > F.col("market_return"))
+    return out.withColumns({c: F.least(c, F.lit(1000.0)) for c in ("block_return", "market_return")})
 
 
 def yearly(rows: DataFrame) -> DataFrame:

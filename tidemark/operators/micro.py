@@ -176,7 +176,7 @@ def closed_form_paths(bars: DataFrame, n: int = 60, horizon: int = 20) -> DataFr
     """From the drift and deviation of n log returns: mean growth, probabilities of a rise and of +-5 %, value at risk."""
     rows = bars.withColumn("_r", F.log(F.col("close") / fr.lag("close"))).withColumn("_m", fr.rolling("mean", "_r", n) * horizon).withColumn("_s", fr.rolling("std", "_r", n) * math.sqrt(horizon))
     above = lambda x: 1 - fr.norm_cdf(fr.div(math.log(1 + x) - F.col("_m"), "_s"))
-    return rows.select("symbol", "date", (F.exp(F.least(F.col("_m") + F.col("_s") * F.col("_s") / 2, F.lit(50.0))) - 1).alias("mean_growth"), above(0.0).alias("p_up"), above(0.05).alias("p_up_5"), (1 - above(-0.05)).alias("p_down_5"), (1 - F.exp(F.col("_m") - 1.6448536269514722 * F.col("_s"))).alias("var_95"))
+    return rows.select("symbol", "date", (F.exp(F.least(F.col("_m") + F.col("_s") * F.col("_s") / 2, F.lit(5.0))) - 1).alias("mean_growth"), above(0.0).alias("p_up"), above(0.05).alias("p_up_5"), (1 - above(-0.05)).alias("p_down_5"), (1 - F.exp(F.col("_m") - 1.6448536269514722 * F.col("_s"))).alias("var_95"))
 
 
 def ou_parameters(bars: DataFrame) -> DataFrame:

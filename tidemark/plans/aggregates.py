@@ -9,13 +9,13 @@ from ..operators import aggregates as a
 
 from ..sources import market as m
 from .registry import query, sql
-from .technical import last, r, roll
+from .technical import last, r, r8, roll
 
 
 @query("A1_resample", sql("bars", f""", p AS (SELECT symbol, CAST(date_trunc('month', date) AS DATE) AS period, first(open ORDER BY date) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY date) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)
-SELECT symbol, period, {r(open='open', high='high', low='low', close='close', volume='volume', ret='close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY period), 0) - 1')} FROM p"""))
+SELECT symbol, period, {r8(open='open', high='high', low='low', close='close', volume='volume', ret='close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY period), 0) - 1')} FROM p"""))
 def resample(spark, sf_dir):
-    return rounded(a.resample(m.daily_bars(spark, sf_dir)), "symbol", "period")
+    return rounded(a.resample(m.daily_bars(spark, sf_dir)), "symbol", "period", digits=8)
 
 
 @query("A2_order_flow", sql("trades", f""", b AS (SELECT symbol, time_bucket(INTERVAL 1 DAY, ts) AS bucket, sum(side * volume) AS ofi, count(*) AS n_trades FROM trades GROUP BY 1, 2)
@@ -154,7 +154,7 @@ def positions(spark, sf_dir):
 
 @query("A25_block_returns", sql("rets", """, k AS (SELECT symbol, date, ret, avg(ret) OVER (PARTITION BY date) AS market, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM rets),
 b AS (SELECT *, CAST(floor((k - n % 20) / 20.0) AS BIGINT) AS block FROM k WHERE k - n % 20 >= 0), c AS (SELECT symbol, block, exp(sum(ln(1 + greatest(coalesce(ret, 0.0), -0.999999)))) - 1 AS r, exp(sum(ln(1 + greatest(coalesce(market, 0.0), -0.999999)))) - 1 AS mr FROM b GROUP BY 1, 2)
-SELECT symbol, block, round(r, 6) AS block_return, round(mr, 6) AS market_return, r > mr AS beats FROM c"""))
+SELECT symbol, block, round(least(r, 1000.0), 6) AS block_return, round(least(mr, 1000.0), 6) AS market_return, r > mr AS beats FROM c"""))
 def block_returns(spark, sf_dir):
     from ..functions.frames import across
 

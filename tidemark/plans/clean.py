@@ -8,7 +8,7 @@ from ..functions.frames import rounded
 from ..operators import clean as c
 from ..sources import market as m
 from .registry import query, sql
-from .technical import W, r
+from .technical import W, r, r8
 
 
 def gaps(spark, sf_dir):
@@ -22,33 +22,33 @@ def gaps(spark, sf_dir):
 GAPS = f"gaps AS (SELECT symbol, date, open, high, low, CASE WHEN rn % 7 <> 0 THEN close END AS close, CASE WHEN rn % 5 <> 0 THEN volume END AS volume FROM (SELECT *, row_number() OVER w AS rn FROM bars {W}))"
 
 
-@query("C1_keep_last", sql("ticks", "SELECT symbol, date, round(price, 6) AS price FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, quantity DESC) = 1"))
+@query("C1_keep_last", sql("ticks", "SELECT symbol, date, round(price, 8) AS price FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC, quantity DESC) = 1"))
 def keep_last(spark, sf_dir):
-    return rounded(c.keep_last(m.ticks(spark, sf_dir), ["symbol", "date"], F.desc("place")).select("symbol", "date", "price"), "symbol", "date")
+    return rounded(c.keep_last(m.ticks(spark, sf_dir), ["symbol", "date"], F.desc("place")).select("symbol", "date", "price"), "symbol", "date", digits=8)
 
 
 @query("C2_robust_clip", sql("bars", """, md AS (SELECT symbol, median(close) AS md FROM bars GROUP BY symbol), d AS (SELECT symbol, median(abs(close - md)) AS d FROM bars JOIN md USING (symbol) GROUP BY symbol)
-SELECT symbol, date, round(CASE WHEN d > 0 THEN least(greatest(close, md - 6.0 * 1.4826 * d), md + 6.0 * 1.4826 * d) ELSE close END, 6) AS close FROM bars JOIN md USING (symbol) JOIN d USING (symbol)"""))
+SELECT symbol, date, round(CASE WHEN d > 0 THEN least(greatest(close, md - 6.0 * 1.4826 * d), md + 6.0 * 1.4826 * d) ELSE close END, 8) AS close FROM bars JOIN md USING (symbol) JOIN d USING (symbol)"""))
 def robust_clip(spark, sf_dir):
-    return rounded(c.robust_clip(m.daily_bars(spark, sf_dir), ("close",)).select("symbol", "date", "close"), "symbol", "date")
+    return rounded(c.robust_clip(m.daily_bars(spark, sf_dir), ("close",)).select("symbol", "date", "close"), "symbol", "date", digits=8)
 
 
 @query("C3_winsorize", sql("bars", """, q AS (SELECT symbol, quantile_cont(close, 0.01) AS a, quantile_cont(close, 0.99) AS b FROM bars GROUP BY symbol)
-SELECT symbol, date, round(least(greatest(close, a), b), 6) AS close FROM bars JOIN q USING (symbol)"""))
+SELECT symbol, date, round(least(greatest(close, a), b), 8) AS close FROM bars JOIN q USING (symbol)"""))
 def winsorize(spark, sf_dir):
-    return rounded(c.winsorize(m.daily_bars(spark, sf_dir), "close", 0.01, 0.99).select("symbol", "date", "close"), "symbol", "date")
+    return rounded(c.winsorize(m.daily_bars(spark, sf_dir), "close", 0.01, 0.99).select("symbol", "date", "close"), "symbol", "date", digits=8)
 
 
-@query("C4_enforce_ohlc", sql("bars", f", a AS (SELECT symbol, date, close AS open, high * 0.9 AS high, low * 1.1 AS low, open AS close FROM bars) SELECT symbol, date, {r(high='greatest(high, open, close)', low='least(low, open, close)')} FROM a"))
+@query("C4_enforce_ohlc", sql("bars", f", a AS (SELECT symbol, date, close AS open, high * 0.9 AS high, low * 1.1 AS low, open AS close FROM bars) SELECT symbol, date, {r8(high='greatest(high, open, close)', low='least(low, open, close)')} FROM a"))
 def enforce_ohlc(spark, sf_dir):
     bars = m.daily_bars(spark, sf_dir).select("symbol", "date", F.col("close").alias("open"), (F.col("high") * 0.9).alias("high"), (F.col("low") * 1.1).alias("low"), F.col("open").alias("close"))
-    return rounded(c.enforce_ohlc(bars).select("symbol", "date", "high", "low"), "symbol", "date")
+    return rounded(c.enforce_ohlc(bars).select("symbol", "date", "high", "low"), "symbol", "date", digits=8)
 
 
 @query("C5_fill", sql("bars", f""", {GAPS}, a AS (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS x FROM gaps)
-SELECT symbol, date, round(first_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), 6) AS close FROM a"""))
+SELECT symbol, date, round(first_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), 8) AS close FROM a"""))
 def fill(spark, sf_dir):
-    return rounded(c.fill(gaps(spark, sf_dir), ("close",)).select("symbol", "date", "close"), "symbol", "date")
+    return rounded(c.fill(gaps(spark, sf_dir), ("close",)).select("symbol", "date", "close"), "symbol", "date", digits=8)
 
 
 @query("C6_fill_volume", sql("bars", f", {GAPS} SELECT symbol, date, round(coalesce(volume, quantile_cont(volume, 0.5) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0.0), 6) AS volume FROM gaps"))
@@ -81,10 +81,10 @@ def deduplicate_titles(spark, sf_dir):
     return c.deduplicate_titles(m.articles(spark, sf_dir)).select("id", "title_key")
 
 
-@query("C12_latest_fold", sql("bars", ", f AS (SELECT symbol, date, close, fold FROM bars, range(0, 3) AS r(fold) WHERE (symbol + day(date) + fold) % 2 = 0) SELECT symbol, date, CAST(fold AS INTEGER) AS fold, round(close, 6) AS close FROM f QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY fold DESC) = 1"))
+@query("C12_latest_fold", sql("bars", ", f AS (SELECT symbol, date, close, fold FROM bars, range(0, 3) AS r(fold) WHERE (symbol + day(date) + fold) % 2 = 0) SELECT symbol, date, CAST(fold AS INTEGER) AS fold, round(close, 8) AS close FROM f QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY fold DESC) = 1"))
 def latest_fold(spark, sf_dir):
     folds = m.daily_bars(spark, sf_dir).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2)))).where((F.col("symbol") + F.dayofmonth("date") + F.col("fold")) % 2 == 0)
-    return rounded(c.keep_last(folds, ["symbol", "date"], F.desc("fold")).select("symbol", "date", "fold", "close"), "symbol", "date")
+    return rounded(c.keep_last(folds, ["symbol", "date"], F.desc("fold")).select("symbol", "date", "fold", "close"), "symbol", "date", digits=8)
 
 
 @query("C13_recent", sql("disclosures", "SELECT o_orderkey, symbol, date FROM disclosures WHERE date >= (SELECT max(date) - 90 FROM disclosures) AND amount >= 100000"))
@@ -103,17 +103,17 @@ def daily_mean(spark, sf_dir):
     return rounded(c.daily_mean(m.table(spark, sf_dir, "events"), "ts", "value"), "date")
 
 
-@query("C16_lag_signals", sql("bars", f"SELECT symbol, date, {r(close='coalesce(lag(close) OVER w, 0.0)', volume='coalesce(lag(volume) OVER w, 1.0)')} FROM bars {W}"))
+@query("C16_lag_signals", sql("bars", f"SELECT symbol, date, {r8(close='coalesce(lag(close) OVER w, 0.0)', volume='coalesce(lag(volume) OVER w, 1.0)')} FROM bars {W}"))
 def lag_signals(spark, sf_dir):
-    return rounded(c.lag_signals(m.daily_bars(spark, sf_dir), {"close": 0.0, "volume": 1.0}).select("symbol", "date", "close", "volume"), "symbol", "date")
+    return rounded(c.lag_signals(m.daily_bars(spark, sf_dir), {"close": 0.0, "volume": 1.0}).select("symbol", "date", "close", "volume"), "symbol", "date", digits=8)
 
 
 @query("C17_align", sql("bars", """, s AS (SELECT symbol, date, close AS signal FROM bars WHERE day(date) % 5 = 0), j AS (SELECT b.symbol, b.date, signal FROM bars b LEFT JOIN s ON b.symbol = s.symbol AND b.date = s.date)
-SELECT symbol, date, round(last_value(signal IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS signal FROM j"""))
+SELECT symbol, date, round(last_value(signal IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 8) AS signal FROM j"""))
 def align(spark, sf_dir):
     bars = m.daily_bars(spark, sf_dir)
     sparse = bars.where(F.dayofmonth("date") % 5 == 0).withColumnRenamed("close", "signal")
-    return rounded(c.align(sparse, bars.select("symbol", "date"), "signal", 3), "symbol", "date")
+    return rounded(c.align(sparse, bars.select("symbol", "date"), "signal", 3), "symbol", "date", digits=8)
 
 
 @query("C19_segment", sql("bars", "SELECT CASE WHEN year(date) <= 1996 THEN 'early' WHEN year(date) <= 1999 THEN 'middle' ELSE 'late' END AS segment, count(*) AS n FROM bars GROUP BY 1"))

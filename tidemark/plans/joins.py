@@ -30,10 +30,10 @@ def as_of_tolerance(spark, sf_dir):
     return rounded(j.as_of(m.trades(spark, sf_dir), m.quotes(spark, sf_dir).select("symbol", "ts", "bid"), "ts", ["bid"], tolerance=near).select("event_id", "bid"), "event_id")
 
 
-@query("J2_days_since_event", sql("bars", f", {FLAGGED} SELECT b.symbol, b.date, round(fl.close, 6) AS event_close, CAST(b.date - fl.date AS BIGINT) AS days_since FROM bars b ASOF LEFT JOIN fl ON b.symbol = fl.symbol AND b.date >= fl.date"))
+@query("J2_days_since_event", sql("bars", f", {FLAGGED} SELECT b.symbol, b.date, round(fl.close, 8) AS event_close, CAST(b.date - fl.date AS BIGINT) AS days_since FROM bars b ASOF LEFT JOIN fl ON b.symbol = fl.symbol AND b.date >= fl.date"))
 def days_since_event(spark, sf_dir):
     out = j.as_of(m.daily_bars(spark, sf_dir).select("symbol", "date"), flagged(spark, sf_dir).withColumnRenamed("close", "event_close"), "date", ["event_close"])
-    return rounded(out.select("symbol", "date", "event_close", F.datediff("date", "matched_date").cast("long").alias("days_since")), "symbol", "date")
+    return rounded(out.select("symbol", "date", "event_close", F.datediff("date", "matched_date").cast("long").alias("days_since")), "symbol", "date", digits=8)
 
 
 @query("J3_days_to_event", sql("bars", f", {FLAGGED} SELECT b.symbol, b.date, CAST(fl.date - b.date AS BIGINT) AS days_to FROM bars b ASOF LEFT JOIN fl ON b.symbol = fl.symbol AND b.date <= fl.date"))
@@ -94,14 +94,14 @@ def semi_anti(spark, sf_dir):
 
 
 @query("J13_entry_exit", sql("bars disclosures", """, a AS (SELECT o_orderkey, d.symbol, disclosed + 1 AS entry_from, b.date AS entry_date, b.close AS entry FROM disclosures d ASOF LEFT JOIN bars b ON d.symbol = b.symbol AND d.disclosed + 1 <= b.date)
-SELECT o_orderkey, entry_date, round(entry, 6) AS entry, b.date AS exit_date, round(b.close / nullif(entry, 0) - 1, 6) AS gain FROM a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.entry_date + 30 >= b.date WHERE entry_date IS NOT NULL"""))
+SELECT o_orderkey, entry_date, round(entry, 8) AS entry, b.date AS exit_date, round(b.close / nullif(entry, 0) - 1, 8) AS gain FROM a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.entry_date + 30 >= b.date WHERE entry_date IS NOT NULL"""))
 def entry_exit(spark, sf_dir):
     bars = m.daily_bars(spark, sf_dir).select("symbol", "date", "close")
     d = m.disclosures(spark, sf_dir).select("o_orderkey", "symbol", F.date_add("disclosed", 1).alias("date"))
     entry = j.as_of(d, bars.withColumnRenamed("close", "entry"), "date", ["entry"], forward=True).where("matched_date is not null").withColumnRenamed("matched_date", "entry_date")
     leave = entry.withColumn("date", F.date_add("entry_date", 30))
     out = j.as_of(leave, bars, "date", ["close"])
-    return rounded(out.select("o_orderkey", "entry_date", "entry", F.col("matched_date").alias("exit_date"), (div("close", "entry") - 1).alias("gain")), "o_orderkey")
+    return rounded(out.select("o_orderkey", "entry_date", "entry", F.col("matched_date").alias("exit_date"), (div("close", "entry") - 1).alias("gain")), "o_orderkey", digits=8)
 
 
 @query("J14_outer_fill", sql("bars", f""", a AS (SELECT date, avg(close) AS x FROM bars WHERE symbol % 2 = 0 GROUP BY date), b AS (SELECT date, avg(close) AS y FROM bars WHERE symbol % 3 = 0 GROUP BY date), s AS (SELECT date FROM a UNION SELECT date FROM b)

@@ -158,7 +158,7 @@ def wasserstein(spark, sf_dir):
 
 @query("M29_closed_form_paths", sql("bars", f""", a AS (SELECT *, ln(close / lag(close) OVER w) AS r FROM bars {W}), b AS (SELECT symbol, date, ({roll('avg', 'r', 60)}) * 20 AS m, ({roll('stddev_samp', 'r', 60)}) * sqrt(20.0) AS s FROM a),
 z AS (SELECT *, (0.0 - m) / nullif(s, 0) AS z0, (ln(1.05) - m) / nullif(s, 0) AS z5, (ln(0.95) - m) / nullif(s, 0) AS d5 FROM b)
-SELECT symbol, date, {r(mean_growth='exp(least(m + s * s / 2, 50.0)) - 1', p_up=f"CASE WHEN z0 IS NOT NULL THEN 1 - ({cdf('z0')}) END", p_up_5=f"CASE WHEN z5 IS NOT NULL THEN 1 - ({cdf('z5')}) END", p_down_5=f"CASE WHEN d5 IS NOT NULL THEN {cdf('d5')} END", var_95='1 - exp(m - 1.6448536269514722 * s)')} FROM z"""))
+SELECT symbol, date, {r(mean_growth='exp(least(m + s * s / 2, 5.0)) - 1', p_up=f"CASE WHEN z0 IS NOT NULL THEN 1 - ({cdf('z0')}) END", p_up_5=f"CASE WHEN z5 IS NOT NULL THEN 1 - ({cdf('z5')}) END", p_down_5=f"CASE WHEN d5 IS NOT NULL THEN {cdf('d5')} END", var_95='1 - exp(m - 1.6448536269514722 * s)')} FROM z"""))
 def closed_form_paths(spark, sf_dir):
     return rounded(mi.closed_form_paths(m.daily_bars(spark, sf_dir)), "symbol", "date")
 
@@ -170,9 +170,9 @@ def ou_parameters(spark, sf_dir):
 
 
 @query("M33_option_values", f"""WITH o AS (SELECT o_orderkey, o_totalprice / 1e5 AS spot, o_totalprice / 1e5 * (0.8 + 0.1 * (o_orderkey % 5)) AS strike, (1 + o_orderkey % 12) / 12.0 AS years, 0.1 + 0.05 * (o_custkey % 7) AS sigma FROM orders WHERE o_totalprice > 0),
-d AS (SELECT *, (ln(spot / strike) + (0.02 + sigma * sigma / 2) * years) / (sigma * sqrt(years)) AS d1 FROM o), e AS (SELECT *, d1 - sigma * sqrt(years) AS d2 FROM d), c AS (SELECT *, spot * ({cdf('d1')}) - strike * exp(-0.02 * years) * ({cdf('d2')}) AS c FROM e)
-SELECT o_orderkey, {r(call='c', put='c - spot + strike * exp(-0.02 * years)', delta=cdf('d1'), gamma='exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (spot * sigma * sqrt(years))', vega='spot * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(years)')} FROM c""")
+d AS (SELECT *, (ln(spot / strike) + (0.021 + sigma * sigma / 2) * years) / (sigma * sqrt(years)) AS d1 FROM o), e AS (SELECT *, d1 - sigma * sqrt(years) AS d2 FROM d), c AS (SELECT *, spot * ({cdf('d1')}) - strike * exp(-0.021 * years) * ({cdf('d2')}) AS c FROM e)
+SELECT o_orderkey, {r(call='c', put='c - spot + strike * exp(-0.021 * years)', delta=cdf('d1'), gamma='exp(-d1 * d1 / 2) / sqrt(2 * pi()) / (spot * sigma * sqrt(years))', vega='spot * exp(-d1 * d1 / 2) / sqrt(2 * pi()) * sqrt(years)')} FROM c""")
 def option_values(spark, sf_dir):
     o = m.table(spark, sf_dir, "orders").where("o_totalprice > 0")
     chain = o.select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("spot"), (F.col("o_totalprice") / 1e5 * (0.8 + 0.1 * (F.col("o_orderkey") % 5))).alias("strike"), ((1 + F.col("o_orderkey") % 12) / 12.0).alias("years"), (0.1 + 0.05 * (F.col("o_custkey") % 7)).alias("sigma"))
-    return rounded(mi.option_values(chain).select("o_orderkey", "call", "put", "delta", "gamma", "vega"), "o_orderkey")
+    return rounded(mi.option_values(chain, rate=0.021).select("o_orderkey", "call", "put", "delta", "gamma", "vega"), "o_orderkey")

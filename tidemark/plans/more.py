@@ -17,7 +17,7 @@ from .micro import cdf
 from .portfolio import EXPO, SCORED, SYM, per_symbol, scored
 from .registry import query, sql
 from .signals import PAIRS, pair_rows
-from .technical import DD, TR, W, ema_sql, last, r, roll
+from .technical import DD, TR, W, ema_sql, last, r, r8, roll
 
 
 @query("W15_interactions", sql("rets", f""", c AS (SELECT symbol, date, ret, close / nullif(lag(close, 10) OVER w, 0) - 1 AS m, {roll('stddev_samp', 'ret', 10)} AS v, volume / nullif({roll('avg', 'volume', 10)}, 0) - 1 AS q, (high - low) / nullif(close, 0) AS rg FROM rets {W})
@@ -126,10 +126,10 @@ def position_sizes(spark, sf_dir):
 
 
 @query("V27_project", sql("rets", """, b AS (SELECT symbol, date, least(greatest(ret, -0.2), 0.2) AS w FROM rets WHERE ret IS NOT NULL), s AS (SELECT *, sum(abs(w)) OVER d AS g FROM b WINDOW d AS (PARTITION BY date)), c AS (SELECT symbol, date, CASE WHEN g > 0.5 THEN w * 0.5 / g ELSE w END AS w FROM s)
-SELECT symbol, date, round(least(greatest(w - avg(w) OVER (PARTITION BY date), -0.2), 0.2), 6) AS projected FROM c"""))
+SELECT symbol, date, round(least(greatest(w - avg(w) OVER (PARTITION BY date), -0.2), 0.2), 8) AS projected FROM c"""))
 def project(spark, sf_dir):
     rows = m.with_returns(m.daily_bars(spark, sf_dir)).where("ret is not null").select("symbol", "date", F.col("ret").alias("weight"))
-    return rounded(al.project(rows, 0.2, 0.5).select("symbol", "date", "projected"), "symbol", "date")
+    return rounded(al.project(rows, 0.2, 0.5).select("symbol", "date", "projected"), "symbol", "date", digits=8)
 
 
 @query("V28_portfolio_returns", sql("rets", f", v AS (SELECT symbol, date, ret, {roll('var_samp', 'ret', 20)} AS v FROM rets), i AS (SELECT symbol, date, ret, 1 / v AS i FROM v WHERE v > 0), w AS (SELECT *, i / nullif(sum(i) OVER (PARTITION BY date), 0) AS weight FROM i) SELECT date, {r(ret='sum(weight * ret)', gross='sum(abs(weight))')} FROM w WHERE ret IS NOT NULL GROUP BY date"))
@@ -154,10 +154,10 @@ def value_weights(spark, sf_dir):
     return rounded(al.value_weights(m.fundamentals(spark, sf_dir).select("symbol", div("ebit", "revenue").alias("score")), 0.2), "symbol")
 
 
-@query("V39_slippage", sql("ticks bars", f"SELECT l_orderkey, l_linenumber, l_partkey, quantity, {r(slippage='price * (0.001 / 2 + 0.1 * sqrt(least(quantity / nullif(volume, 0), 1.0)))', commission='greatest(price * quantity * 0.0005, 1.0)')} FROM ticks JOIN bars USING (symbol, date)"))
+@query("V39_slippage", sql("ticks bars", f"SELECT l_orderkey, l_linenumber, l_partkey, quantity, round(price * (0.001 / 2 + 0.1 * sqrt(least(quantity / nullif(volume, 0), 1.0))), 10) AS slippage, round(greatest(price * quantity * 0.0005, 1.0), 10) AS commission FROM ticks JOIN bars USING (symbol, date)"))
 def slippage(spark, sf_dir):
     fills = m.ticks(spark, sf_dir).join(m.daily_bars(spark, sf_dir).select("symbol", "date", F.col("volume").alias("bar_volume")), ["symbol", "date"])
-    return rounded(al.slippage(fills).select("place.l_orderkey", "place.l_linenumber", "place.l_partkey", "quantity", "slippage", "commission"), "l_orderkey", "l_linenumber", "l_partkey", "quantity")
+    return rounded(al.slippage(fills).select("place.l_orderkey", "place.l_linenumber", "place.l_partkey", "quantity", "slippage", "commission"), "l_orderkey", "l_linenumber", "l_partkey", "quantity", digits=10)
 
 
 @query("G18_learned_weights", sql("rets", f""", f AS (SELECT symbol, date, ret, volume, close, lead(ret) OVER w AS nxt FROM rets {W}), l AS (SELECT 'own' AS name, ret AS signal, nxt FROM f WHERE ret IS NOT NULL AND nxt IS NOT NULL UNION ALL SELECT 'reversal', -ret, nxt FROM f WHERE ret IS NOT NULL AND nxt IS NOT NULL UNION ALL SELECT 'volume', volume, nxt FROM f WHERE nxt IS NOT NULL),

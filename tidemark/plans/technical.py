@@ -30,6 +30,10 @@ def r(**columns: str) -> str:
     return ", ".join(f"round({e}, 6) AS {n}" for n, e in columns.items())
 
 
+def r8(**columns: str) -> str:
+    return ", ".join(f"round({e}, 8) AS {n}" for n, e in columns.items())
+
+
 @query("W1_moving", sql("bars", f"SELECT symbol, date, {r(mean_20=roll('avg', 'close', 20), std_20=roll('stddev_samp', 'close', 20), min_20=roll('min', 'close', 20), max_20=roll('max', 'close', 20))} FROM bars"))
 def moving(spark, sf_dir):
     return rounded(t.moving(m.daily_bars(spark, sf_dir)), "symbol", "date")
@@ -168,9 +172,9 @@ def standardised_surprise(spark, sf_dir):
     return rounded(t.standardised_surprise(m.daily_bars(spark, sf_dir), "close").select("symbol", "date", "sue"), "symbol", "date")
 
 
-@query("W27_rolling_quantile", sql("bars", f"SELECT symbol, date, round(CASE WHEN count(close) OVER {last(20)} >= 20 THEN quantile_cont(close, 0.9) OVER {last(20)} END, 6) AS quantile FROM bars"))
+@query("W27_rolling_quantile", sql("bars", f"SELECT symbol, date, round(CASE WHEN count(close) OVER {last(20)} >= 20 THEN quantile_cont(close, 0.9) OVER {last(20)} END, 8) AS quantile FROM bars"))
 def rolling_quantile(spark, sf_dir):
-    return rounded(t.rolling_quantile(m.daily_bars(spark, sf_dir), "close", 0.9, 20).select("symbol", "date", "quantile"), "symbol", "date")
+    return rounded(t.rolling_quantile(m.daily_bars(spark, sf_dir), "close", 0.9, 20).select("symbol", "date", "quantile"), "symbol", "date", digits=8)
 
 
 @query("W28_rolling_zscore", sql("bars", f"SELECT symbol, date, round((close - ({roll('avg', 'close', 20)})) / nullif({roll('stddev_samp', 'close', 20)}, 0), 6) AS z FROM bars"))
@@ -186,11 +190,11 @@ def rolling_slope(spark, sf_dir):
 
 
 @query("W30_windows_to_arrays", sql("bars", f""", a AS (SELECT *, row_number() OVER w AS rn, lead(close, 5) OVER w AS target, list(close) OVER {last(10)} AS sample FROM bars {W})
-SELECT symbol, date, len(sample) AS n_values, round(list_sum(sample), 6) AS total, round(target, 6) AS target FROM a WHERE rn >= 10 AND (rn - 10) % 5 = 0 AND target IS NOT NULL"""))
+SELECT symbol, date, len(sample) AS n_values, round(list_sum(sample), 10) AS total, round(target, 10) AS target FROM a WHERE rn >= 10 AND (rn - 10) % 5 = 0 AND target IS NOT NULL"""))
 def windows_to_arrays(spark, sf_dir):
     out = t.windows_to_arrays(m.daily_bars(spark, sf_dir), "close", 10, 5, 5)
     total = F.aggregate("sample", F.lit(0.0), lambda a, v: a + v)
-    return rounded(out.select("symbol", "date", F.size("sample").cast("long").alias("n_values"), total.alias("total"), "target"), "symbol", "date")
+    return rounded(out.select("symbol", "date", F.size("sample").cast("long").alias("n_values"), total.alias("total"), "target"), "symbol", "date", digits=10)
 
 
 @query("W34_volatility_of_volatility", sql("rets", f", a AS (SELECT *, {roll('stddev_samp', 'ret', 20)} AS vol FROM rets) SELECT symbol, date, {r(vol='vol', vol_of_vol=roll('stddev_samp', 'vol', 20))} FROM a"))
