@@ -190,11 +190,11 @@ def rolling_slope(spark, sf_dir):
 
 
 @query("W30_windows_to_arrays", sql("bars", f""", a AS (SELECT *, row_number() OVER w AS rn, lead(close, 5) OVER w AS target, list(close) OVER {last(10)} AS sample FROM bars {W})
-SELECT symbol, date, len(sample) AS n_values, round(list_sum(sample), 10) AS total, round(target, 10) AS target FROM a WHERE rn >= 10 AND (rn - 10) % 5 = 0 AND target IS NOT NULL"""))
+SELECT symbol, date, len(sample) AS n_values, round(list_sum(sample), 6) AS total, round(target, 8) AS target FROM a WHERE rn >= 10 AND (rn - 10) % 5 = 0 AND target IS NOT NULL"""))
 def windows_to_arrays(spark, sf_dir):
     out = t.windows_to_arrays(m.daily_bars(spark, sf_dir), "close", 10, 5, 5)
     total = F.aggregate("sample", F.lit(0.0), lambda a, v: a + v)
-    return rounded(out.select("symbol", "date", F.size("sample").cast("long").alias("n_values"), total.alias("total"), "target"), "symbol", "date", digits=10)
+    return rounded(out.select("symbol", "date", F.size("sample").cast("long").alias("n_values"), F.round(total, 6).alias("total"), "target"), "symbol", "date", digits=8)
 
 
 @query("W34_volatility_of_volatility", sql("rets", f", a AS (SELECT *, {roll('stddev_samp', 'ret', 20)} AS vol FROM rets) SELECT symbol, date, {r(vol='vol', vol_of_vol=roll('stddev_samp', 'vol', 20))} FROM a"))
