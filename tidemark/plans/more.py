@@ -154,10 +154,10 @@ def value_weights(spark, sf_dir):
     return rounded(al.value_weights(m.fundamentals(spark, sf_dir).select("symbol", div("ebit", "revenue").alias("score")), 0.2), "symbol")
 
 
-@query("V39_slippage", sql("ticks bars", f"SELECT l_orderkey, l_linenumber, l_partkey, quantity, round(price * (0.00137 / 2 + 0.1 * sqrt(least(quantity / nullif(volume, 0), 1.0))), 6) AS slippage, round(greatest(price * quantity * 0.0005, 1.0), 6) AS commission FROM ticks JOIN bars USING (symbol, date)"))
+@query("V39_slippage", sql("ticks bars", f"SELECT l_orderkey, l_linenumber, l_partkey, quantity, round(0.00137 / 2 + 0.1 * sqrt(least(quantity / nullif(volume, 0), 1.0)), 6) AS slippage_rate, round(greatest(price * quantity * 0.0005, 1.0), 6) AS commission FROM ticks JOIN bars USING (symbol, date)"))
 def slippage(spark, sf_dir):
     fills = m.ticks(spark, sf_dir).join(m.daily_bars(spark, sf_dir).select("symbol", "date", F.col("volume").alias("bar_volume")), ["symbol", "date"])
-    return rounded(al.slippage(fills, spread=0.00137).select("place.l_orderkey", "place.l_linenumber", "place.l_partkey", "quantity", "slippage", "commission"), "l_orderkey", "l_linenumber", "l_partkey", "quantity")
+    return rounded(al.slippage(fills, spread=0.00137).select("place.l_orderkey", "place.l_linenumber", "place.l_partkey", "quantity", div("slippage", "price").alias("slippage_rate"), "commission"), "l_orderkey", "l_linenumber", "l_partkey", "quantity")
 
 
 @query("G18_learned_weights", sql("rets", f""", f AS (SELECT symbol, date, ret, volume, close, lead(ret) OVER w AS nxt FROM rets {W}), l AS (SELECT 'own' AS name, ret AS signal, nxt FROM f WHERE ret IS NOT NULL AND nxt IS NOT NULL UNION ALL SELECT 'reversal', -ret, nxt FROM f WHERE ret IS NOT NULL AND nxt IS NOT NULL UNION ALL SELECT 'volume', volume, nxt FROM f WHERE nxt IS NOT NULL),
