@@ -5,8 +5,8 @@ of marker features on, 2. Markers are words and word beginnings that labelled to
 others. x has one entry for each marker that a text holds and the logarithm of their density. The expected severity is
 P(grade >= 1) + P(grade >= 2).
 
-The model is fitted on at most ``MAX_TRAINING`` labelled documents of each class (by a hash of the id); every whole text
-is scored. Defined results: null or empty text holds no marker; repeated rows are scored each; null labels and labels
+The model is fitted on at most ``MAX_TRAINING`` labelled documents (by a hash of the id, so classes keep their shares);
+every whole text is scored. Defined results: null or empty text holds no marker; repeated rows are scored each; null labels and labels
 without a document teach nothing, of several labels of a document the highest counts; without two classes of labels every
 severity is 0; an empty table gives no rows.
 """
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import Cache
 
-#: The largest number of labelled documents of a class to learn from, and of markers.
-MAX_TRAINING, MAX_MARKERS = 10_000, 4096
+#: The largest number of labelled documents to learn from, and of markers.
+MAX_TRAINING, MAX_MARKERS = 20_000, 4096
 #: A marker is in so many toxic documents at least, and so many times likelier in them.
 LEAST_DOCS, LEAST_LIFT = 4, 6.0
 BEGINNINGS, LONGEST = (4, 5, 6), 24
@@ -102,10 +102,10 @@ def fit(rows: list[np.ndarray], density: np.ndarray, grade: np.ndarray, markers:
 
 
 def training(docs: DataFrame, labels: DataFrame, size: int = MAX_TRAINING) -> DataFrame:
-    """doc_id, text and label of at most ``size`` labelled documents of each class."""
+    """doc_id, text and label of at most ``size`` labelled documents, in which the classes keep their shares."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic") > 0).alias("label"))
-    some = [known.where(F.col("label") == F.lit(x)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for x in (True, False)]
-    return common.texts(docs).join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "label")
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    return common.texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, size: int = MAX_TRAINING) -> Ordinal | None:
