@@ -41,6 +41,21 @@ def test_repair_round_trip_and_random_access():
     assert (shard.lengths == np.diff(shard.where)[49408:]).all()
 
 
+def test_repair_ends_when_no_pair_is_frequent():
+    passage = np.random.default_rng(1).integers(0, 40_000, 3000).astype(np.uint32)
+    docs = [np.append(passage, 1).astype(np.uint32) for _ in range(8)]
+    ids, last = np.concatenate(docs), np.zeros(8 * 3001, bool)
+    last[3000::3001] = True
+    symbols, ends, rules = repair_store.compress(ids, last, 49408)
+    pairs = (symbols[:-1].astype(np.int64) << 16 | symbols[1:])[~ends[:-1]]
+    counts = np.unique(pairs, return_counts=True)[1]
+    assert len(rules) == (1 << 16) - 49408 or not len(counts) or counts.max() < repair_store.LEAST
+    # Eight copies of a passage: each becomes very few symbols.
+    assert len(symbols) <= 16 and ends.sum() == 8
+    shard = repair_store.Shard(repair_store.pack(0, 0, 0, list(range(8)), docs, 49408))
+    assert all(shard.document(k).tolist() == docs[k].tolist() for k in range(8))
+
+
 def test_store_of_odd_rows(spark, docs_of, odd_rows):
     tok = library("word_bpe_49k.json")
     folder = common.scratch(spark, "test-ids")

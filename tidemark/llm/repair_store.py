@@ -2,8 +2,8 @@
 
 Documents are range-partitioned and sorted by id; every task writes its range as shards of about ``SHARD`` ids under
 temporary names and reports one manifest row for each. A shard holds its own grammar: in each round the most frequent
-pairs of neighbouring symbols become nonterminals (left to right, never across documents). Stored are the rules, the
-expansion length of each nonterminal, the symbols of all documents, and for each document where its symbols end.
+pairs of neighbouring symbols become nonterminals (left to right, never across documents), until no pair is frequent or
+all 16-bit symbols are taken. Stored are the rules, the expansion length of each nonterminal, the symbols of all documents, and for each document where its symbols end.
 
 Defined results: null text is empty; a null id sorts first; repeated ids follow each other, ordered by a hash of the
 text; an empty table gives no shard and no rows; other columns are ignored.
@@ -25,19 +25,17 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder
 
-#: Ids in a shard, rounds of replacement, nonterminals of a round, and the count from which a pair is worth a rule.
-SHARD, ROUNDS, PER_ROUND, LEAST = 1 << 20, 4, 4000, 4
+#: Ids in a shard, nonterminals of a round, and the count from which a pair is worth a rule.
+SHARD, PER_ROUND, LEAST = 1 << 20, 4000, 4
 MAGIC = b"REPAIR01"
 _schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, base: int, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their end-of-document flags, and the rules (pairs of symbols; rule k is the symbol base + k)."""
     seq, last, rules = ids.astype(np.uint32), last.copy(), []
     room = (1 << 16) - base
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and room > 0:
         keys = seq[:-1] << np.uint32(16) | seq[1:]
         ordered = np.sort(keys[~last[:-1]])
         starts = common.runs(ordered)
