@@ -176,3 +176,18 @@ def test_archives_of_an_empty_table(spark):
     folder = common.scratch(spark, "test-warc")
     warc_store.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
     assert warc_store.read(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("bound", [20_000, 42_123, 65_006, 69_999])
+@pytest.mark.parametrize("short", [0, 1, 10])
+def test_many_equal_short_vectors(bound, short):
+    # The square of the longest norm is ``bound``: four squares.
+    far = next([a, b, c, d] for a in range(int(bound**0.5), 0, -1) for b in range(int((bound - a * a) ** 0.5), -1, -1) for c in [int((bound - a * a - b * b) ** 0.5)] for d in [round((bound - a * a - b * b - c * c) ** 0.5)] if a * a + b * b + c * c + d * d == bound)
+    x = np.array([[short, 0, 0, 0]] * 700 + [far], np.int64)
+    tree = mtree.Tree(np.arange(701), np.ones(701, np.int64), x)
+    assert tree.bound == bound and all(e - s <= mtree.PAGE for s, e in zip(tree.start, tree.end))
+    assert sorted(tree.obj[tree.child < 0].tolist()) == list(range(701))
+    q = np.array([3, 1, 0, 2], np.int64)
+    ip = x @ q
+    want = sorted(((int(s), i) for i, s in enumerate(ip) if i), key=lambda z: (-z[0], z[1]))[:5]
+    assert tree.search(q, (0, 1), 5)[0] == want

@@ -61,15 +61,17 @@ class Tree:
             k = min(FANOUT, -(-len(members) // (PAGE // 2)))
             routes, near = [int(members[0])], self.between(int(members[0]), members)
             which = np.zeros(len(members), np.int64)
-            while len(routes) < k and near.max() > 0:
+            # By their components: rounding may leave equal vectors a distance from themselves.
+            same = bool((self.x[members] == self.x[members[0]]).all())
+            while not same and len(routes) < k and near.max() > 0:
                 far = int(members[near.argmax()])
                 new = self.between(far, members)
                 closer = new < near
                 which[closer], near[closer] = len(routes), new[closer]
                 routes.append(far)
-            if len(routes) == 1:  # equal vectors: cut into pages
+            if (which == which[0]).all():  # equal vectors, or no distance tells them apart: cut into pages
                 which = np.arange(len(members)) * k // len(members)
-                routes *= k
+                routes = routes[:1] * k
             own = []
             for r, route in enumerate(routes):
                 part = members[which == r]
