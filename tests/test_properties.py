@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import frames as fr
-from tidemark.operators import portfolio, technical
+from tidemark.operators import portfolio, reports, technical
 from tidemark.sources import market
 
 
@@ -80,3 +80,15 @@ def test_empty_bars(spark):
     for build in (technical.rsi, technical.adx, technical.price_features, technical.drawdown_periods):
         rows = bars_of(spark, [1.0]).where("false").withColumn("drawdown", F.lit(0.0))
         assert build(rows).count() == 0
+
+
+def test_windows_are_whole_and_drawn_over_the_whole_calendar(spark):
+    rows = market.with_returns(bars_of(spark, [float(k % 7 + 1) for k in range(700)]))
+    starts = sorted(r["start"] for r in reports.window_starts(rows, 40, 100, 7).collect())
+    assert len(set(starts)) == 40 and starts[0] >= 0 and 550 < starts[-1] <= 600
+    assert starts != sorted(r["start"] for r in reports.window_starts(rows, 40, 100, 8).collect())
+    assert sorted(r["start"] for r in reports.random_windows(rows, reports.window_starts(rows, 40, 100, 7), 100).collect()) == starts
+    assert reports.window_starts(rows, 9999, 100, 7).count() == 601
+    # Of fixed starts, those whose window the calendar does not hold are left out.
+    assert sorted(r["start"] for r in reports.random_windows(rows, [10, 600, 601], 100).collect()) == [10, 600]
+    assert reports.window_starts(rows.limit(100), 3, 100, 7).count() == 0

@@ -26,10 +26,24 @@ def fail_reasons(metrics: DataFrame, key: str, rules: dict[str, Column]) -> Data
     return metrics.select(key, F.array_join(F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()))), ",").alias("reasons"))
 
 
-def random_windows(returns: DataFrame, starts: list[int], size: int) -> DataFrame:
-    """Mean return of every symbol in windows of rows of the calendar, and the winner of each window."""
-    dates = returns.select("date").distinct().withColumn("_d", F.row_number().over(Window.orderBy("date")) - 1)
-    placed = dates.withColumn("start", F.explode(F.array(*map(F.lit, starts)))).where((F.col("_d") >= F.col("start")) & (F.col("_d") < F.col("start") + size))
+def calendar(returns: DataFrame) -> DataFrame:
+    """date, its place ``_d`` in the calendar, and the number of dates ``_n``."""
+    dates = returns.select("date").distinct()
+    return dates.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("_d"), F.count("*").over(Window.partitionBy()).alias("_n"))
+
+
+def window_starts(returns: DataFrame, windows: int, size: int, seed: int) -> DataFrame:
+    """start: ``windows`` different places over the whole calendar that leave room for a window, drawn by a seeded hash; all where there are fewer."""
+    drawn = calendar(returns).where((F.col("_n") > size) & (F.col("_d") + size <= F.col("_n")))
+    return drawn.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "_d"))).limit(windows).select(F.col("_d").alias("start"))
+
+
+def random_windows(returns: DataFrame, starts: list[int] | DataFrame, size: int) -> DataFrame:
+    """Mean return of every symbol in whole windows of rows of the calendar, and the winner of each window."""
+    dates = calendar(returns)
+    dealt = dates.join(F.broadcast(starts)) if isinstance(starts, DataFrame) else dates.withColumn("start", F.explode(F.array(*map(F.lit, starts))))
+    end = F.col("start") + size
+    placed = dealt.where((F.col("_d") >= F.col("start")) & (F.col("_d") < end) & (end <= F.col("_n"))).select("date", "start")
     means = returns.where("ret is not null").join(F.broadcast(placed), "date").groupBy("start", "symbol").agg(F.avg("ret").alias("mean"))
     return means.groupBy("start").agg(F.max_by("symbol", F.struct("mean", -F.col("symbol"))).alias("winner"), F.max("mean").alias("best"), F.count("*").alias("n"))
 

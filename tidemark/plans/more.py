@@ -215,6 +215,14 @@ def random_windows(spark, sf_dir):
     return rounded(rp.random_windows(m.with_returns(m.daily_bars(spark, sf_dir)), [10, 200, 450], 100), "start", "winner")
 
 
+@query("V17_seeded_windows", sql("rets", """, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS d, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM rets)), s AS (SELECT d AS start FROM d WHERE n > 100 AND d + 100 <= n ORDER BY md5(concat('7|', d)) LIMIT 20), p AS (SELECT date, start FROM d JOIN s ON d >= start AND d < start + 100), k AS (SELECT start, symbol, avg(ret) AS mean FROM rets JOIN p USING (date) WHERE ret IS NOT NULL GROUP BY 1, 2)
+SELECT CAST(start AS INTEGER) AS start, first(symbol ORDER BY mean DESC, symbol) AS winner, round(max(mean), 6) AS best, count(*) AS n FROM k GROUP BY start"""))
+def seeded_windows(spark, sf_dir):
+    """As V17_random_windows, with starts drawn over the whole calendar."""
+    rets = m.with_returns(m.daily_bars(spark, sf_dir))
+    return rounded(rp.random_windows(rets, rp.window_starts(rets, 20, 100, 7), 100), "start", "winner")
+
+
 @query("V33_alerts", sql("rets", f", {STATS}, l AS (SELECT symbol, 'mean' AS metric, mean AS value FROM st UNION ALL SELECT symbol, 'std', std FROM st UNION ALL SELECT symbol, 'win', win FROM st) SELECT symbol, metric, round(value, 6) AS value, level FROM l JOIN (VALUES ('mean', 0.3, 'info'), ('std', 1.5, 'warning')) AS q(metric, lim, level) USING (metric) WHERE value > lim"))
 def alerts(spark, sf_dir):
     rules = spark.createDataFrame([("mean", 0.3, "info"), ("std", 1.5, "warning")], "metric string, limit double, level string")
