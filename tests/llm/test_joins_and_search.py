@@ -99,6 +99,13 @@ def test_one_document_of_each_group_stays(spark, docs_of, odd_rows):
     assert sorted(i for i in ids if i not in (1001, 1002, 1003)) == sorted(groups)
 
 
+def test_repeated_rows_without_words_all_stay(spark, docs_of):
+    blank = [(1, ""), (1, ""), (2, None), (2, None), (None, " \n\x0b\t "), (None, " \n\x0b\t "), (None, None), (None, None)]
+    words = [(7, "one two three"), (7, "one two three"), (8, "\xa0"), (8, "\xa0")]
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in group_join.one_of_each(docs_of(blank + words), 3, 90).collect())
+    assert kept == sorted((str(i), str(t)) for i, t in blank + words[::2])
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

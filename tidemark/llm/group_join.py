@@ -352,6 +352,6 @@ def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     again = rows.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
     if again:  # the very same row more than once: one stays
         by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-        blank = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), "\\s+")) == 0
+        blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
         kept = kept.withColumn("_nth", F.row_number().over(by)).where((F.col("_nth") == 1) | blank).drop("_nth")
     return kept
