@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import frames as fr
 from tidemark.operators import portfolio, reports, technical
-from tidemark.sources import market
+from tidemark.sources import market, store
 
 
 def bars_of(spark, closes: list[float], symbol: int = 1):
@@ -92,3 +92,15 @@ def test_windows_are_whole_and_drawn_over_the_whole_calendar(spark):
     # Of fixed starts, those whose window the calendar does not hold are left out.
     assert sorted(r["start"] for r in reports.random_windows(rows, [10, 600, 601], 100).collect()) == [10, 600]
     assert reports.window_starts(rows.limit(100), 3, 100, 7).count() == 0
+
+
+def test_articles_with_one_opening_are_told_apart(spark):
+    opening, day = "Daily report of the exchange. " * 4, dt.date(2020, 1, 1)
+    rows = spark.createDataFrame([(2, opening + "a", "S", day), (1, f" \n{opening}A\t", "s", day), (3, opening + "b", "S", day), (5, opening + "a", "S", day + dt.timedelta(days=1)), (7, opening + "a", "t", day), (9, None, None, None)], "id long, title string, source string, date date")
+    keyed = rows.select("id", store.article_key("title", "source", "date").alias("key"))
+    assert sorted(r["id"] for r in store.insert_new(keyed.where("id % 2 = 0"), keyed.where("id % 2 = 1"), "key").collect()) == [3, 5, 7, 9]
+
+
+def test_headlines_are_whole(spark, sf_dir):
+    longest = market.headlines(spark, sf_dir).agg(F.max(F.length("title"))).first()[0]
+    assert longest == spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max(F.length("text"))).first()[0] > 80

@@ -81,6 +81,13 @@ def deduplicate_titles(spark, sf_dir):
     return c.deduplicate_titles(m.articles(spark, sf_dir)).select("id", "title_key")
 
 
+@query("C11_deduplicate_whole_titles", sql("headlines", """, k AS (SELECT id, substring(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'), ' '), 1, 80) AS title_key FROM headlines)
+SELECT id, title_key FROM k QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY id) = 1"""))
+def deduplicate_whole_titles(spark, sf_dir):
+    """As C11_deduplicate_titles, cut to 80 characters only after normalising."""
+    return c.deduplicate_titles(m.headlines(spark, sf_dir)).select("id", "title_key")
+
+
 @query("C12_latest_fold", sql("bars", ", f AS (SELECT symbol, date, close, fold FROM bars, range(0, 3) AS r(fold) WHERE (symbol + day(date) + fold) % 2 = 0) SELECT symbol, date, CAST(fold AS INTEGER) AS fold, round(close, 8) AS close FROM f QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY fold DESC) = 1"))
 def latest_fold(spark, sf_dir):
     folds = m.daily_bars(spark, sf_dir).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2)))).where((F.col("symbol") + F.dayofmonth("date") + F.col("fold")) % 2 == 0)

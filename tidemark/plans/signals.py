@@ -148,6 +148,14 @@ def insert_new(spark, sf_dir):
     return store.insert_new(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "key")
 
 
+@query("S8_insert_new_articles", sql("headlines", r""", k AS (SELECT id, sha256(concat(regexp_replace(regexp_replace(lower(coalesce(title, '')), '^[ \t\n\r\f\x0B]+', ''), '[ \t\n\r\f\x0B]+\z', ''), '|', lower(coalesce(source, '')), '|', coalesce(CAST(date AS VARCHAR), ''))) AS key FROM headlines)
+SELECT key, min(id) AS id FROM k WHERE id % 2 = 1 AND key NOT IN (SELECT key FROM k WHERE id % 2 = 0) GROUP BY key"""))
+def insert_new_articles(spark, sf_dir):
+    """As S8_insert_new, by the whole title, the source and the day."""
+    rows = m.headlines(spark, sf_dir).select("id", store.article_key("title", "source", "date").alias("key"))
+    return store.insert_new(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "key")
+
+
 @query("S10_update", sql("articles", "SELECT id, CASE WHEN id % 3 = 0 THEN n_chars * 2 ELSE n_chars END AS n_chars FROM articles"))
 def update(spark, sf_dir):
     rows = m.articles(spark, sf_dir).select("id", "n_chars")

@@ -66,6 +66,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100).alias("symbol"), day.alias("date"), F.substring("text", 1, 80).alias("title"), "source", "n_chars")
 
 
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose title is the whole text."""
+    day = F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") % 2499).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), day.alias("date"), F.col("text").alias("title"), "source")
+
+
 def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")

@@ -62,6 +62,13 @@ def article_id(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *columns), 256)
 
 
+def article_key(title: str, source: str, date: str) -> Column:
+    """The id of an article: its title without white space around it and its source, both in lower case, and the day."""
+    blank = "[ \\t\\n\\r\\f\\x0B]+"
+    whole = F.regexp_replace(F.regexp_replace(F.lower(title), f"^{blank}", ""), f"{blank}\\z", "")
+    return F.sha2(F.concat_ws("|", F.coalesce(whole, F.lit("")), F.coalesce(F.lower(source), F.lit("")), F.coalesce(F.col(date).cast("string"), F.lit(""))), 256)
+
+
 def insert_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Rows of ``incoming`` whose key is not there yet; within them the first of each key by all columns."""
     from pyspark.sql.window import Window
