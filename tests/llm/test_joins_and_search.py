@@ -129,17 +129,34 @@ def test_search_is_exact(spark, shard):
     assert got == sorted(want)
 
 
-def test_the_tree_saves_distances():
+def test_the_tree_saves_distances_on_groups():
     rnd = np.random.default_rng(2)
     centres = rnd.normal(size=(20, 16)) * 10
     x = np.floor(256 * (centres[rnd.integers(0, 20, 4000)] + rnd.normal(size=(4000, 16)) * 0.1)).astype(np.int64)
-    tree = mtree.Tree(np.arange(4000), np.ones(4000, np.int64), x)
-    _, computed = tree.search(x[0], (0, 1), 5)
+    tree = mtree.Tree(np.arange(4000), x)
+    *_, computed = tree.search(x[:1], np.array([mtree.NONE]), 5)
     assert computed < 2500
     for start, end in zip(tree.start, tree.end):
         assert end - start <= mtree.PAGE
 
 
+def test_limits_from_another_tree_hold():
+    rnd = np.random.default_rng(3)
+    x, q = rnd.integers(-300, 300, (3000, 12)), rnd.integers(-300, 300, (40, 12))
+    tree, ip = mtree.Tree(np.arange(3000), x), q @ x.T
+    floor = np.sort(ip, 1)[:, -3].copy()
+    filled, scores, ids, _ = tree.search(q, floor, 6)
+    for r in range(40):
+        want = sorted(((-int(s), i) for i, s in enumerate(ip[r]) if s >= floor[r]))[:6]
+        assert list(zip((-scores[r, : filled[r]]).tolist(), ids[r, : filled[r]].tolist())) == want
+
+
+def test_vectors_too_long_for_floats_are_exact():
+    x = np.array([[1 << 30, 3], [1 << 30, 2], [5, 1 << 30], [0, 0]], np.int64)
+    filled, scores, ids, _ = mtree.Tree(np.arange(4), x).search(x[:1], np.array([mtree.NONE]), 3)
+    assert ids[0].tolist() == [0, 1, 2] and scores[0].tolist() == [(1 << 60) + 9, (1 << 60) + 6, (5 << 30) + (3 << 30)]
+
+
 def test_search_in_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert mtree.top(df, lambda c: c % 50 == 0).count() == 0
@@ -191,10 +208,10 @@ def test_many_equal_short_vectors(bound, short):
     # The square of the longest norm is ``bound``: four squares.
     far = next([a, b, c, d] for a in range(int(bound**0.5), 0, -1) for b in range(int((bound - a * a) ** 0.5), -1, -1) for c in [int((bound - a * a - b * b) ** 0.5)] for d in [round((bound - a * a - b * b - c * c) ** 0.5)] if a * a + b * b + c * c + d * d == bound)
     x = np.array([[short, 0, 0, 0]] * 700 + [far], np.int64)
-    tree = mtree.Tree(np.arange(701), np.ones(701, np.int64), x)
+    tree = mtree.Tree(np.arange(701), x)
     assert tree.bound == bound and all(e - s <= mtree.PAGE for s, e in zip(tree.start, tree.end))
     assert sorted(tree.obj[tree.child < 0].tolist()) == list(range(701))
-    q = np.array([3, 1, 0, 2], np.int64)
-    ip = x @ q
-    want = sorted(((int(s), i) for i, s in enumerate(ip) if i), key=lambda z: (-z[0], z[1]))[:5]
-    assert tree.search(q, (0, 1), 5)[0] == want
+    q = np.array([[3, 1, 0, 2]], np.int64)
+    want = sorted(((-int(s), i) for i, s in enumerate(x @ q[0])))[:5]
+    filled, scores, ids, _ = tree.search(q, np.array([mtree.NONE]), 5)
+    assert list(zip((-scores[0]).tolist(), ids[0].tolist())) == want

@@ -1,15 +1,21 @@
 """Exact top-k inner product search in M-trees, best first.
 
 Vectors become integers, floor(256 x). With M the largest norm of a shard, a vector x gets the coordinate
-sqrt(M^2 - |x|^2) and a query the coordinate 0, so the largest inner products are the smallest distances. Candidates are
-dealt by a hash into shards of about ``SHARD``; each shard is an M-tree of pages of at most ``PAGE`` entries that hold a
-routing object, its covering radius and its distance to the parent. Blocks of queries meet every shard by an equi-join on
-the shard. A search pops pages by their least possible distance and stops when no page can hold a better vector; the
-stored distances to the parent rule entries out before their own distance is computed. Scores are exact integers.
+sqrt(M^2 - |x|^2) and a query the coordinate 0, so the largest inner products are the smallest distances.
+
+1. Equal vectors are one object with its k + 1 smallest ids: no other id of the group can be among the k best of a query.
+2. Objects are dealt to the nearest of at most ``PIVOTS`` pivots (medoids of a bounded sample); a pivot's objects are
+   shards of about ``SHARD``. Each shard is an M-tree of pages of at most ``PAGE`` entries, which hold a routing object,
+   its covering radius and its distance to the parent.
+3. Blocks of about ``BLOCK`` queries first search the shard that their own vectors belong to. With the scores found
+   there as limits they meet every other shard.
+4. A search takes pages by the least distance that any of the block's queries may find there, and stops when no page can
+   hold a better object for any query. The stored distances to the parent rule entries and queries out before distances
+   are computed; those of one page and the queries that are left are one matrix product. Scores are exact integers.
 
 Defined results: null vectors and vectors with null or non-finite components take no part; vectors of another length than
 the query's are no candidates for it; of repeated rows only the query's own is left out; fewer than k candidates give
-fewer rows; an empty table gives no rows.
+fewer rows; an empty table gives no rows. Inner products beyond 63 bits are not supported.
 """
 
 from __future__ import annotations
@@ -26,18 +32,38 @@ from pyspark.sql.window import Window
 
 from . import common
 
-SHARD, PAGE, FANOUT, BLOCK = 8192, 64, 24, 256
+SHARD, PAGE, FANOUT, BLOCK = 8192, 128, 32, 256
+#: Pivots of a vector length, and vectors of the sample that gives them.
+PIVOTS, SAMPLE = 64, 4096
+_found = pa.schema([("key", pa.binary()), ("score", pa.int64()), ("vec_id", pa.int64())])
+FOUND = "key binary, score long, vec_id long"
+#: The least score: no limit.
+NONE = -(1 << 63)
+
+
+def medoids(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
+    """Rows of x near the means of about k groups of about equal extent."""
+    at = np.linspace(0, len(x) - 1, k).astype(np.int64)
+    centres = x[at].astype(np.float64)
+    for _ in range(rounds):
+        near = (x @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        n = np.bincount(near, minlength=k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+    closest = (x @ centres.T - (centres**2).sum(1) / 2 - (x.astype(np.float64) ** 2).sum(1)[:, None] / 2).argmax(0)
+    return np.unique(closest)
 
 
 class Tree:
     """Pages as slices of entry arrays: object, radius, distance to the parent, child page (-1: the object itself)."""
 
-    def __init__(self, ids: np.ndarray, nth: np.ndarray, x: np.ndarray):
-        self.ids, self.nth, self.x = ids, nth, x
-        norm = (x.astype(np.float64) ** 2).sum(1)
-        self.bound = float(norm.max()) if len(x) else 0.0
-        self.extra = np.sqrt(np.maximum(self.bound - norm, 0))
-        self.norm = norm
+    def __init__(self, ids: np.ndarray, x: np.ndarray, ends: np.ndarray | None = None):
+        """Object k has the ids up to ends[k]; without ``ends``, one each."""
+        self.ids, self.ends = ids, np.arange(1, len(x) + 1) if ends is None else ends
+        self.x, self.norm = x, (x.astype(np.float64) ** 2).sum(1)
+        self.bound = float(self.norm.max()) if len(x) else 0.0
+        self.extra = np.sqrt(np.maximum(self.bound - self.norm, 0))
         self.start, self.end = [], []
         entries: list[tuple] = []
         self._pages(np.arange(len(x)), -1, entries)
@@ -57,23 +83,16 @@ class Tree:
         if len(members) <= PAGE:
             own = list(zip(members.tolist(), [0.0] * len(members), away.tolist(), [-1] * len(members)))
         else:
-            # Routing objects: the first member, then each time the one farthest from those that are chosen.
             k = min(FANOUT, -(-len(members) // (PAGE // 2)))
-            routes, near = [int(members[0])], self.between(int(members[0]), members)
-            which = np.zeros(len(members), np.int64)
-            # By their components: rounding may leave equal vectors a distance from themselves.
-            same = bool((self.x[members] == self.x[members[0]]).all())
-            while not same and len(routes) < k and near.max() > 0:
-                far = int(members[near.argmax()])
-                new = self.between(far, members)
-                closer = new < near
-                which[closer], near[closer] = len(routes), new[closer]
-                routes.append(far)
-            if (which == which[0]).all():  # equal vectors, or no distance tells them apart: cut into pages
+            lifted = np.column_stack([self.x[members].astype(np.float64), self.extra[members]])
+            routes = members[medoids(lifted, k)]
+            near = np.stack([self.between(int(r), members) for r in routes], 1)
+            which = near.argmin(1)
+            if np.bincount(which).max() > len(members) * 0.9:  # no distance tells them apart: cut into pages
                 which = np.arange(len(members)) * k // len(members)
-                routes = routes[:1] * k
+                routes = np.array([members[which == r][0] for r in range(k)])
             own = []
-            for r, route in enumerate(routes):
+            for r, route in enumerate(routes.tolist()):
                 part = members[which == r]
                 if len(part):
                     child = self._pages(part, route, entries)
@@ -84,93 +103,196 @@ class Tree:
         self.end[page] = len(entries)
         return page
 
-    def search(self, q: np.ndarray, own: tuple[int, int], k: int) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id), ties to smaller ids, without the row ``own``; and how many distances were computed."""
-        best: list[tuple[int, int]] = []  # a heap of (score, -id)
-        square = float((q.astype(np.float64) ** 2).sum()) + self.bound
-        slack = 1e-6 * (1 + np.sqrt(square))
-        limit, computed = np.inf, 0
-        queue: list[tuple[float, int, float]] = [(0.0, 0, np.nan)] if len(self.x) else []
+    def __getstate__(self) -> dict:
+        """Vectors travel in the smallest integers that hold them."""
+        low, high = (int(self.x.min()), int(self.x.max())) if self.x.size else (0, 0)
+        small = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        return self.__dict__ | {"x": self.x.astype(small)}
+
+    def search(self, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """For each query the number of its best ids with scores of ``floor`` or more (k at most, ties to smaller ids),
+        their scores and ids, and how many distances were computed in all."""
+        n = len(q)
+        # Products below 2^52 are exact in 64-bit floats, which multiply fast; others are computed in integers.
+        exact = n and len(self.x) and max(self.bound, float((q.astype(np.float64) ** 2).sum(1).max())) < 2.0**52
+        kind = np.float64 if exact else np.int64
+        x, q = self.x.astype(kind), q.astype(kind)
+        square = (q.astype(np.float64) ** 2).sum(1) + self.bound
+        slack, computed = 1e-6 * (1 + np.sqrt(square)), 0
+        scores, ids, filled = np.full((n, k), NONE), np.zeros((n, k), np.int64), np.zeros(n, np.int64)
+        floor = floor.copy()
+
+        def limits(at: np.ndarray) -> np.ndarray:
+            return np.where(floor[at] > NONE, np.sqrt(np.maximum(square[at] - 2.0 * floor[at], 0)) + slack[at], np.inf)
+
+        limit = limits(np.arange(n))
+        queue: list[tuple[float, int, np.ndarray, np.ndarray, np.ndarray | None]] = [(0.0, 0, np.arange(n), np.zeros(n), None)] if len(self.obj) else []
         while queue:
-            least, page, to_parent = heapq.heappop(queue)
-            if least > limit + slack:
-                break
-            at = np.arange(self.start[page], self.end[page])
-            if to_parent == to_parent:
-                at = at[np.abs(to_parent - self.parent[at]) - self.radius[at] <= limit + slack]
-            if not len(at):
+            _, page, active, low, to_parent = heapq.heappop(queue)
+            some = low <= limit[active]
+            active = active[some]
+            if not len(active):
                 continue
+            at = np.arange(self.start[page], self.end[page])
+            if to_parent is not None:
+                # |d(query, parent) - d(entry, parent)| - radius is the least distance by the stored ones.
+                can = np.abs(to_parent[some][None, :] - self.parent[at][:, None]) - self.radius[at][:, None] <= limit[active][None, :]
+                at, active = at[can.any(1)], active[can.any(0)]
+                if not len(at) or not len(active):
+                    continue
             obj = self.obj[at].astype(np.int64)
-            ip = self.x[obj] @ q
-            computed += len(at)
-            leaf = self.child[at[0]] < 0
-            if leaf:
-                hits = np.arange(len(at))
-                if len(best) == k:
-                    hits = np.flatnonzero(ip >= best[0][0])
-                for h in hits.tolist():
-                    o = int(obj[h])
-                    if (self.ids[o], self.nth[o]) == own:
-                        continue
-                    item = (int(ip[h]), -int(self.ids[o]))
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-                if len(best) == k:
-                    limit = np.sqrt(max(square - 2 * best[0][0], 0))
+            ip = x[obj] @ q[active].T
+            computed += ip.size
+            if self.child[at[0]] < 0:
+                r, c = np.nonzero(ip >= floor[active][None, :])
+                if not len(r):
+                    continue
+                hit, o = np.unique(active[c]), obj[r]
+                times = self.ends[o] - np.where(o > 0, self.ends[o - 1], 0)
+                more = np.repeat(self.ends[o] - np.cumsum(times), times) + np.arange(int(times.sum()))
+                old = np.arange(k)[None, :] < filled[hit][:, None]
+                who = np.concatenate([np.repeat(active[c], times), np.repeat(hit, filled[hit])])
+                score = np.concatenate([np.repeat(ip[r, c].astype(np.int64), times), scores[hit][old]])
+                name = np.concatenate([self.ids[more], ids[hit][old]])
+                order = np.lexsort((name, -score, who))
+                who, score, name = who[order], score[order], name[order]
+                first = common.runs(who)
+                place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+                keep = place < k
+                scores[who[keep], place[keep]], ids[who[keep], place[keep]] = score[keep], name[keep]
+                filled[hit] = np.minimum(np.diff(np.append(first, len(who))), k)
+                full = hit[filled[hit] == k]
+                floor[full] = np.maximum(floor[full], scores[full, k - 1])
+                limit[full] = limits(full)
             else:
-                d = np.sqrt(np.maximum(square - 2 * ip.astype(np.float64), 0))
-                low = np.maximum(d - self.radius[at], 0)
-                for h in np.flatnonzero(low <= limit + slack).tolist():
-                    heapq.heappush(queue, (float(low[h]), int(self.child[at[h]]), float(d[h])))
-        return sorted(((s, -i) for s, i in best), key=lambda z: (-z[0], z[1])), computed
+                d = np.sqrt(np.maximum(square[active][None, :] - 2.0 * ip, 0))
+                low = np.maximum(d - self.radius[at][:, None], 0)
+                on = low <= limit[active][None, :]
+                for h in np.flatnonzero(on.any(1)).tolist():
+                    own = on[h]
+                    heapq.heappush(queue, (float(low[h][own].min()), int(self.child[at[h]]), active[own], low[h][own], d[h][own]))
+        return filled, scores, ids, computed
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """vec_id, nth (of rows with this id), dim, v: the vectors that take part, as integers."""
+    """vec_id, key (the vector's bytes), dim, v: the vectors that take part, as integers."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].alias("embedding")).where("vec_id is not null").where(fine).select("vec_id", F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
-    return rows.select("vec_id", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).alias("nth"), F.size("v").alias("dim"), "v")
+    return rows.select("vec_id", F.encode(F.array_join(F.col("v").cast("array<string>"), ","), "utf-8").alias("key"), F.size("v").alias("dim"), "v")
+
+
+def objects(rows: DataFrame, is_query, k: int) -> DataFrame:
+    """key, dim, v, ids (the k + 1 smallest of the rows with this vector, as often as they occur), asked (one is a query).
+
+    The smallest ids of each key are found per task first, so a vector that millions of rows share is no hot key.
+    """
+    by = Window.partitionBy("key").orderBy("vec_id")
+    few = rows.select("key", "vec_id").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k + 1)
+    ids = few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    each = rows.groupBy("key").agg(F.max(is_query(F.col("vec_id"))).alias("asked"), F.first("v").alias("v"), F.first("dim").alias("dim"))
+    return each.join(ids, "key")
+
+
+def pivots(found: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Medoids of a bounded sample, for each vector length in it."""
+    sample = found.select("dim", "key", "v").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
+    out = {}
+    for dim in sorted({r["dim"] for r in sample}):
+        x = np.array([r["v"] for r in sample if r["dim"] == dim], np.float64).reshape(-1, dim)
+        out[dim] = x[medoids(x, min(n, len(x)))]
+    return out
+
 
+def dealt(found: DataFrame, n: int) -> DataFrame:
+    """``found`` with its cell: the vector length and the nearest pivot."""
+    own = found.sparkSession.sparkContext.broadcast(pivots(found, n))
+    schema = pa.schema([("key", pa.binary()), ("dim", pa.int32()), ("v", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("asked", pa.bool_()), ("cell", pa.string())])
 
-def build(rows: DataFrame, shards: int) -> DataFrame:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, vs = batch.column(1).to_numpy(), batch.column(2)
+            cell = np.empty(len(batch), object)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                x = vs.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(len(at), dim)
+                p = own.value.get(dim)
+                near = np.zeros(len(at), np.int64) if p is None or not dim else (x @ p.T - (p**2).sum(1) / 2).argmax(1)
+                cell[at] = [f"{dim}_{z}" for z in near.tolist()]
+            yield common.record(schema, [*batch.columns, cell.tolist()])
+
+    return found.select("key", "dim", "v", "ids", "asked").mapInArrow(task, "key binary, dim int, v array<long>, ids array<long>, asked boolean, cell string")
+
+
+def build(rows: DataFrame) -> DataFrame:
     """shard, tree: an M-tree of each shard. A shard's vectors have one length."""
     schema = pa.schema([("shard", pa.string()), ("tree", pa.binary())])
 
     def make(key: tuple, part: pa.Table) -> pa.Table:
-        n = len(part)
-        x = part["v"].combine_chunks().flatten().to_numpy().reshape(n, -1)
-        tree = Tree(part["vec_id"].to_numpy(), part["nth"].to_numpy(), x)
+        x = part["v"].combine_chunks().flatten().to_numpy().reshape(len(part), key[1].as_py())
+        ids = part["ids"].combine_chunks()
+        tree = Tree(ids.flatten().to_numpy(), x, np.cumsum([len(z) for z in ids]))
         return pa.table([[key[0].as_py()], [pickle.dumps(tree, 5)]], schema=schema)
 
-    shard = F.concat_ws("_", "dim", F.pmod(F.xxhash64("vec_id", "nth"), F.lit(shards)))
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(make, "shard string, tree binary")
+    return rows.select("shard", "dim", "v", "ids").groupBy("shard", "dim").applyInArrow(make, "shard string, tree binary")
+
+
+def met(trees: DataFrame, blocks: DataFrame, k: int, chunks: int = 1) -> DataFrame:
+    """key, score, vec_id: what blocks (shard, keys, vs, floors) find in their shard's tree.
+
+    Tree and blocks of a shard go to one task in one sorted stream, in which only the tree is held; ``chunks`` parts the
+    blocks of a shard among as many tasks.
+    """
+    own = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).select("shard", "chunk", "tree", *(F.lit(None).cast(t).alias(c) for c, t in (("keys", "array<binary>"), ("vs", "array<long>"), ("floors", "array<long>"))))
+    asked = blocks.select("shard", F.pmod(F.xxhash64("keys"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(None).cast("binary").alias("tree"), "keys", "vs", "floors")
+    stream = own.unionByName(asked).repartition(common.partitions(trees.sparkSession), "shard", "chunk").sortWithinPartitions("shard", "chunk", F.col("tree").isNull())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            for data, keys, vs, floors in zip(*batch.columns[2:], strict=True):
+                if data.is_valid:
+                    tree = pickle.loads(data.as_py())
+                    continue
+                keys = keys.as_py()
+                filled, scores, ids, _ = tree.search(vs.values.to_numpy().reshape(len(keys), -1), floors.values.to_numpy(), k)
+                some = np.arange(k)[None, :] < filled[:, None]
+                yield common.record(_found, [[keys[r] for r in np.repeat(np.arange(len(keys)), filled).tolist()], scores[some], ids[some]])
+
+    return stream.mapInArrow(task, FOUND)
 
 
 def top(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query row."""
-    common.batches(vectors.sparkSession)
-    rows = common.cut(integers(vectors), "vectors")
-    shards = -(-rows.count() // shard) or 1
-    trees = common.cut(build(rows, shards), "mtree")
-    queries = rows.where(is_query(F.col("vec_id")))
-    blocks = -(-queries.count() // block) or 1
-    packed = queries.groupBy("dim", F.pmod(F.xxhash64("vec_id", "nth"), F.lit(blocks)).alias("block")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("nth").alias("nths"), F.flatten(F.collect_list("v")).alias("vs"))
-    spread = packed.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.concat_ws("_", "dim", s)))).drop("dim", "block")
-    met = spread.join(trees, "shard").select("tree", "ids", "nths", "vs")
-    schema = pa.schema([("query_id", pa.int64()), ("nth", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, ids, nths, vs in zip(*batch.columns, strict=True):
-                tree = pickle.loads(data.as_py())
-                ids, nths = ids.as_py(), nths.as_py()
-                q = vs.values.to_numpy().reshape(len(ids), -1)
-                out = [(i, n, v, s) for i, n, x in zip(ids, nths, q, strict=True) for s, v in tree.search(x, (i, n), k)[0]]
-                yield common.record(schema, list(zip(*out)) if out else [[]] * 4)
-
-    found = met.mapInArrow(search, "query_id long, nth int, vec_id long, score long")
-    by = Window.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    common.batches(spark)
+    rows = integers(vectors)
+    found = common.cut(objects(rows, is_query, k), "objects")
+    cells = common.cut(dealt(found, min(PIVOTS, -(-found.count() // shard) or 1)), "cells")
+    # At most PIVOTS rows for each vector length of the sample: small enough to broadcast.
+    count = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"), F.count_if("asked").alias("n"))
+    placed = cells.join(F.broadcast(count), ["dim", "cell"]).withColumn("shard", F.concat_ws("_", "cell", F.pmod(F.xxhash64("key"), "parts")))
+    trees = common.cut(build(placed), "mtree")
+    # Queries of a shard in blocks; each distinct vector is searched once.
+    blocks = F.greatest(F.ceil(F.col("n") / F.col("parts") / block), F.lit(1))
+    asked = placed.where("asked").select("dim", "shard", F.pmod(F.xxhash64("key", F.lit(1)), blocks).alias("block"), "key", "v")
+
+    def packed(queries: DataFrame) -> DataFrame:
+        each = queries.groupBy("dim", "shard", "block").agg(F.collect_list(F.struct("key", "v", "floor")).alias("z"))
+        return each.select("dim", "shard", F.col("z.key").alias("keys"), F.flatten("z.v").alias("vs"), F.col("z.floor").alias("floors"))
+
+    at_home = common.cut(met(trees, packed(asked.withColumn("floor", F.lit(NONE).cast("long"))), k + 1), "own-shard")
+    floors = at_home.groupBy("key").agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(NONE).cast("long")).alias("floor"))
+    full = packed(asked.join(floors, "key")).withColumnRenamed("shard", "home")
+    others = full.join(F.broadcast(count.select("dim", "cell", "parts")), "dim").withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.concat_ws("_", "cell", p))))
+    several = max(1, -(-4 * common.partitions(spark) // max(trees.count(), 1)))
+    rest = met(trees, others.where("shard <> home"), k + 1, several)
+    by = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    best = at_home.unionByName(rest).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k + 1)
+    lists = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("loss"), "vec_id"))).alias("best"))
+    # A query row leaves itself out once, if it is among the k + 1.
+    loss = -F.aggregate(F.transform("v", lambda c: c * c), F.lit(0).cast("long"), lambda a, c: a + c)
+    own = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "key", loss.alias("loss")).join(lists, "key")
+    at = F.array_position("best", F.struct(F.col("loss"), F.col("query_id").alias("vec_id"))).cast("int")
+    left = F.when(at > 0, F.concat(F.slice("best", F.lit(1), at - 1), F.slice("best", at + 1, F.lit(k + 1)))).otherwise(F.col("best"))
+    return own.select("query_id", F.posexplode(F.slice(left, 1, k)).alias("place", "z")).select("query_id", (F.col("place") + 1).alias("rank"), F.col("z.vec_id").alias("vec_id"), (-F.col("z.loss")).alias("score"))

@@ -99,7 +99,8 @@ def _group(pass_no: int, capacity: int):
 
 def _grouped(rows: DataFrame, count: int, pass_no: int, size: int, capacity: int) -> DataFrame:
     groups = max(1, -(-count // size))
-    keyed = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(groups)).cast("long"))
+    # The row's place in the stored table parts rows that are repeated.
+    keyed = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return keyed.groupBy("group").applyInArrow(_group(pass_no, capacity), PACKED + ", gap long")
 
 
