@@ -8,7 +8,7 @@ def docs_of(spark):
     """documents with the given (doc_id, text) rows and columns whose names clash with those that operators make."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, "en", "s", 0, "x", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, score double")
+        return spark.createDataFrame([(i, t, "en", "s", 0, "x", 1.0, 7, 8) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string, score double, nth int, gone_id int")
 
     return make
 

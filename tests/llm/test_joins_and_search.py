@@ -70,6 +70,25 @@ def test_join_is_exact(spark, docs_of, odd_rows, percent, n, block, monkeypatch)
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, n, percent), key=key)
 
 
+def test_repeated_ids_with_different_texts_stay_apart(spark, docs_of):
+    a, c = ([f"{x}{k}" for k in range(60)] for x in "ac")
+    near = lambda words: " ".join([*words[:-1], "z"])
+    rows = [(5, " ".join(c)), (5, " ".join(a)), (3, near(c)), (9, near(a)), (4, "q r s t"), (4, "u v w")]
+    got = group_join.join(docs_of(rows), 3, 90).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 3, 90)) == sorted([(5, 58, 3, 1), (5, 58, 5, 1), (3, 58, 3, 1), (9, 58, 5, 1), (4, 2, 4, 0), (4, 1, 4, 0)])
+    kept = group_join.one_of_each(docs_of(rows), 3, 90)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([rows[2], rows[1], rows[4], rows[5]])
+
+
+@pytest.mark.parametrize("hot", [0, 3, 10_000])
+def test_large_clusters_are_found_by_their_list(spark, docs_of, hot, monkeypatch):
+    monkeypatch.setattr(group_join, "HOT", hot)
+    monkeypatch.setattr(group_join, "BLOCK_CLASSES", 4)
+    rows = near_copies(8, 5, 9)
+    got = group_join.join(docs_of(rows), 3, 80).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 3, 80))
+
+
 def test_verify_by_bits_and_by_lists_agree():
     rnd = np.random.default_rng(0)
     base = np.unique(rnd.integers(0, 1 << 60, 80).astype(np.uint64))

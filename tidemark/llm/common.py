@@ -18,9 +18,11 @@ _own_dir: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``; where that is unset, in a folder of this process."""
+    """A new folder in ``spark.checkpoint.dir``. Where that is unset, a folder of this process, if no other machine takes part."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         base = _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="spark-tidemark-"))
     if "://" not in base:
         base = "file://" + os.path.abspath(base.removeprefix("file:"))
@@ -55,6 +57,22 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """``names`` with underscores before them until none is a column's."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table marked for broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -11,8 +11,9 @@
    where overlaps are counted and pairs verified exactly. A tile returns one row for each class: its links and its root.
 5. Components over tiles give the component of each class, and so of each document.
 
-Defined results: null text and text without words have size 0 and no links; repeated rows are copies; a null id takes part
-but never names a component (a component of null ids only has a null id); an empty table gives no rows.
+Defined results: null text and text without words have size 0 and no links; repeated rows are copies; rows of one id with
+different texts are documents of their own, which link by their texts only; a null id takes part but never names a
+component (a component of null ids only has a null id); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -35,8 +37,8 @@ SKETCH, CHUNKS = 22, 64
 BLOCK_GRAMS, BLOCK_CLASSES = 1_000_000, 1000
 #: Rows up to which a list of classes is broadcast (24 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Nodes of classes without an id are numbered from here.
-NO_ID = 1 << 62
+#: Classes of a cluster from which its rows are found by a list of such clusters instead of a shuffle.
+HOT = 200
 #: Groups of a stretch up to which its pairs are filtered one by one, a fixed multiple of its rows.
 SHORT = 16
 SETS = "doc_id long, text_key long, size int, digest binary, prefix binary, mark binary"
@@ -156,10 +158,12 @@ def sets(docs: DataFrame, counters: np.ndarray, n: int, percent: int) -> DataFra
 
 
 def classes_of(found: DataFrame) -> DataFrame:
-    """A row for each distinct set: node (its least id), copies, the row that stands for it, its group, its prefix."""
-    node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("digest", "size"), F.lit(NO_ID - 1)))
-    rows = found.where("size > 0").groupBy("size", "digest").agg(node.alias("node"), F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
-    return rows.select("node", "size", "digest", "copies", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), F.xxhash64("prefix", "size").alias("group"), "prefix", "mark")
+    """A row for each distinct set: its node, copies, the row that stands for it (its least id), its group, its prefix.
+
+    Nodes number the rows, so no two classes share one; store the result before it is used twice.
+    """
+    rows = found.where("size > 0").groupBy("size", "digest").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"), F.first("prefix").alias("prefix"), F.first("mark").alias("mark"))
+    return rows.select(F.monotonically_increasing_id().alias("node"), "size", "digest", "copies", F.col("row.doc_id").alias("doc_id"), F.col("row.text_key").alias("text_key"), F.xxhash64("prefix", "size").alias("group"), "prefix", "mark")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -172,8 +176,6 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             times = [len(x) for x in each]
             yield common.record(schema, [np.concatenate(each) if each else [], np.repeat(batch.column(0).to_numpy(), times), np.repeat(batch.column(1).to_numpy(), times)])
 
-    from pyspark.sql.window import Window
-
     # A group of several classes has no mark of its own, so none of its pairs is ruled out by marks.
     groups = classes.groupBy("group", "size").agg(F.first("prefix").alias("prefix"), F.when(F.count("*") == 1, F.first("mark")).alias("mark"))
     rows = groups.mapInArrow(task, "gram long, group long, size int")
@@ -209,8 +211,12 @@ def tiles(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """
     slim = classes.select("node", "group", "size", "copies", "doc_id", "text_key")
     placed = slim.join(labels.select(F.col("node").alias("group"), "label"), "group", "left").withColumn("cluster", F.coalesce("label", "group")).drop("label", "group")
-    weight = placed.groupBy("cluster").agg(F.sum("size").alias("grams"), F.count("*").alias("n"))
-    several = common.cut(placed.join(weight.where("n > 1"), "cluster"), "clusters")
+    placed = common.cut(placed, "placed")
+    weight = common.cut(placed.groupBy("cluster").agg(F.sum("size").alias("grams"), F.count("*").alias("n")).where("n > 1"), "weights")
+    # The rows of a large cluster stay where they are: such clusters are at most a HOT-th of the classes.
+    hot = common.small(weight.where(F.col("n") > HOT), BROADCAST_ROWS)
+    others = placed.join(hot.select("cluster"), "cluster", "left_anti").join(weight.where(F.col("n") <= HOT), "cluster")
+    several = common.cut(placed.join(hot, "cluster").unionByName(others), "clusters")
     small = (F.col("grams") <= BLOCK_GRAMS) & (F.col("n") <= BLOCK_CLASSES)
     total = several.where(small).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("g"), F.count("*").alias("n")).first()
     shelves = 1 + max(total["g"] // BLOCK_GRAMS, total["n"] // (4 * BLOCK_CLASSES))
@@ -296,9 +302,7 @@ def verify(sizes: np.ndarray, members: list[np.ndarray], side: np.ndarray | None
 def linked(docs: DataFrame, placed: DataFrame, n: int, percent: int) -> DataFrame:
     """node, root, links of each class in each of its tiles, where it has links."""
     schema = pa.schema([("tile", pa.string()), ("node", pa.int64()), ("side", pa.int32()), ("same", pa.bool_()), ("copies", pa.int64()), ("grams", pa.binary())])
-    placed = common.cut(placed, "tiles")
-    if placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
+    placed = common.small(common.cut(placed, "tiles"), BROADCAST_ROWS)
     rows = common.texts(docs).withColumn("text_key", F.xxhash64("text")).alias("d")
     met = rows.join(placed.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key"))).select("p.tile", "p.node", "p.side", "p.same", "p.copies", "d.text")
 
@@ -329,29 +333,28 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     labels = components(candidates(classes, percent))
     each = common.cut(linked(docs, tiles(classes, labels, percent), n, percent), "links")
     label = components(each.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = each.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.select("node", "size", "digest", "copies").join(label, "node", "left").join(links, "node", "left")
-    known = known.select("size", "digest", F.coalesce("label", "node").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    least = label.join(classes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component"))
+    linked_ones = label.join(least, "label").join(each.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").select("node", "label", "component", "links")
+    known = classes.select("node", "size", "digest", "copies", F.col("doc_id").alias("own")).join(linked_ones, "node", "left")
+    component = F.when(F.col("label").isNull(), F.col("own")).otherwise(F.col("component"))
+    known = known.select("size", "digest", F.coalesce("label", "node").alias("component_key"), component.alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     rows = found.select("doc_id", "text_key", "size", "digest").join(known, ["size", "digest"], "left")
-    component = F.when(F.col("component") >= NO_ID, None).otherwise(F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "text_key", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", F.xxhash64("doc_id", "text_key")).alias("component_key"), (F.col("size") == 0).alias("empty"))
+    empty = F.col("size") == 0
+    return rows.select("doc_id", "text_key", F.col("size").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_key", F.xxhash64("doc_id", "text_key")).alias("component_key"), empty.alias("empty"))
 
 
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` without those whose component has an earlier document; rows without words all stay."""
-    from pyspark.sql.window import Window
-
     found = common.cut(join(docs, n, percent), "components")
     rows = found.where(~F.col("empty"))
     first = rows.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row")).select("row.doc_id", "row.text_key")
     gone = rows.select("doc_id", "text_key").join(first.withColumn("stays", F.lit(True)), rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["text_key"] == first["text_key"]), "left").where("stays is null").select(rows["doc_id"], rows["text_key"]).distinct()
-    gone = common.cut(gone, "gone")
-    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_key")), "left_anti")
+    gone_id, gone_key, nth = common.free(docs.columns, "gone_id", "gone_key", "nth")
+    gone = common.small(common.cut(gone, "gone"), BROADCAST_ROWS).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_key)), "left_anti")
     again = rows.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
     if again:  # the very same row more than once: one stays
-        by = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
         blank = ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-        kept = kept.withColumn("_nth", F.row_number().over(by)).where((F.col("_nth") == 1) | blank).drop("_nth")
+        single = kept.where(~blank).withColumn(nth, F.xxhash64("text")).dropDuplicates(["doc_id", nth]).drop(nth)
+        kept = single.unionByName(kept.where(blank))
     return kept

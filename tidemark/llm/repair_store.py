@@ -35,25 +35,34 @@ _schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("name", pa.stri
 def compress(ids: np.ndarray, last: np.ndarray, base: int, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, their end-of-document flags, and the rules (pairs of symbols; rule k is the symbol base + k)."""
     seq, last, rules, count = ids.astype(np.uint32), last.copy(), [], 0
+    # Once a round has taken all frequent pairs, only pairs with symbols of that round can be frequent. A full count ends it.
+    fresh_from = 0
     while len(seq) > 1:
         # Pairs are numbers of 32 bits as long as symbols have 16, then of 64.
         shift, kind, factor = (16, np.uint32, 2654435761) if base + count <= 1 << 16 else (32, np.uint64, 0x9E3779B97F4A7C15)
         keys = seq[:-1].astype(kind) << kind(shift) | seq[1:]
-        ordered = np.sort(keys[~last[:-1]])
+        inner = ~last[:-1]
+        if fresh_from:
+            inner &= np.maximum(seq[:-1], seq[1:]) >= fresh_from
+        ordered = np.sort(keys[inner])
         starts = common.runs(ordered)
         counts = np.diff(np.append(starts, len(ordered)))
         good = np.flatnonzero(counts >= least)
-        if len(good) > per_round:
-            good = good[np.argsort(-counts[good], kind="stable")[:per_round]]
         if not len(good):
-            break
+            if not fresh_from:
+                break
+            fresh_from = 0
+            continue
+        whole = len(good) <= per_round
+        if not whole:
+            good = good[np.argsort(-counts[good], kind="stable")[:per_round]]
         pairs = ordered[starts[good]]
         # A table of 2^20 slots finds the chosen pairs; of two in one slot the later waits for the next round.
         slot = lambda x: (x * kind(factor)) >> kind(2 * shift - 20)
         lookup = np.zeros(1 << 20, np.int32)
         lookup[slot(pairs[::-1])] = np.arange(len(pairs), 0, -1, dtype=np.int32)
         found = lookup[slot(keys)] - 1
-        hit = (found >= 0) & (pairs[found] == keys) & ~last[:-1]
+        hit = (found >= 0) & (pairs[found] == keys) & inner
         # Of overlapping hits the first, third, ... are taken.
         at = np.flatnonzero(hit)
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
@@ -64,6 +73,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int, per_round: int = PER_
         number = np.cumsum(used) - 1
         rules.append(np.stack([pairs[used] >> kind(shift), pairs[used] & kind((1 << shift) - 1)], 1).astype(np.uint32))
         seq[at] = (base + count + number[found[at]]).astype(np.uint32)
+        fresh_from = base + count if whole else 0
         count += int(used.sum())
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
@@ -90,21 +100,40 @@ def spread(data: memoryview, count: int, width: int) -> tuple[np.ndarray, int]:
     return out, 2 * count + size
 
 
-def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all symbols one after another, and where each symbol's begin (symbols, then rules)."""
-    flat: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        flat.append(np.concatenate([flat[x - base] if x >= base else np.array([x], np.uint32) for x in (a, b)]))
-    lengths = np.array([1] * base + [len(x) for x in flat], np.int64)
-    return np.concatenate([np.arange(base, dtype=np.uint32), *flat]), np.concatenate([[0], np.cumsum(lengths)])
+def levels(rules: np.ndarray, base: int) -> list[np.ndarray]:
+    """The rules in an order in which each one's symbols come first: by height."""
+    todo = np.arange(len(rules))
+    out: list[np.ndarray] = []
+    done = np.zeros(base + len(rules), bool)
+    done[:base] = True
+    while len(todo):
+        ready = done[rules[todo, 0]] & done[rules[todo, 1]]
+        out.append(todo[ready])
+        done[base + out[-1]] = True
+        todo = todo[~ready]
+    return out
 
 
 def lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """The number of ids that each nonterminal stands for."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, "<u4")
+    size = np.ones(base + len(rules), np.int64)
+    for k in levels(rules, base):
+        size[base + k] = size[rules[k, 0]] + size[rules[k, 1]]
+    return size[base:].astype("<u4")
+
+
+def expansions(rules: np.ndarray, base: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all symbols one after another, and where each symbol's begin (symbols, then rules); ``sizes``: of each rule."""
+    size = np.concatenate([np.ones(base, np.int64), sizes])
+    where = np.concatenate([[0], np.cumsum(size)])
+    flat = np.arange(where[-1], dtype=np.uint32)
+    for k in levels(rules, base):
+        for side, shift in ((0, 0), (1, size[rules[k, 0]])):
+            part = rules[k, side]
+            n = size[part]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            flat[np.repeat(where[base + k] + shift, n) + step] = flat[np.repeat(where[part], n) + step]
+    return flat, where
 
 
 def pack(part: int, seq: int, start: int, doc_ids: list, docs: list[np.ndarray], base: int) -> bytes:
@@ -152,7 +181,7 @@ class Shard:
 
     def document(self, k: int) -> np.ndarray:
         if self._flat is None:
-            self._flat = expansions(self.rules, self.head["base"])
+            self._flat = expansions(self.rules, self.head["base"], self.lengths)
         flat, where = self._flat
         symbols = self.symbols_of(k)
         begin, size = where[symbols], where[symbols + 1] - where[symbols]

@@ -8,6 +8,7 @@ a time: the marks of word ends or starts in the vocabulary tell where each one's
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
@@ -26,6 +27,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 SEGMENTS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: How white space beyond ASCII begins in UTF-8; other characters begin so as well.
 WIDE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80")
+#: Byte-level vocabularies write each byte as one character: printable ones as themselves, others from U+0100 on.
+_printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: b if b in _printable else 0x100 + sum(x not in _printable for x in range(b)) for b in range(256)}
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -55,7 +59,7 @@ def spans(data: bytes, starts: np.ndarray) -> pa.Array:
 class _Encoder:
     """The ids of words are those of their core, the letters, and of the marks behind it, which no pattern takes together."""
 
-    separator = ""
+    separator = prefix = ""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,6 +70,9 @@ class _Encoder:
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.bounds = np.array([self.bound(str(self.tok.id_to_token(i) or "")) for i in range(self.size)])
+        self.tokenize = self.tok.model.tokenize
+        # Words of letters may go straight to the vocabulary's merges, if this gives what the whole tokenizer does.
+        self.straight = all(self.spelled(x) == self.ask(x).tolist() for x in (self.separator.strip() + self.prefix + w for w in ("a", "thing", "zyxwvutsr", "é", "großmütig")))
         self.forget()
 
     def forget(self) -> None:
@@ -92,6 +99,16 @@ class _Encoder:
     def ask(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
+    def spelled(self, core: str) -> list[int]:
+        """The ids of a word of letters by the merges alone."""
+        text = core if core.isascii() and self.prefix == "" else core.encode().decode("latin-1").translate(BYTES)
+        return [t.id for t in self.tokenize(text)]
+
+    @staticmethod
+    def plainest(core: str) -> bool:
+        """The tokenizer changes nothing in this word of letters before it merges."""
+        return True
+
     def learn(self, cores: list[bytes]) -> None:
         """Put new cores into the cache."""
         text = [c.decode() for c in cores]
@@ -100,6 +117,12 @@ class _Encoder:
             self.known[c] = self.store(np.zeros(0, self.kind), np.zeros(1, np.int64))
             self.size_of[self.known[c]] = -1
         names, text = ([x for x, ok in zip(some, plain, strict=True) if ok] for some in (cores, text))
+        straight = [self.straight and self.plainest(t) for t in text]
+        spelled = [self.spelled(t) for t, ok in zip(text, straight, strict=True) if ok]
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        first = self.store(np.fromiter(itertools.chain.from_iterable(spelled), self.kind, int(sizes.sum())), sizes)
+        self.known.update(zip((c for c, ok in zip(names, straight, strict=True) if ok), range(first, first + len(spelled)), strict=True))
+        names, text = ([x for x, ok in zip(some, straight, strict=True) if not ok] for some in (names, text))
         for at in range(0, len(names), 2000):
             part = text[at : at + 2000]
             ids = self.ask(self.separator.join(part))
@@ -187,6 +210,11 @@ class WordEncoder(_Encoder):
         """Letters only, also after the tokenizer's normal form and lower case."""
         return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
 
+    @staticmethod
+    def plainest(core: str) -> bool:
+        """In lower case, and composed: Latin letters only."""
+        return core.isascii() and core.islower() or core <= "ɏ" and max(core) <= "ɏ" and core == core.lower()
+
     @staticmethod
     def lower(text: bytes) -> bytes:
         """ASCII letters in lower case where this cannot meet a combining mark or an added token."""
@@ -210,6 +238,8 @@ class WordEncoder(_Encoder):
 class ByteEncoder(_Encoder):
     """For a byte-level vocabulary that keeps white space: a text is split into runs of it and words with one space before."""
 
+    prefix = " "
+
     def __init__(self, path: str):
         super().__init__(path)
         self.added = [str(x.content).encode() for x in self.tok.get_added_tokens_decoder().values()]
