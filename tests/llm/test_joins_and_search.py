@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import common, components, group_join, mtree, warc_store
 
@@ -215,6 +216,28 @@ def test_archives_are_equal_bytes_and_standard_gzip(spark):
     assert names[0] == names[1]
 
 
+def test_archives_do_not_depend_on_the_session(spark, tmp_path):
+    n, kept = 50_000, spark.conf.get("spark.sql.shuffle.partitions")
+    pages = spark.range(n).select((F.col("id") * 7919 % n).alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.concat(F.lit("text "), (F.col("id") % 900).cast("string"), F.repeat(F.lit("x"), 40)).alias("html"))
+    found = []
+    try:
+        for partitions, spread in ((4, 3), (4, 3), (7, 11)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            listed = warc_store.write(pages.repartition(spread), common.scratch(spark, "test-warc"), roll=200_000, size=1 << 20)
+            found.append(sorted((r["name"], r["records"], r["sha256"]) for r in listed.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] == found[2] and len({x[0][:11] for x in found[0]}) > 4 and sum(x[1] for x in found[0]) == n
+
+
+@pytest.mark.parametrize("hot", [1, 2, 3, 100])
+def test_references_of_hot_payloads(spark, hot, monkeypatch):
+    monkeypatch.setattr(warc_store, "HOT", hot)
+    slim = spark.createDataFrame([(5, b"a"), (3, b"a"), (None, b"a"), (1, b"b"), (2, b"c"), (9, b"c"), (9, b"c")], "page_id long, digest binary")
+    got = sorted(((r["page_id"] or 0, bytes(r["digest"]), r["first"]) for r in warc_store.references(slim).collect()))
+    assert got == [(0, b"a", 3), (2, b"c", 2), (3, b"a", 3), (5, b"a", 3), (9, b"c", 2)]
+
+
 def test_archives_of_an_empty_table(spark):
     folder = common.scratch(spark, "test-warc")
     warc_store.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)

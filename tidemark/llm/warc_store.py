@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id. Each task writes its range into archives that roll by compressed size, one gzip
-member a record, under temporary names; its manifest rows (name, records, bytes, checksum) are stored with the job's
+Records are range-sorted by page id. The ranges follow from the pages alone, not from the session: their number from the
+bytes of all payloads, their bounds from the page ids with the smallest hashes. A range is written into archives that
+roll by compressed size, one gzip member a record, under temporary names; its manifest rows (name, records, bytes, checksum) are stored with the job's
 commit, and a reader opens only archives that the manifest lists, with the checksum it gives. Headers, record ids and
 digests are made anew from the payload; dates are a parameter, so equal input gives equal bytes. Of equal payloads the
 record with the smallest page id is a response, the others are revisits that refer to it. That is found on digests alone:
@@ -23,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ from . import common
 
 #: Compressed bytes of an archive, and the level of compression.
 ROLL, LEVEL = 16 << 20, 5
+#: Payload bytes of a range, and page ids that its bounds are found in.
+RANGE, SAMPLE = 16 << 20, 20_000
+#: Pages of one payload from which their reference comes from a list instead of a shuffle.
+HOT, BROADCAST_ROWS = 10_000, 1_000_000
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "part int, seq int, name string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -68,23 +73,46 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, revisit: b
     return _member("revisit" if revisit else "response", record_id(page_id, own, nth), headers, http if revisit else http + payload, date)
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll: int = ROLL, date: str = DATE) -> DataFrame:
-    """Write all pages; returns the manifest, stored in ``folder``."""
+def bounds(pages: DataFrame, size: int = RANGE) -> list[float]:
+    """Where ranges of about ``size`` payload bytes begin: the same for equal pages, however they are stored."""
+    total = pages.agg(F.coalesce(F.sum(F.octet_length("html").cast("long") + 100), F.lit(0)).alias("n")).first()["n"]
+    ranges = -(-total // size) or 1
+    if ranges == 1:
+        return []
+    some = pages.where("page_id is not null").select(F.col("page_id").cast("long").cast("double").alias("x"), F.xxhash64(F.col("page_id").cast("long")).alias("h")).orderBy("h", "x").limit(SAMPLE).collect()
+    xs = sorted(r["x"] for r in some)
+    return sorted({xs[k * len(xs) // ranges] for k in range(1, ranges)}) if xs else []
+
+
+def references(slim: DataFrame) -> DataFrame:
+    """page_id, digest, first: for each page and digest that several pages have, the smallest page id of them."""
+    copied = common.cut(slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+    # A payload that very many pages share is no join key: such payloads are at most a HOT-th of the pages.
+    hot = common.small(copied.where(F.col("n") >= HOT).select("digest", "first"), BROADCAST_ROWS)
+    light = copied.where(F.col("n") < HOT).select("digest", "first")
+    found = slim.join(hot, "digest").unionByName(slim.join(hot.select("digest"), "digest", "left_anti").join(light, "digest"))
+    return found.select("page_id", "digest", "first").distinct()
+
+
+def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll: int = ROLL, date: str = DATE, size: int = RANGE) -> DataFrame:
+    """Write all pages; returns the manifest, stored in ``folder``. Equal pages give equal archives."""
     spark = pages.sparkSession
     common.batches(spark)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html")).select("page_id", "url", html.alias("payload"))
     keyed = rows.withColumn("digest", F.unhex(F.sha1("payload")))
     slim = common.cut(keyed.where(F.length("payload") >= least_bytes).select("page_id", "digest"), "digests")
-    copied = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     # A page's reference comes before its record: one row for each page and digest that has copies.
-    refs = slim.join(copied, "digest").select("page_id", "digest", "first").distinct()
-    both = keyed.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(refs.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first"))
-    ranged = both.repartitionByRange(common.partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
+    both = keyed.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(references(slim).select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first"))
+    inner = bounds(pages, size)
+    ranged = both.withColumn("part", F.lit(0))
+    if inner:
+        place = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="at", outputCol="range")
+        ranged = place.transform(both.withColumn("at", F.coalesce(F.col("page_id").cast("double"), F.lit(-float("inf"))))).withColumn("part", F.col("range").cast("int"))
+    ordered = ranged.repartition(max(common.partitions(spark), len(inner) + 1), "part").sortWithinPartitions("part", "page_id", "digest", "kind", "url").select("part", "page_id", "digest", "kind", "url", "payload", "first")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, records = TaskContext.get().partitionId(), 0, 0
-        info = json.dumps({"format": "WARC/1.1", "part": part}, sort_keys=True).encode()
+        part, seq, records = -1, 0, 0
         archive = bytearray()
 
         def close() -> pa.RecordBatch:
@@ -98,7 +126,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll: int = ROLL,
 
         key, ref, nth = None, None, 0
         for batch in batches:
-            for page_id, sha, kind, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own, page_id, sha, kind, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != part:
+                    if archive:
+                        yield close()
+                    part, seq = own, 0
                 if (page_id, sha) != key:
                     key, ref, nth = (page_id, sha), None, 0
                 if kind == 0:
@@ -110,13 +142,14 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll: int = ROLL,
                 if archive and len(archive) + len(member) > roll:
                     yield close()
                 if not archive:
+                    info = json.dumps({"format": "WARC/1.1", "part": part}, sort_keys=True).encode()
                     archive += _member("warcinfo", record_id("info", part, seq), [("Content-Type", "application/json")], info, date)
                 archive += member
                 records += 1
         if archive:
             yield close()
 
-    ranged.mapInArrow(task, MANIFEST).write.parquet(f"{folder}/_manifest")
+    ordered.mapInArrow(task, MANIFEST).write.parquet(f"{folder}/_manifest")
     return manifest(spark, folder)
 
 
