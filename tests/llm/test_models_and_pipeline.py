@@ -34,31 +34,61 @@ def base_scores(rows, held):
 def test_class_ngrams_on_odd_rows(spark, docs_of, odd_rows, head):
     docs = docs_of(odd_rows)
     held_out = common.crc_mod(F.col("doc_id"), 7) == 2
-    got = brown_lm.score(docs, held_out, *brown_lm.train(docs, ~held_out, head)).collect()
+    got = brown_lm.score(*brown_lm.train(docs, ~held_out, head)).collect()
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in odd_rows]
     want = base_scores(odd_rows, held)
     row = lambda r: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3))
     assert sorted(map(row, got)) == sorted((*w[:4], round(w[4], 3)) for w in want)
     assert all(r["score"] < 0 and r["perplexity"] >= 1 for r in got)
-    assert brown_lm.score(docs.where("false"), held_out, *brown_lm.train(docs.where("false"), ~held_out)).count() == 0
+    assert brown_lm.score(*brown_lm.train(docs.where("false"), ~held_out)).count() == 0
 
 
 def test_model_scores_do_not_depend_on_the_head(spark, docs_of):
     rnd = random.Random(0)
     rows = [(i, " ".join(rnd.choice(["aa", "bb", "cc", "dd", f"r{rnd.randrange(40)}"]) for _ in range(60))) for i in range(40)]
     docs, held_out = docs_of(rows), common.crc_mod(F.col("doc_id"), 7) == 2
-    a, b = ({r["doc_id"]: (round(r["base_score"], 6), r["n_known"]) for r in brown_lm.score(docs, held_out, *brown_lm.train(docs, ~held_out, h)).collect()} for h in (1000, 2))
+    a, b = ({r["doc_id"]: (round(r["base_score"], 6), r["n_known"]) for r in brown_lm.score(*brown_lm.train(docs, ~held_out, h)).collect()} for h in (1000, 2))
     assert a == b
 
 
 def test_class_probabilities_sum_to_one():
     rnd = np.random.default_rng(0)
-    bigrams = rnd.integers(0, 9, (12, 12)).astype(float)
-    types = rnd.integers(1, 4, 12).astype(float)
-    model = brown_lm.class_model(bigrams, types, int(bigrams.sum()), int(types.sum()))
+    own = rnd.integers(0, 4, 12)
+    bigrams, tokens, types = rnd.integers(0, 9, (4, 4)).astype(float), rnd.integers(5, 90, 4).astype(float), rnd.integers(1, 4, 4).astype(float)
+    model = brown_lm.class_model(bigrams, tokens, types, 100, 12, own, own)
     assert np.allclose((10**model.transition).sum(1), 1)
-    tokens, words = (np.array([x[model.classes == c].sum() for c in range(len(model.emission))]) for x in (bigrams.sum(0), types))
-    assert np.allclose((tokens + words + 1) / 10**model.emission, 1)
+    assert np.allclose((tokens + types + 1) / 10**model.emission, 1)
+
+
+@pytest.mark.parametrize("head", [1 << 18, 12, 0])
+def test_scores_against_a_plain_loop(spark, docs_of, odd_rows, head):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["Aa", "bb", "cc\x0b", "dd", f"r{rnd.randrange(30)}", f"{'x' * 60}{rnd.randrange(3)}"]) for _ in range(rnd.randrange(40)))) for i in range(80)] + odd_rows[:7]
+    docs, held_out = docs_of(rows), common.crc_mod(F.col("doc_id"), 7) == 2
+    texts, known, shared, model = brown_lm.train(docs, ~held_out, head, 6, 3, 5)
+    table = {r["word"]: (r["n"], r["cls"]) for r in known.collect()}
+    vocab = shared.value
+    want = []
+    for i, text in rows:
+        words = [*WORDS.findall(lower(text or "")), "\n"]
+        before, total = 0, 0.0
+        for w in words:
+            n, c = table.get(w, (0, int(model.ending[vocab.unit(w.encode())])))
+            total += model.transition[before, c] + math.log10(n + 1) - model.emission[c]
+            before = c
+        want.append((str(i), len(words), round(total, 6)))
+    got = brown_lm.score(texts, known, shared, model).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in got) == sorted(want)
+    # Every training word has a class, and the classes' tokens are all tokens.
+    counts = collections.Counter(w for i, x in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in [*WORDS.findall(lower(x or "")), "\n"])
+    assert {w: n for w, (n, _) in table.items()} == counts
+
+
+def test_words_move_to_the_class_of_their_neighbours():
+    n = np.array([[0, 50, 50], [60, 5, 400], [40, 410, 5]], float)
+    # Words of class 1 are followed by class 2 and the other way round; both stand in class 1 at first.
+    before, after = np.array([[0, 0, 9], [0, 9, 0], [0, 1, 0]], float), np.array([[0, 0, 9], [0, 9, 0], [0, 1, 0]], float)
+    assert brown_lm.moved(before, after, np.array([1, 1, 1]), n).tolist() == [1, 2, 1]  # the last is seen once
 
 
 def test_exchange_raises_the_likelihood():

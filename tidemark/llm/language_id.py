@@ -26,6 +26,8 @@ from . import common
 
 #: The largest number of documents of one language to learn from, and hash cells of trigrams.
 PER_LANGUAGE, CELLS = 1200, 4096
+#: Languages up to which their counts are broadcast.
+MAX_LANGUAGES = 10_000
 STEPS, RIDGE, SCALE = 250, 1e-5, 60.0
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no nb nn is fy lb af", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be pl cs sk sl hr sr bg mk", "uralic": "fi et hu", "baltic": "lt lv", "celtic": "ga cy gd br", "turkic": "tr az kk uz", "semitic": "ar he mt", "indo-aryan": "hi ur bn mr ne pa gu"}
@@ -105,12 +107,25 @@ class Languages:
         return best, float(min(max(sure, 0.0), 1.0)), names[k]
 
 
+def sample(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, lang of ``size`` ids of each language, those with the smallest hashes (all, if fewer).
+
+    Ids are counted by language; only about ``size`` of each, those with a hash below a share that the count gives, are
+    ranked, so no language is a large group. The texts are read after that.
+    """
+    each = common.cut(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    enough = size + 8 * size**0.5 + 40  # eight deviations more than are wanted
+    few = hashed.join(common.small(each, MAX_LANGUAGES), "lang").where(F.col("h") * F.col("n") < F.lit(enough) * float(1 << 40))
+    by = Window.partitionBy("lang").orderBy("h", "doc_id")
+    return few.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= size).select("doc_id", "lang").distinct()
+
+
 def learn(docs: DataFrame, teach: Column, size: int = PER_LANGUAGE) -> Languages:
     """Fit on at most ``size`` documents of each language among those that ``teach`` is true for."""
     common.batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"), teach.alias("teach")).where(F.col("teach") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # The sample is chosen over ids alone; texts of the chosen documents are read after that.
-    keys = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= size).select("doc_id", "lang").distinct()
+    keys = sample(rows.select("doc_id", "lang"), size)
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("cells", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

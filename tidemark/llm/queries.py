@@ -25,7 +25,7 @@ def vocabulary(name: str) -> str:
 def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.crc_mod(F.col("doc_id"), 7) == 2
-    return brown_lm.score(docs, held_out, *brown_lm.train(docs, ~held_out))
+    return brown_lm.score(*brown_lm.train(docs, ~held_out))
 
 
 def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

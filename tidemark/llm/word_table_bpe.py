@@ -33,6 +33,9 @@ from .tokens import encoder
 
 #: Distinct words, and positions, at which a block is closed; documents of one stored row.
 BLOCK_WORDS, BLOCK_POSITIONS, ROW_POSITIONS = 200_000, 5_000_000, 1_000_000
+#: Distinct words of a bucket that a worker keeps. Buckets are as many as shuffle partitions, so a session that has enough of
+#: them for its input stays far below.
+KNOWN = 2_000_000
 _split = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 SPLIT = "block long, bucket int, payload binary"
 _replies = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -129,6 +132,8 @@ def encode_lists(lists: DataFrame, vocabulary: str, buckets: int) -> DataFrame:
                     known, bucket = {}, b  # rows are sorted by bucket
                 (joined,) = _parts(payload)
                 words = joined.split(b" ")
+                if len(known) > KNOWN:  # a word that comes again is then encoded again
+                    known = {}
                 if new := [w for w in words if w not in known]:
                     known.update(zip(new, (x.tobytes() for x in tok.encode_words(new)), strict=True))
                 ids = [known[w] for w in words]
@@ -147,6 +152,8 @@ def assemble(documents: DataFrame, replies: DataFrame, vocabulary: str, out: str
 
     def task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder("word", vocabulary)
+        if tok.tok.decoder is not None:
+            raise ValueError("this vocabulary has a decoder, so its pieces are not joined by spaces")
         pieces = [(tok.tok.id_to_token(i) or "").encode() for i in range(tok.size)]
         decimals = [b"%d" % i for i in range(tok.size)]
         block, lists, ready = None, [], None
