@@ -104,3 +104,31 @@ def test_articles_with_one_opening_are_told_apart(spark):
 def test_headlines_are_whole(spark, sf_dir):
     longest = market.headlines(spark, sf_dir).agg(F.max(F.length("title"))).first()[0]
     assert longest == spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max(F.length("text"))).first()[0] > 80
+
+
+def test_recursive_averages_keep_their_state_over_nulls(spark):
+    values = [None, 10.0, None, 10.0, 4.0, None, None, 7.0] + [float(k % 5) if k % 3 else None for k in range(150)]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(values)], "symbol int, date int, x double")
+    got = [r["y"] for r in fr.ema(df, {"y": ("x", 3)}).orderBy("date").collect()]
+    state, want = None, []
+    for v in values:
+        state = state if v is None else v if state is None else 0.5 * state + 0.5 * v
+        want.append(state)
+    assert got[0] is None and all(abs(a - b) < 1e-9 for a, b in zip(got[1:], want[1:]))
+
+
+def test_running_sums_give_the_frames_moments(spark):
+    import random
+
+    rnd = random.Random(0)
+    rows = [(s, d, None if rnd.random() < 0.1 else 3.0 if s == 2 else rnd.gauss(50, 2)) for s in (1, 2, 3) for d in range(90)]
+    df = spark.createDataFrame(rows, "symbol int, date int, x double").withColumn("y", fr.lag("x"))
+    w = fr.last_rows(20)
+    kinds = {"mean": fr.rolling("mean", "x", 20, 5), "std": fr.rolling("std", "x", 20, 5), "sum": fr.rolling("sum", "x", 20, 5), "skew": F.when(F.count("x").over(w) >= 5, fr.corrected_skew("x", w)), "kurt": F.when(F.count("x").over(w) >= 5, fr.corrected_kurtosis("x", w))}
+    out = fr.moments(df, "x", {k: (k, 20, 5) for k in kinds})
+    out = fr.rolling_max(fr.rolling_correlation(out, "corr", "x", "y", 20), "most", "x", 20)
+    kinds |= {"corr": fr.correlation("x", "y", w), "most": F.max("x").over(w)}
+    for r in out.withColumns({f"{k}_want": c for k, c in kinds.items()}).collect():
+        for k in kinds:
+            a, b = r[k], r[f"{k}_want"]
+            assert (a is None and b is None) or abs(a - b) < 1e-6 * max(1, abs(b)), (k, r)

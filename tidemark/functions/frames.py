@@ -133,30 +133,120 @@ def cross_z(x, *keys: str) -> Column:
     return F.when(F.stddev_pop(x).over(w) <= 1e-12, 0.0).otherwise((x - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0)))
 
 
+def running(df: DataFrame, products: dict[str, Column], key: str = "symbol", order: str = "date") -> DataFrame:
+    """Add {name: sum of the non-null products of all rows so far}."""
+    w = so_far(key, order)
+    return df.withColumns({name: F.coalesce(F.sum(x).over(w), F.lit(0.0)) for name, x in products.items()})
+
+
+def block_sums(df: DataFrame, products: dict[str, Column], n: int, key: str = "symbol", order: str = "date") -> DataFrame:
+    """Add {name: sum of the non-null products of the last n rows}: of the row's block of n rows so far, and of the rows of the
+    block before that are still in the frame. Nothing is subtracted, so no earlier value costs precision."""
+    out = df.withColumn("_place", F.row_number().over(series(key, order)) - 1).withColumn("_block", F.floor(F.col("_place") / n))
+    up = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key, "_block").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0.0)
+    out = out.withColumns({f"_r{name}": F.coalesce(F.sum(x).over(down), zero) for name, x in products.items()})
+    out = out.withColumns({f"_o{name}": F.coalesce(F.sum(x).over(up), zero) for name, x in products.items()})
+    old = {name: F.when(F.col("_place") % n == n - 1, zero).otherwise(F.coalesce(F.lag(f"_r{name}", n - 1).over(series(key, order)), zero)) for name in products}
+    return out.withColumns({name: F.col(f"_o{name}") + old[name] for name in products}).drop("_place", "_block", *(f"{a}{name}" for a in ("_r", "_o") for name in products))
+
+
+def moments(df: DataFrame, x: str, wanted: dict[str, tuple[str, int, int]], key: str = "symbol", order: str = "date") -> DataFrame:
+    """Add {name: (kind, n, least)}: mean, sum, std, skew or kurt (as ``corrected_skew`` and ``corrected_kurtosis``) of x over
+    the last n rows, null below ``least`` values.
+
+    Differences of running sums of powers of x less its mean over the key, so that a row costs the same for any n; for
+    skew and kurt, whose powers would keep the error of every outlier so far, sums of blocks. A window whose squares about
+    its mean are below 1e-12 of those that its sums were taken from counts as one without spread.
+    """
+    w = series(key, order)
+    top = max({"mean": 1, "sum": 1, "std": 2, "skew": 3, "kurt": 4}[kind] for kind, _, _ in wanted.values())
+    out = df.withColumn("_centre", F.avg(x).over(Window.partitionBy(key))).withColumn("_d", F.col(x) - F.col("_centre"))
+    powers = [F.when(F.col("_d").isNotNull(), F.lit(1.0)), F.col("_d"), F.col("_d") * F.col("_d"), F.col("_d") * F.col("_d") * F.col("_d"), F.col("_d") * F.col("_d") * F.col("_d") * F.col("_d")]
+    sizes = sorted({n for _, n, _ in wanted.values()})
+    if top > 2:
+        for n in sizes:
+            out = block_sums(out, {f"_p{k}_{n}": powers[k] for k in range(top + 1)}, n, key, order)
+        out = out.withColumns({f"_p{k}": F.col(f"_p{k}_{sizes[-1]}") for k in range(top + 1)})
+    else:
+        out = running(out, {f"_p{k}": powers[k] for k in range(top + 1)}, key, order)
+        out = out.withColumns({f"_p{k}_{n}": F.col(f"_p{k}") - F.coalesce(F.lag(f"_p{k}", n).over(w), F.lit(0.0)) for k in range(top + 1) for n in sizes})
+    found = {}
+    for name, (kind, n, least) in wanted.items():
+        m, *p = (F.col(f"_p{k}_{n}") for k in range(top + 1))
+        mean = div(p[0], m)
+        if kind in ("mean", "sum"):
+            value = (F.col("_centre") + mean) * (m if kind == "sum" else 1)
+        else:
+            square = p[1] - p[0] * mean
+            square = F.when(square > 1e-12 * F.col("_p2"), square).otherwise(0.0)
+            var = div(square, m)
+            if kind == "std":
+                value = F.sqrt(div(square, m - 1))
+            elif kind == "skew":
+                third = div(p[2], m) - 3 * mean * div(p[1], m) + 2 * mean * mean * mean
+                value = F.when((m > 2) & (var > 0), div(third, F.pow(var, F.lit(1.5))) * F.sqrt(m * (m - 1)) / (m - 2))
+            else:
+                fourth = div(p[3], m) - 4 * mean * div(p[2], m) + 6 * mean * mean * div(p[1], m) - 3 * mean * mean * mean * mean
+                value = F.when((m > 3) & (var > 0), (m - 1) / ((m - 2) * (m - 3)) * ((m + 1) * (div(fourth, var * var) - 3) + 6))
+        found[name] = F.when(m >= least, value)
+    return out.withColumns(found).drop("_centre", "_d", *(f"_p{k}" for k in range(top + 1)), *(f"_p{k}_{n}" for k in range(top + 1) for n in sizes))
+
+
+def rolling_correlation(df: DataFrame, name: str, x: str, y: str, n: int, key: str = "symbol", order: str = "date") -> DataFrame:
+    """Add the correlation of x and y over the pairs of non-null values of the last n rows, from running sums; null without spread."""
+    w = series(key, order)
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    whole = Window.partitionBy(key)
+    out = df.withColumns({"_x": F.when(both, F.col(x) - F.avg(x).over(whole)), "_y": F.when(both, F.col(y) - F.avg(y).over(whole))})
+    parts = {"_n": F.when(both, F.lit(1.0)), "_sx": F.col("_x"), "_sy": F.col("_y"), "_sxx": F.col("_x") * F.col("_x"), "_syy": F.col("_y") * F.col("_y"), "_sxy": F.col("_x") * F.col("_y")}
+    out = running(out, parts, key, order)
+    m, sx, sy, sxx, syy, sxy = (F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0.0)) for c in parts)
+    out = out.withColumns({"_m": m, "_a": sx, "_b": sy, "_aa": sxx, "_bb": syy, "_ab": sxy})
+    a, b = F.col("_aa") - div(F.col("_a") * F.col("_a"), "_m"), F.col("_bb") - div(F.col("_b") * F.col("_b"), "_m")
+    spread = F.when((a > 1e-12 * F.col("_sxx")) & (b > 1e-12 * F.col("_syy")), F.sqrt(a * b))
+    return out.withColumn(name, div(F.col("_ab") - div(F.col("_a") * F.col("_b"), "_m"), spread)).drop("_x", "_y", *parts, "_m", "_a", "_b", "_aa", "_bb", "_ab")
+
+
+def rolling_max(df: DataFrame, name: str, x: str, n: int, key: str = "symbol", order: str = "date") -> DataFrame:
+    """Add the largest non-null x of the last n rows: of the row's block of n rows so far, and of the end of the block before."""
+    out = df.withColumn("_block", F.floor((F.row_number().over(series(key, order)) - 1) / n))
+    up = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key, "_block").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("_rest", F.max(x).over(down)).withColumn("_own", F.max(x).over(up))
+    return out.withColumn(name, F.greatest("_own", F.lag("_rest", n - 1).over(series(key, order)))).drop("_block", "_rest", "_own")
+
+
 def ema(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date") -> DataFrame:
     """Add recursive averages: {new name: (column, span)}; y0 = x0, y = (1 - a) y' + a x with a = 2 / (span + 1).
 
-    Closed form over chunks of rows short enough that the weights stay finite: the chunk's own discounted sum, plus the
-    discounted state at the end of the chunk before. States two chunks back weigh less than 1e-13. No Python, two sorts.
+    The first non-null value starts the average; it is null before, and a null value leaves it as it was. Closed form over
+    chunks of rows short enough that the weights stay finite: the chunk's own discounted sum, plus the discounted state
+    at the end of the chunk before. States two chunks back weigh less than 1e-13. No Python, two sorts.
     """
     return ema_alpha(df, {k: (c, 2.0 / (span + 1)) for k, (c, span) in columns.items()}, key, order)
 
 
 def ema_alpha(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date") -> DataFrame:
     w = series(key, order)
-    out = df.withColumn("_rn", F.row_number().over(w) - 1)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    out = df
     for name, (column, alpha) in columns.items():
         d = 1 - alpha
         size = max(1, int(30 / -math.log(d))) if 0 < d < 1 else 1
-        place = (F.col("_rn") % size).cast("double")
+        there = F.col(column).isNotNull()
+        out = out.withColumn("_rn", F.count(column).over(upto) - 1)  # of the non-null values
+        place = F.pmod(F.col("_rn"), F.lit(size)).cast("double")
         x = F.when(F.col("_rn") == 0, F.col(column)).otherwise(F.col(column) * alpha)
         chunk = Window.partitionBy(key, F.floor(F.col("_rn") / size)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         own = F.pow(F.lit(d), place) * F.sum(x * F.pow(F.lit(d), -place)).over(chunk)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("_own", own).withColumn("_end", F.when(place == size - 1, F.col("_own")))
-        out = out.withColumn("_end", F.when(place == size - 1, F.col("_own") + d**size * F.coalesce(F.last("_end", True).over(before), F.lit(0.0))))
-        out = out.withColumn(name, F.col("_own") + F.pow(F.lit(d), place + 1) * F.coalesce(F.last("_end", True).over(before), F.lit(0.0)))
-    return out.drop("_rn", "_own", "_end")
+        full = there & (place == size - 1)
+        out = out.withColumn("_own", own).withColumn("_end", F.when(full, F.col("_own")))
+        out = out.withColumn("_end", F.when(full, F.col("_own") + d**size * F.coalesce(F.last("_end", True).over(before), F.lit(0.0))))
+        out = out.withColumn("_y", F.when(there, F.col("_own") + F.pow(F.lit(d), place + 1) * F.coalesce(F.last("_end", True).over(before), F.lit(0.0))))
+        out = out.withColumn(name, F.last("_y", True).over(upto))
+    return out.drop("_rn", "_own", "_end", "_y")
 
 
 def micros(ts) -> Column:

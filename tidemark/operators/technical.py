@@ -92,15 +92,14 @@ def price_features(bars: DataFrame) -> DataFrame:
 
 def regime_features(bars: DataFrame) -> DataFrame:
     """Annualised volatility and its z, momentum, drawdown, trend strength, lag-1 autocorrelation, skewness, kurtosis."""
-    out = bars.withColumn("ret", fr.change("close")).withColumn("_before", fr.lag("ret")).withColumn("vol", fr.rolling("std", "ret", 20) * F.sqrt(F.lit(252.0)))
-    w = fr.last_rows(60)
-    enough = F.count("ret").over(w) >= 60
+    out = bars.withColumn("ret", fr.change("close")).withColumn("_before", fr.lag("ret"))
+    out = fr.moments(out, "ret", {"_vol": ("std", 20, 20), "_mean": ("mean", 60, 60), "_std": ("std", 60, 60), "_enough": ("sum", 60, 60)})
+    out = fr.moments(out, "ret", {"skew": ("skew", 60, 60), "kurt": ("kurt", 60, 60)})
+    out = fr.moments(out.withColumn("vol", F.col("_vol") * F.sqrt(F.lit(252.0))), "vol", {"_vm": ("mean", 252, 60), "_vs": ("std", 252, 60)})
+    out = fr.rolling_correlation(fr.rolling_max(out, "_peak", "close", 252), "_autocorr", "ret", "_before", 59)
     return out.select(
-        "symbol", "date", "vol", fr.zscore("vol", 252, 60).alias("vol_z"), fr.change("close", 63).alias("momentum"),
-        (fr.div("close", F.max("close").over(fr.last_rows(252))) - 1).alias("drawdown"),
-        fr.div(F.abs(fr.rolling("mean", "ret", 60)), fr.rolling("std", "ret", 60)).alias("trend_strength"),
-        F.when(enough, fr.correlation("ret", "_before", fr.last_rows(59))).alias("autocorr"),
-        F.when(enough, fr.corrected_skew("ret", w)).alias("skew"), F.when(enough, fr.corrected_kurtosis("ret", w)).alias("kurt"),
+        "symbol", "date", "vol", fr.div(F.col("vol") - F.col("_vm"), "_vs").alias("vol_z"), fr.change("close", 63).alias("momentum"), (fr.div("close", "_peak") - 1).alias("drawdown"),
+        fr.div(F.abs("_mean"), "_std").alias("trend_strength"), F.when(F.col("_enough").isNotNull(), F.col("_autocorr")).alias("autocorr"), "skew", "kurt",
     )
 
 

@@ -159,7 +159,20 @@ def block_returns(spark, sf_dir):
     from ..functions.frames import across
 
     rows = m.with_returns(m.daily_bars(spark, sf_dir)).withColumn("market", F.avg("ret").over(across("date")))
-    return rounded(a.block_returns(rows, 20), "symbol", "block")
+    out = a.block_returns(rows, 20)
+    # This query reports returns up to 1000; A25_block_growth reports the logarithm of all.
+    return rounded(out.withColumns({c: F.least(c, F.lit(1000.0)) for c in ("block_return", "market_return")}), "symbol", "block")
+
+
+@query("A25_block_growth", sql("rets", """, k AS (SELECT symbol, date, ret, avg(ret) OVER (PARTITION BY date) AS market, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM rets),
+b AS (SELECT *, CAST(floor((k - n % 126) / 126.0) AS BIGINT) AS block FROM k WHERE k - n % 126 >= 0)
+SELECT symbol, block, round(sum(ln(1 + greatest(coalesce(ret, 0.0), -0.999999))), 6) AS block_growth, round(sum(ln(1 + greatest(coalesce(market, 0.0), -0.999999))), 6) AS market_growth FROM b GROUP BY 1, 2"""))
+def block_growth(spark, sf_dir):
+    from ..functions.frames import across
+
+    rows = m.with_returns(m.daily_bars(spark, sf_dir)).withColumn("market", F.avg("ret").over(across("date")))
+    out = a.block_returns(rows)
+    return rounded(out.select("symbol", "block", F.log1p("block_return").alias("block_growth"), F.log1p("market_return").alias("market_growth")), "symbol", "block")
 
 
 @query("A26_yearly", sql("rets", f"SELECT CAST(year(date) AS INTEGER) AS year, count(ret) AS n, {r(mean='avg(ret)', std='stddev_samp(ret)', win_rate='avg(CAST(ret > 0 AS DOUBLE))')} FROM rets GROUP BY 1"))
