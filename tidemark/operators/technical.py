@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,12 +78,12 @@ def vwap(bars: DataFrame) -> DataFrame:
     return bars.withColumn("vwap", fr.div(F.sum(typical * F.col("volume")).over(fr.so_far()), F.sum("volume").over(fr.so_far())))
 
 
-def price_features(bars: DataFrame) -> DataFrame:
+def price_features(bars: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Returns, volatilities, distances from means, range position, gap, volume ratio and shares of rising days."""
     out = bars.withColumn("ret", fr.change("close")).withColumn("_up", F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("double")))
     low, high = fr.rolling("min", "low", 20), fr.rolling("max", "high", 20)
     return out.select(
-        "symbol", "date", F.col("ret").alias("ret_1"), fr.change("close", 5).alias("ret_5"), fr.change("close", 21).alias("ret_21"),
+        "symbol", "date", *keep, F.col("ret").alias("ret_1"), fr.change("close", 5).alias("ret_5"), fr.change("close", 21).alias("ret_21"),
         *(fr.rolling("std", "ret", n).alias(f"vol_{n}") for n in (10, 21, 63)),
         *((fr.div("close", fr.rolling("mean", "close", n)) - 1).alias(f"from_mean_{n}") for n in (10, 20, 50)),
         (fr.div(fr.rolling("mean", "close", 10), fr.rolling("mean", "close", 50)) - 1).alias("cross_10_50"),
@@ -90,7 +92,7 @@ def price_features(bars: DataFrame) -> DataFrame:
     )
 
 
-def regime_features(bars: DataFrame) -> DataFrame:
+def regime_features(bars: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Annualised volatility and its z, momentum, drawdown, trend strength, lag-1 autocorrelation, skewness, kurtosis."""
     out = bars.withColumn("ret", fr.change("close")).withColumn("_before", fr.lag("ret"))
     out = fr.moments(out, "ret", {"_vol": ("std", 20, 20), "_mean": ("mean", 60, 60), "_std": ("std", 60, 60), "_enough": ("sum", 60, 60)})
@@ -98,17 +100,17 @@ def regime_features(bars: DataFrame) -> DataFrame:
     out = fr.moments(out.withColumn("vol", F.col("_vol") * F.sqrt(F.lit(252.0))), "vol", {"_vm": ("mean", 252, 60), "_vs": ("std", 252, 60)})
     out = fr.rolling_correlation(fr.rolling_max(out, "_peak", "close", 252), "_autocorr", "ret", "_before", 59)
     return out.select(
-        "symbol", "date", "vol", fr.div(F.col("vol") - F.col("_vm"), "_vs").alias("vol_z"), fr.change("close", 63).alias("momentum"), (fr.div("close", "_peak") - 1).alias("drawdown"),
+        "symbol", "date", *keep, "vol", fr.div(F.col("vol") - F.col("_vm"), "_vs").alias("vol_z"), fr.change("close", 63).alias("momentum"), (fr.div("close", "_peak") - 1).alias("drawdown"),
         fr.div(F.abs("_mean"), "_std").alias("trend_strength"), F.when(F.col("_enough").isNotNull(), F.col("_autocorr")).alias("autocorr"), "skew", "kurt",
     )
 
 
-def momentum_quality(bars: DataFrame) -> DataFrame:
+def momentum_quality(bars: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     out = bars.withColumn("ret", fr.change("close"))
     sign = F.signum("ret")
     w = fr.last_rows(63)
     return out.withColumn("_s", sign).select(
-        "symbol", "date", fr.rolling("mean", "_s", 21).alias("sign_consistency"),
+        "symbol", "date", *keep, fr.rolling("mean", "_s", 21).alias("sign_consistency"),
         fr.div(fr.rolling("sum", "ret", 63), fr.rolling("std", "ret", 63)).alias("vol_adjusted"),
         F.when(F.count("ret").over(fr.last_rows(21)) >= 21, fr.corrected_skew("ret", fr.last_rows(21))).alias("skew_21"), F.when(F.count("ret").over(w) >= 63, fr.corrected_skew("ret", w)).alias("skew_63"),
     )

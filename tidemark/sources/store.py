@@ -17,24 +17,30 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, which all executors share; where that is unset, one of this process."""
+    """A new folder in ``spark.checkpoint.dir``, which all executors share; where that is unset, and no other machine takes
+    part, one of this process."""
+    master = spark.conf.get("spark.master", "")
+    if not spark.conf.get("spark.checkpoint.dir", None) and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", tempfile.mkdtemp(prefix="spark-tidemark-"))
     base = base if "://" in base else "file://" + os.path.abspath(base.removeprefix("file:"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def save_domain(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append rows to a domain partitioned by date; overwriting replaces only the dates that the rows have."""
-    rows.repartition("date").write.partitionBy("date").option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
+def save_domain(rows: DataFrame, path: str, mode: str = "append", by: str = "date") -> None:
+    """Append rows to a domain with a folder for each value of ``by``; overwriting replaces only the values that the rows have."""
+    rows.repartition(by).write.partitionBy(by).option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
 
 
-def load_domain(spark: SparkSession, path: str, schema: StructType, start: str | None = None, end: str | None = None, symbols: list | None = None) -> DataFrame:
-    """A slice of a domain: dates prune partitions, symbols are pushed to the scan."""
+def load_domain(spark: SparkSession, path: str, schema: StructType, start: str | None = None, end: str | None = None, symbols: list | None = None, years: bool = False) -> DataFrame:
+    """A slice of a domain saved by date (or by ``year``, if ``years``): dates prune folders, symbols are pushed to the scan."""
     rows = spark.read.schema(schema).parquet(path)
     if start:
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
+        rows = rows.where(F.col("year") >= int(start[:4])) if years else rows
     if end:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+        rows = rows.where(F.col("year") <= int(end[:4])) if years else rows
     return rows.where(F.col("symbol").isin(symbols)) if symbols else rows
 
 
