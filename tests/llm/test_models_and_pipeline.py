@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from compare import difference
 from tidemark.llm import brown_lm, common, language_id, ordinal_toxicity, quality_gbt, queries
 
 SF = "/root/testdata/sf0.01"
@@ -205,3 +206,109 @@ def test_pipeline_keeps_columns_and_loses_nothing_twice(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == kept
     assert len(corpus_pipeline.STAGES) == 4
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql_gives_the_same_rows(spark, name, sf):
+    assert difference(spark, queries.QUERIES[name], queries.ORACLES[name], f"/root/testdata/{sf}") == ""
+
+
+def test_ordinal_fit_is_at_a_maximum():
+    rnd = np.random.default_rng(5)
+    rows = [np.flatnonzero(rnd.random(4) < 0.4) for _ in range(400)]
+    density = rnd.random(400)
+    truth = np.array([2.0, -1.0, 0.5, 0.0])
+    grade = np.array([int((truth[r].sum() + 1.5 * d + rnd.logistic() > np.array([0.5, 2.0])).sum()) for r, d in zip(rows, density)])
+    model = ordinal_toxicity.fit(rows, density, grade, {str(k): k for k in range(4)})
+
+    def loss(par):
+        eta = np.array([par[:4][r].sum() for r in rows]) + par[4] * density
+        p = 1 / (1 + np.exp(par[5:] - eta[:, None]))
+        each = np.stack([1 - p[:, 0], p[:, 0] - p[:, 1], p[:, 1]], 1)[np.arange(400), grade]
+        return -np.log(each).mean() + ordinal_toxicity.RIDGE / 2 * (par[:5] ** 2).sum()
+
+    par = np.concatenate([model.weights, model.thresholds])
+    for k in range(len(par)):
+        for step in (-0.02, 0.02):
+            moved = par.copy()
+            moved[k] += step
+            assert loss(moved) > loss(par) - 1e-5, (k, step)
+    assert par[5] < par[6] and np.abs(model.weights[:4] - truth).max() < 0.8
+
+
+def test_toxicity_finds_most_and_spares_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    rows = ordinal_toxicity.score(docs, ordinal_toxicity.learn(docs, labels.where(~test))).join(labels.where(test), "doc_id").collect()
+    clean, toxic = ([r["flagged"] for r in rows if r["toxic"] == k] for k in (0, 1))
+    assert np.mean(clean) < 0.02 and np.mean(toxic) > 0.85
+
+
+def brute_language(model, text):
+    """The family with the largest margin, then every duel of its languages, one after another."""
+    at = language_id.cells(text.encode())
+    if at is None:
+        return "und"
+    x = np.bincount(at, minlength=language_id.CELLS) * language_id.SCALE / len(at)
+    margin = x @ model.weights[:-1].astype(float) + model.weights[-1]
+    names = list(model.families)
+    family = names[int(np.argmax(margin[: len(names)]))] if len(names) > 1 else names[0]
+    wins, sums = collections.Counter(), collections.Counter()
+    for (a, b), v in zip(model.duels, margin[len(names) :]):
+        if a in model.families[family]:
+            wins[a if v >= 0 else b] += 1
+            sums[a] += v
+            sums[b] -= v
+    return max(model.families[family], key=lambda z: (wins[z], sums[z], z))
+
+
+def test_language_duels_against_a_plain_loop(spark):
+    rnd = random.Random(2)
+    parts = {"es": "ña ción mente pero", "fr": "eau tion quoi être", "it": "zione che gli perché", "en": "the and thing tion", "de": "ung sch nicht über", "fi": "nen ssa yö kki"}
+    rows = [(k, " ".join(rnd.choice(parts[lang].split()) + rnd.choice("aeiou") for _ in range(30)), lang) for k, lang in enumerate(list(parts) * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, F.floor(F.col("doc_id") / 6) % 3 != 0)
+    assert {k: sorted(v) for k, v in model.families.items()} == {"germanic": ["de", "en"], "romance": ["es", "fr", "it"], "uralic": ["fi"]} and len(model.duels) == 4
+    texts = {i: x for i, x, _ in rows} | {1000: "", 1001: "12 !", 1002: "zzz"}
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model, F.lit(True)).collect()}
+    assert got == {i: brute_language(model, x) for i, x in texts.items()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if i // 6 % 3 == 0]) > 0.95
+
+
+def test_a_machine_is_at_its_minimum():
+    rnd = np.random.default_rng(0)
+    x = rnd.normal(size=(200, 6)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * rnd.normal(size=200) > 0.3, 1, -1).astype(np.float32)
+    w = language_id.machine(x, y).astype(float)
+    weight = np.where(y > 0, 200 / (2 * (y > 0).sum()), 200 / (2 * (y < 0).sum()))
+    loss = lambda v: (weight * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).mean() + language_id.RIDGE / 2 * (v[:-1] ** 2).sum()
+    for k in range(7):
+        for step in (-0.02, 0.02):
+            v = w.copy()
+            v[k] += step
+            assert loss(v) > loss(w) - 1e-6
+
+
+def test_the_language_sample_is_bounded_and_exact(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("often").alias("lang"))
+    for size in (50, 1200):
+        got = language_id.sample(rows, size).collect()
+        by = rows.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).collect()
+        for lang in ("rare", "often"):
+            want = sorted((r["h"], r["doc_id"]) for r in by if r["lang"] == lang)[:size]
+            assert sorted(r["doc_id"] for r in got if r["lang"] == lang) == sorted(i for _, i in want)
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, docs_of, odd_rows, tmp_path):
+    spark.createDataFrame([(4, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = [(50 + k, " ".join(f"word{k}x{j % 60}" for j in range(90))) for k in range(3)] + [(60, " ".join(f"word0x{j % 60}" for j in range(90)))]
+    for rows in (docs_of(odd_rows + long), docs_of(odd_rows).where("false")):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.cut(stage(spark, docs, str(tmp_path)), "odd")
+            assert docs.columns == rows.columns, name
+        kept = [r["doc_id"] for r in docs.collect()]
+        assert len(kept) == len(set(kept)) and set(kept) <= {50, 51, 52}
+        assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == set(kept)
