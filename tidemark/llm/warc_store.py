@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
@@ -73,15 +74,20 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, revisit: b
     return _member("revisit" if revisit else "response", record_id(page_id, own, nth), headers, http if revisit else http + payload, date)
 
 
-def bounds(pages: DataFrame, size: int = RANGE) -> list[float]:
-    """Where ranges of about ``size`` payload bytes begin: the same for equal pages, however they are stored."""
+def bounds(pages: DataFrame, size: int = RANGE, sample: int = SAMPLE) -> list[float]:
+    """Where ranges of about ``size`` payload bytes begin: the same for equal pages, however they are stored.
+
+    They are quantiles of about ``sample`` distinct page ids, those with a hash below a share that the ids' number gives.
+    """
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html").cast("long") + 100), F.lit(0)).alias("n")).first()["n"]
     ranges = -(-total // size) or 1
     if ranges == 1:
         return []
-    some = pages.where("page_id is not null").select(F.col("page_id").cast("long").cast("double").alias("x"), F.xxhash64(F.col("page_id").cast("long")).alias("h")).orderBy("h", "x").limit(SAMPLE).collect()
-    xs = sorted(r["x"] for r in some)
-    return sorted({xs[k * len(xs) // ranges] for k in range(1, ranges)}) if xs else []
+    ids = common.cut(pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id")).distinct(), "page-ids")
+    share = sample / max(ids.count(), 1)
+    some = ids.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 40)) < F.lit(share * (1 << 40))).select(F.col("page_id").cast("double").alias("x"))
+    xs = np.sort(some.toArrow()["x"].to_numpy())
+    return sorted({float(xs[k * len(xs) // ranges]) for k in range(1, ranges)}) if len(xs) else []
 
 
 def references(slim: DataFrame) -> DataFrame:
@@ -109,7 +115,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, roll: int = ROLL,
     if inner:
         place = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="at", outputCol="range")
         ranged = place.transform(both.withColumn("at", F.coalesce(F.col("page_id").cast("double"), F.lit(-float("inf"))))).withColumn("part", F.col("range").cast("int"))
-    ordered = ranged.repartition(max(common.partitions(spark), len(inner) + 1), "part").sortWithinPartitions("part", "page_id", "digest", "kind", "url").select("part", "page_id", "digest", "kind", "url", "payload", "first")
+    ordered = ranged.repartitionById(len(inner) + 1, "part").sortWithinPartitions("part", "page_id", "digest", "kind", "url").select("part", "page_id", "digest", "kind", "url", "payload", "first")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, records = -1, 0, 0
