@@ -156,13 +156,13 @@ def moments(df: DataFrame, x: str, wanted: dict[str, tuple[str, int, int]], key:
     """Add {name: (kind, n, least)}: mean, sum, std, skew or kurt (as ``corrected_skew`` and ``corrected_kurtosis``) of x over
     the last n rows, null below ``least`` values.
 
-    Differences of running sums of powers of x less its mean over the key, so that a row costs the same for any n; for
+    Differences of running sums of powers of x less the key's first value (no later row counts), so that a row costs the same for any n; for
     skew and kurt, whose powers would keep the error of every outlier so far, sums of blocks. A window whose squares about
     its mean are below 1e-12 of those that its sums were taken from counts as one without spread.
     """
     w = series(key, order)
     top = max({"mean": 1, "sum": 1, "std": 2, "skew": 3, "kurt": 4}[kind] for kind, _, _ in wanted.values())
-    out = df.withColumn("_centre", F.avg(x).over(Window.partitionBy(key))).withColumn("_d", F.col(x) - F.col("_centre"))
+    out = df.withColumn("_centre", F.first(x, True).over(so_far(key, order))).withColumn("_d", F.col(x) - F.col("_centre"))
     powers = [F.when(F.col("_d").isNotNull(), F.lit(1.0)), F.col("_d"), F.col("_d") * F.col("_d"), F.col("_d") * F.col("_d") * F.col("_d"), F.col("_d") * F.col("_d") * F.col("_d") * F.col("_d")]
     sizes = sorted({n for _, n, _ in wanted.values()})
     if top > 2:
@@ -198,8 +198,8 @@ def rolling_correlation(df: DataFrame, name: str, x: str, y: str, n: int, key: s
     """Add the correlation of x and y over the pairs of non-null values of the last n rows, from running sums; null without spread."""
     w = series(key, order)
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    whole = Window.partitionBy(key)
-    out = df.withColumns({"_x": F.when(both, F.col(x) - F.avg(x).over(whole)), "_y": F.when(both, F.col(y) - F.avg(y).over(whole))})
+    first = lambda c: F.first(F.when(both, F.col(c)), True).over(so_far(key, order))
+    out = df.withColumns({"_x": F.when(both, F.col(x) - first(x)), "_y": F.when(both, F.col(y) - first(y))})
     parts = {"_n": F.when(both, F.lit(1.0)), "_sx": F.col("_x"), "_sy": F.col("_y"), "_sxx": F.col("_x") * F.col("_x"), "_syy": F.col("_y") * F.col("_y"), "_sxy": F.col("_x") * F.col("_y")}
     out = running(out, parts, key, order)
     m, sx, sy, sxx, syy, sxy = (F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0.0)) for c in parts)
