@@ -34,17 +34,23 @@ def trend_regime(bars: DataFrame, n: int = 60) -> DataFrame:
 
 
 def consensus_spread(bars: DataFrame) -> DataFrame:
-    """The row's median of the three spread estimators that have a value, and its rank of the date."""
+    """The row's median of the three spread estimators that have a value, and 1 less its rank in the symbol's history.
+
+    The estimator from closes and middles has a value only where it is positive. Spreads that agree to 12 digits tie.
+    """
     out = micro.close_mid_spread(micro.high_low_spread(micro.roll_spread(bars)))
-    values = F.array_sort(F.array_compact(F.array("roll_spread", "high_low_spread", "close_mid_spread")))
+    values = F.array_sort(F.array_compact(F.array("roll_spread", "high_low_spread", F.when(F.col("close_mid_spread") > 0, F.col("close_mid_spread")))))
     n = F.size(values)
     middle = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
     out = out.withColumn("spread", F.when(n > 0, middle))
-    return out.select("symbol", "date", "spread", (1 - fr.pct_rank("spread")).alias("liquidity"))
+    return out.select("symbol", "date", "spread", (1 - fr.pct_rank(F.round("spread", 12), "symbol")).alias("liquidity"))
 
 
-def illiquidity_signal(rows: DataFrame, n: int = 20) -> DataFrame:
-    return rows.withColumn("z", fr.zscore("spread", n)).select("symbol", "date", F.when(F.col("z") > 2, -1).otherwise(0).alias("signal"))
+def illiquidity_signal(rows: DataFrame, n: int = 20, limit: float = 2.0) -> DataFrame:
+    """z of the spread over the last 5 n rows with n values at least, 0 without a spread of values; -1 where it is beyond ``limit``."""
+    mean, sd = (fr.rolling(kind, "spread", 5 * n, n) for kind in ("mean", "std"))
+    out = rows.withColumn("z", F.when(sd > 1e-12, (F.col("spread") - mean) / sd).otherwise(0.0))
+    return out.select("symbol", "date", "z", F.when(F.col("z") > limit, -1).otherwise(0).alias("signal"))
 
 
 def rough_path(bars: DataFrame, n: int = 20) -> DataFrame:
