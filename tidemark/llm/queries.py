@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, common, group_join, language_id, mtree, ordinal_toxicity, quality_gbt, repair_store, sos_packing, warc_store, word_table_bpe
+from . import brown_lm, common, group_join, language_id, mtree, ordinal_toxicity, periodic_runs, quality_gbt, repair_store, sos_packing, spelling, warc_store, winnowing, word_table_bpe
 
 #: Where the vocabulary files are; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
@@ -72,6 +72,18 @@ def op10_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_join.join(common.table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(spelling.counts(common.table(spark, sf_dir, "documents"), every=199))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.scan(common.table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edits(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": op1_brown_lm,
     "op2_repair_ids": op2_repair_ids,
@@ -83,8 +95,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_gbt": op8_quality_gbt,
     "op9_language_id": op9_language_id,
     "op10_group_join": op10_group_join,
+    "op11_spelling_forms": op11_spelling_forms,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_winnowing": op13_winnowing,
 }
-#: Whole results of three operators in SQL: all pairs of vectors, digests of pages, and the closure of linked documents.
+#: Whole results of four operators in SQL: all pairs of vectors, digests of pages, the closure of linked documents, and words that
+#: agree when one code point is taken out of one or both (crc32 bit by bit).
 ORACLES: dict[str, str] = {
     "op5_mtree": """WITH v AS (SELECT vec_id, row_number() OVER () AS nth, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -99,4 +115,16 @@ g AS (SELECT doc_id, hash(unnest(s)) AS g FROM s), n AS (SELECT doc_id, len(s) A
 l AS (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a)
 SELECT doc_id, n AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM t WHERE t.a = doc_id), doc_id)) AS component_id, (SELECT count(*) FROM e WHERE e.a = doc_id) AS n_links FROM n""",
+    "op11_spelling_forms": r"""WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS k, hex(encode(doc_id || ':' || w)) AS x FROM r WHERE length(w) >= 6 GROUP BY doc_id, w),
+b AS (SELECT w, k, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substring(x, 2 * i + 1, 2) AS BIGINT)) AS y FROM c),
+h AS (SELECT w, k, xor(4294967295, list_reduce(list_transform(range(0, 8 * len(y)), lambda i: (y[i // 8 + 1] >> CAST(i % 8 AS INTEGER)) & 1), lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1)), 4294967295)) AS h FROM b),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+u AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM v, unnest(range(0, length(word))) AS t(i)),
+p AS (SELECT a.word, b.word AS other FROM u a JOIN u b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT u.word, v.word FROM u JOIN v ON u.rest = v.word UNION SELECT v.word, u.word FROM u JOIN v ON u.rest = v.word),
+q AS (SELECT p.word, other, v.n AS m, row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, other) AS k, count(*) OVER (PARTITION BY p.word) AS n_near FROM p JOIN v ON other = v.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN q ON v.word = q.word AND k = 1),
+t AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, t.root FROM f JOIN t ON f.form = t.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON f.word = t.word""",
 }
