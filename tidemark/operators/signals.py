@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import frames as fr
+from .recursions import positions
 
 
 def crossover(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
@@ -23,24 +23,8 @@ def channel(bars: DataFrame, n: int = 20, strict: bool = True) -> DataFrame:
 
 
 def hysteresis(rows: DataFrame, score: str, enter: float, leave: float) -> DataFrame:
-    """A position per symbol: from 0 to -1 above ``enter``, to 1 below -enter; back to 0 when |score| is below ``leave``.
-
-    The state depends on all rows before, which no window expresses; each symbol's history goes through one Arrow group.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date", kind="stable")
-        state, out = 0, []
-        for z in part[score].to_numpy():
-            if z == z:
-                if state == 0:
-                    state = -1 if z > enter else 1 if z < -enter else 0
-                elif abs(z) < leave:
-                    state = 0
-            out.append(state)
-        return part[["symbol", "date"]].assign(position=out)
-
-    return rows.select("symbol", "date", score).groupBy("symbol").applyInPandas(run, "symbol long, date date, position int")
+    """A position per symbol: from 0 to -1 above ``enter``, to 1 below -enter; back to 0 when |score| is below ``leave``."""
+    return positions(rows.select("symbol", "date", score), score, enter, leave, ["symbol"]).select("symbol", "date", "position")
 
 
 def ratings(bars: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import frames as fr
+from .recursions import positions
 
 NAMES = ("reversion", "trend", "breakout", "momentum")
 
@@ -73,24 +73,8 @@ def enhanced(base: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def pair_positions(z: DataFrame, enter: float = 2.0, leave: float = 0.5) -> DataFrame:
-    """(a, b, date, z) -> position of each pair: -1 above ``enter``, 1 below its negative, 0 again within ``leave``.
-
-    The state depends on all earlier rows; a pair's history, one row a date, goes through one Arrow group.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("date", kind="stable")
-        state, out = 0, []
-        for v in part["z"].to_numpy():
-            if v == v:
-                if state == 0:
-                    state = -1 if v > enter else 1 if v < -enter else 0
-                elif abs(v) < leave:
-                    state = 0
-            out.append(state)
-        return part[["a", "b", "date"]].assign(position=out)
-
-    return z.select("a", "b", "date", "z").groupBy("a", "b").applyInPandas(run, "a long, b long, date date, position int")
+    """(a, b, date, z) -> position of each pair: -1 above ``enter``, 1 below its negative, 0 again within ``leave``."""
+    return positions(z.select("a", "b", "date", "z"), "z", enter, leave, ["a", "b"]).select("a", "b", "date", "position")
 
 
 def pair_returns(positions: DataFrame, moves: DataFrame) -> DataFrame:
