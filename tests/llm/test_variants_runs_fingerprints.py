@@ -86,6 +86,16 @@ def test_scan_of_long_words_and_shared_prefixes_beyond_the_kept_ones():
     assert total == {w: n for w in words if (n := sum(one_edit(w, v) for v in words))}
 
 
+def test_a_long_word_does_not_heighten_the_matrices_of_others(monkeypatch):
+    made = []
+    full = np.full
+    monkeypatch.setattr(spelling, "CELLS", 30_000)
+    monkeypatch.setattr(np, "full", lambda shape, *a, **k: (made.append(int(np.prod(shape))), full(shape, *a, **k))[1])
+    words = sorted({f"abcdef{'abcde'[k % 5]}{'abcdefghij'[k // 5 % 10]}{k}" for k in range(400)} | {"abcdef" * 500, "abcdef" * 500 + "g"})
+    found = spelling.Shard(words, [1] * len(words), False, 6).best(words).column(0).to_pylist()
+    assert {w for w in found if len(w) > 99} == {w for w in words if len(w) > 99} and max(made) <= 30_000
+
+
 def test_no_words_no_forms(spark, docs_of):
     for rows in ([], [(1, None), (2, ""), (3, "short words only")]):
         assert spelling.forms(spelling.counts(docs_of(rows))).collect() == []

@@ -108,10 +108,10 @@ def scan(listed: SortedList, asked: SortedList, low: np.ndarray, high: np.ndarra
     found: list[tuple[np.ndarray, np.ndarray]] = []
     order = np.argsort(asked.size, kind="stable")
     order = order[high[order] > low[order]]
-    ends = np.cumsum(asked.size[order] + 2)
+    height = asked.size[order] + 3  # rising, so that the last word of a block says how high its matrices are
     at = 0
     while at < len(order):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS // 3)))
+        end = at + max(1, int(np.searchsorted(height[at:] * np.arange(1, len(order) - at + 1), CELLS // 3)))
         found.append(_scan(listed, asked, order[at:end], low, high, backwards))
         at = end
     none = np.zeros(0, np.int64)
