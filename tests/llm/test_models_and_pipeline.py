@@ -251,7 +251,7 @@ def brute_language(model, text):
     at = language_id.cells(text.encode())
     if at is None:
         return "und"
-    x = np.bincount(at, minlength=language_id.CELLS) * language_id.SCALE / len(at)
+    x = at * language_id.SCALE / at.sum()
     margin = x @ model.weights[:-1].astype(float) + model.weights[-1]
     names = list(model.families)
     family = names[int(np.argmax(margin[: len(names)]))] if len(names) > 1 else names[0]
@@ -312,3 +312,12 @@ def test_stages_on_odd_rows_and_an_empty_table(spark, docs_of, odd_rows, tmp_pat
         kept = [r["doc_id"] for r in docs.collect()]
         assert len(kept) == len(set(kept)) and set(kept) <= {50, 51, 52}
         assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == set(kept)
+
+
+def test_numbers_and_marks_are_no_letters_and_blocks_change_nothing(monkeypatch):
+    for text in ("½", "²³", "①", "Ⅷ", "12 ½ %", "", " \n", "_ 3", "½ ² Ⅷ " * 50):
+        assert language_id.cells(text.encode()) is None, text
+    text = ("Größe naïve, ½ x\u00aa 12 " * 40).encode()
+    whole = language_id.cells(text)
+    monkeypatch.setattr(language_id, "BLOCK", 7)
+    assert (language_id.cells(text) == whole).all() and whole.sum() > 400 and language_id.cells("½ é".encode()) is not None

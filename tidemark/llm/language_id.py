@@ -26,6 +26,8 @@ from . import common
 
 #: The largest number of documents of one language to learn from, and hash cells of trigrams.
 PER_LANGUAGE, CELLS = 1200, 4096
+#: Bytes of a text that are counted at once.
+BLOCK = 1 << 20
 #: Languages up to which their counts are broadcast.
 MAX_LANGUAGES = 10_000
 STEPS, RIDGE, SCALE = 250, 1e-5, 60.0
@@ -36,7 +38,7 @@ PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, fami
 _predicted = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("family_pred", pa.string())])
 #: ASCII bytes that are not letters become spaces, upper case lower case.
 _table = bytes(b if b >= 0x80 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
-_letter = re.compile(r"[^\W\d_]")
+_blanks = re.compile(b" +")
 
 
 def family(language: str) -> str:
@@ -44,17 +46,18 @@ def family(language: str) -> str:
 
 
 def cells(text: bytes) -> np.ndarray | None:
-    """The hash cell of each trigram of bytes within words; None if the text has no letter."""
-    plain = b" ".join(text.translate(_table).split())
-    if not plain or (plain[:1] > b"z" or not plain.strip(b" ").isascii()) and not _letter.search(text.decode()):
+    """How many trigrams of bytes within words fall in each hash cell; None if the text has no letter. A long text is counted by
+    blocks, so that memory follows its bytes and not the number of trigrams or languages."""
+    plain = _blanks.sub(b" ", text.translate(_table)).strip()
+    if not plain or plain[:1] > b"z" and not any(map(str.isalpha, text.decode())):
         return None
-    b = np.frombuffer(b" " + plain + b" ", np.uint8).astype(np.uint32)
-    code = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
-    return (code[b[1:-1] != 32] * np.uint32(2654435761)) >> np.uint32(20)
-
-
-def vector(at: np.ndarray) -> np.ndarray:
-    return np.bincount(at, minlength=CELLS).astype(np.float32) * (SCALE / max(len(at), 1))
+    plain = b" " + plain + b" "
+    total = np.zeros(CELLS, np.int64)
+    for at in range(0, len(plain) - 2, BLOCK):
+        b = np.frombuffer(plain, np.uint8, min(BLOCK + 2, len(plain) - at), at).astype(np.uint32)
+        code = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+        total += np.bincount((code[b[1:-1] != 32] * np.uint32(2654435761)) >> np.uint32(20), minlength=CELLS)
+    return total
 
 
 def machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -86,7 +89,7 @@ class Languages:
         at = cells(text) if self.families else None
         if at is None:
             return "und", 0.0, None
-        margin = self.weights[at].sum(0) * (SCALE / max(len(at), 1)) + self.weights[CELLS]
+        margin = (at.astype(np.float32) @ self.weights[:CELLS]) * (SCALE / max(int(at.sum()), 1)) + self.weights[CELLS]
         names, sure = list(self.families), 1.0
         k = 0
         if len(names) > 1:
@@ -133,8 +136,8 @@ def learn(docs: DataFrame, teach: Column, size: int = PER_LANGUAGE) -> Languages
             got = []
             for doc_id, text, lang in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if (at := cells(text)) is not None:
-                    where, count = np.unique(at, return_counts=True)
-                    got.append((doc_id, lang, where.astype(np.int32), count.astype(np.int32)))
+                    where = np.flatnonzero(at)
+                    got.append((doc_id, lang, where.astype(np.int32), at[where].astype(np.int32)))
             yield common.record(schema, list(zip(*got)) if got else [[]] * 4)
 
     found = rows.join(F.broadcast(keys), ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(task, "doc_id long, lang string, cells array<int>, counts array<int>").orderBy("doc_id", "lang").toArrow()
