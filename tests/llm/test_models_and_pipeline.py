@@ -103,7 +103,9 @@ def test_exchange_raises_the_likelihood():
         h = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
         return h(n) - h(n.sum(0)) - h(n.sum(1))
 
-    got = brown_lm.exchange(bigrams, 5, 8)
+    got = brown_lm.exchange(bigrams, 5)
+    for u, c in ((u, c) for u in range(1, 30) for c in range(1, 5)):
+        assert likelihood(np.where(np.arange(30) == u, c, got)) <= likelihood(got) + 1e-6  # none is left to move
     assert likelihood(got) > likelihood(np.array([0, *(1 + k % 4 for k in range(29))])) and got[0] == 0
     assert all(len(set(kind[got == c])) == 1 for c in set(got.tolist()) - {0})
 
