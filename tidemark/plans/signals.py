@@ -12,6 +12,7 @@ from ..operators.technical import drawdown
 from ..sources import market as m
 from ..sources import store
 from ..streaming import events as st
+from ..streaming import stateful as sf
 from .registry import query, sql
 from .technical import DD, W, r, roll
 
@@ -189,10 +190,22 @@ def stream_first_seen(spark, sf_dir):
 @query("T7_stream_latched_drawdown", """WITH p AS (SELECT event_id, user_id, ts, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS peak FROM events)
 SELECT event_id, user_id, round(peak, 6) AS peak, bool_or(value <= peak * 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS latched FROM p""")
 def stream_latched_drawdown(spark, sf_dir):
-    out = st.run_once(st.latched_drawdown(st.source(spark, sf_dir), 0.5))
+    out = sf.latched_drawdown(st.source(spark, sf_dir), 0.5, store.scratch(spark, "peaks"))
     return rounded(out.select("event_id", "user_id", "peak", "latched"), "event_id", "user_id")
 
 
 @query("T8_stream_alerts", "SELECT event_id, user_id, CASE WHEN value > 160 THEN 'critical' ELSE 'warning' END AS level FROM events WHERE value > 80")
 def stream_alerts(spark, sf_dir):
     return st.run_once(st.alerts(st.source(spark, sf_dir), 80.0)).select("event_id", "user_id", "level")
+
+
+@query("T10_late_corrections", f"SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, {r(open='first(value ORDER BY ts, event_id)', high='max(value)', low='min(value)', close='last(value ORDER BY ts, event_id)')} FROM events GROUP BY 1, 2")
+def late_corrections(spark, sf_dir):
+    """Every 97th event arrives three days late: bars of the rows in time are published, and days with late rows corrected."""
+    folder, landing = store.scratch(spark, "late"), store.scratch(spark, "landing")
+    sf.arrive(m.table(spark, sf_dir, "events"), landing, 8, F.col("event_id") % 97 == 0, 3)
+    sf.land(st.source(spark, landing, "*.parquet", 1), folder, "1 DAY")
+    rows = sf.landed(st.SCHEMA.replace("timestamp_ntz", "timestamp"), spark, folder)
+    sf.publish(rows, f"{folder}/bars")
+    sf.correct(rows, f"{folder}/bars")
+    return rounded(sf.read_bars(spark, f"{folder}/bars"), "user_id", "day", "n")

@@ -1,26 +1,22 @@
-"""Structured Streaming versions of bars, order flow, deduplication, latched drawdowns and alerts over an event stream.
+"""Structured Streaming versions of bars, order flow, deduplication and alerts over an event stream.
 
-Every function takes and returns a streaming DataFrame; late rows beyond the watermark are dropped by the engine, and a
-batch run of the same aggregation over the partition corrects them.
+Every function takes and returns a streaming DataFrame; late rows beyond the watermark are dropped by the engine. ``stateful``
+counts them and corrects what they belong to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.store import scratch
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def source(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    """Parquet files of events as they land in a folder."""
-    rows = spark.readStream.schema(SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
+def source(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int = 1000) -> DataFrame:
+    """Parquet files of events as they land in a folder, at most ``files`` in a micro-batch."""
+    rows = spark.readStream.schema(SCHEMA).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -46,23 +42,6 @@ def alerts(events: DataFrame, limit: float) -> DataFrame:
     return events.where(F.col("value") > limit).select("event_id", "user_id", "value", F.when(F.col("value") > 2 * limit, "critical").otherwise("warning").alias("level"))
 
 
-def latched_drawdown(events: DataFrame, limit: float) -> DataFrame:
-    """Per user: value, peak so far, and whether a fall by ``limit`` from the peak was ever seen. State: peak and latch."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        peak, latched = state.get if state.exists else (float("-inf"), False)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
-        out = []
-        for i, v in zip(rows["event_id"], rows["value"]):
-            peak = max(peak, v)
-            latched = latched or v <= peak * (1 - limit)
-            out.append((i, key[0], v, peak, latched))
-        state.update((float(peak), bool(latched)))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "value", "peak", "latched"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, value double, peak double, latched boolean", "peak double, latched boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drain what is there now into a stored table: append through the file sink, else the last complete result."""
     spark = stream.sparkSession
