@@ -35,7 +35,22 @@ def performance(returns: DataFrame, by: str, periods: int = 252) -> DataFrame:
     tail = curve.join(stats.select(by, "var_5"), by).where("ret <= var_5").groupBy(by).agg(F.avg("ret").alias("cvar_5"))
     out = stats.join(tail, by, "left").withColumn("cagr", F.pow(1 + F.col("total_return"), F.lit(float(periods)) / F.col("n")) - 1)
     root = math.sqrt(periods)
-    return out.select(by, "n", "total_return", "cagr", (F.col("_sd") * root).alias("volatility"), (fr.div("_mean", "_sd") * root).alias("sharpe"), (fr.div("_mean", "_down") * root).alias("sortino"), "max_drawdown", "ulcer", "var_5", "cvar_5", "win_rate", "payoff", "profit_factor")
+    out = out.withColumn("calmar", fr.div("cagr", F.abs("max_drawdown")))
+    return out.select(by, "n", "total_return", "cagr", "calmar", (F.col("_sd") * root).alias("volatility"), (fr.div("_mean", "_sd") * root).alias("sharpe"), (fr.div("_mean", "_down") * root).alias("sortino"), "max_drawdown", "ulcer", "var_5", "cvar_5", "win_rate", "payoff", "profit_factor")
+
+
+def streaks(returns: DataFrame, by: str) -> DataFrame:
+    """Longest runs of gains, of losses and of rows below the highest growth so far, and total return over the deepest fall."""
+    w = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    out = returns.withColumn("_g", F.exp(F.sum(F.log1p(F.greatest("ret", F.lit(-0.999999)))).over(w)))
+    out = out.withColumn("_dd", F.col("_g") / F.greatest(F.max("_g").over(w), F.lit(1.0)) - 1)
+    kinds = {"wins": F.col("ret") > 0, "losses": F.col("ret") < 0, "under_water": F.col("_dd") < 0}
+    out = out.withColumns({f"_{k}": c for k, c in kinds.items()})
+    # a run's rows share the number of rows outside so far, so its length is its place behind the last of them
+    out = out.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("date")))
+    out = out.withColumns({f"_o_{k}": F.coalesce(F.max(F.when(~F.col(f"_{k}"), F.col("_n"))).over(w), F.lit(0)) for k in kinds})
+    longest = {k: F.max(F.when(F.col(f"_{k}"), F.col("_n") - F.col(f"_o_{k}")).otherwise(0)) for k in kinds}
+    return out.groupBy(by).agg(*(c.alias(k) for k, c in longest.items()), fr.div(F.max_by("_g", "date") - 1, F.abs(F.min("_dd"))).alias("recovery"))
 
 
 def relative(rows: DataFrame, by: str) -> DataFrame:

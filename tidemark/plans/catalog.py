@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, clean, cross, evaluation, joins, micro, models, more, panels, paths, portfolio, recursions, signals, strategies, technical  # noqa: F401  each module registers its queries
+from . import aggregates, clean, cross, evaluation, joins, micro, models, more, panels, paths, portfolio, recursions, regimes, signals, strategies, technical  # noqa: F401  each module registers its queries
 from .registry import ORACLES, QUERIES, Query
 
 

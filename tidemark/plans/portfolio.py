@@ -42,11 +42,18 @@ SYM = "sym AS (SELECT * FROM (SELECT *, avg(ret) OVER (PARTITION BY date) AS mar
 s AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + greatest(ret, -0.999999)))) - 1 AS tr, avg(ret) AS mn, stddev_samp(ret) AS sd, sqrt(avg(CASE WHEN ret < 0 THEN ret * ret ELSE 0.0 END)) AS dn, min(dd) AS mdd, sqrt(avg(dd * dd)) AS ulcer, quantile_cont(ret, 0.05) AS v5, avg(CAST(ret > 0 AS DOUBLE)) AS win,
 avg(CASE WHEN ret > 0 THEN ret END) / nullif(-avg(CASE WHEN ret < 0 THEN ret END), 0) AS payoff, sum(CASE WHEN ret > 0 THEN ret ELSE 0.0 END) / nullif(-sum(CASE WHEN ret < 0 THEN ret ELSE 0.0 END), 0) AS pf FROM dd GROUP BY symbol),
 c AS (SELECT sym.symbol, avg(ret) AS cvar FROM sym JOIN s USING (symbol) WHERE ret <= v5 GROUP BY sym.symbol)
-SELECT symbol, n, {r(total_return='tr', cagr='(1 + tr) ** (252.0 / n) - 1', volatility='sd * sqrt(252.0)', sharpe='mn / nullif(sd, 0) * sqrt(252.0)', sortino='mn / nullif(dn, 0) * sqrt(252.0)', max_drawdown='mdd', ulcer='ulcer', var_5='v5', cvar_5='cvar', win_rate='win', payoff='payoff', profit_factor='pf')} FROM s LEFT JOIN c USING (symbol)"""))
+SELECT symbol, n, {r(total_return='tr', cagr='(1 + tr) ** (252.0 / n) - 1', calmar='((1 + tr) ** (252.0 / n) - 1) / nullif(abs(mdd), 0)', volatility='sd * sqrt(252.0)', sharpe='mn / nullif(sd, 0) * sqrt(252.0)', sortino='mn / nullif(dn, 0) * sqrt(252.0)', max_drawdown='mdd', ulcer='ulcer', var_5='v5', cvar_5='cvar', win_rate='win', payoff='payoff', profit_factor='pf')} FROM s LEFT JOIN c USING (symbol)"""))
 def performance(spark, sf_dir):
     return rounded(p.performance(per_symbol(spark, sf_dir), "symbol"), "symbol", "n")
 
 
+@query("V1_streaks", sql("rets", f""", {SYM}, g AS (SELECT *, exp(sum(ln(1 + greatest(ret, -0.999999))) OVER w) AS growth FROM sym {W}), dd AS (SELECT *, growth / greatest(max(growth) OVER w, 1.0) - 1 AS dd, row_number() OVER w AS k FROM g {W}),
+o AS (SELECT *, k - coalesce(max(CASE WHEN NOT ret > 0 THEN k END) OVER w, 0) AS a, k - coalesce(max(CASE WHEN NOT ret < 0 THEN k END) OVER w, 0) AS b, k - coalesce(max(CASE WHEN NOT dd < 0 THEN k END) OVER w, 0) AS c FROM dd {W})
+SELECT symbol, CAST(max(a) AS INTEGER) AS wins, CAST(max(b) AS INTEGER) AS losses, CAST(max(c) AS INTEGER) AS under_water, round((last(growth ORDER BY date) - 1) / nullif(abs(min(dd)), 0), 6) AS recovery FROM o GROUP BY symbol"""))
+def streaks(spark, sf_dir):
+    return rounded(p.streaks(per_symbol(spark, sf_dir), "symbol"), "symbol", "wins", "losses", "under_water")
+
+
 @query("V2_relative", sql("rets", f""", {SYM}, s AS (SELECT symbol, count(*) AS n, covar_samp(ret, market) / nullif(var_pop(market), 0) AS b, avg(ret) AS r, avg(market) AS mk, avg(ret - market) AS a, stddev_samp(ret - market) AS te, avg(CASE WHEN market > 0 THEN ret END) / nullif(avg(CASE WHEN market > 0 THEN market END), 0) AS up, avg(CASE WHEN market < 0 THEN ret END) / nullif(avg(CASE WHEN market < 0 THEN market END), 0) AS dn FROM sym GROUP BY symbol)
 SELECT symbol, n, {r(beta='b', alpha='r - b * mk', tracking_error='te', information_ratio='a / nullif(te, 0)', up_capture='up', down_capture='dn')} FROM s"""))
 def relative(spark, sf_dir):
