@@ -218,35 +218,54 @@ def rolling_max(df: DataFrame, name: str, x: str, n: int, key: str = "symbol", o
     return out.withColumn(name, F.greatest("_own", F.lag("_rest", n - 1).over(series(key, order)))).drop("_block", "_rest", "_own")
 
 
-def ema(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date") -> DataFrame:
+def ema(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date", by: str | None = None) -> DataFrame:
     """Add recursive averages: {new name: (column, span)}; y0 = x0, y = (1 - a) y' + a x with a = 2 / (span + 1).
 
     The first non-null value starts the average; it is null before, and a null value leaves it as it was. Closed form over
     chunks of rows short enough that the weights stay finite: the chunk's own discounted sum, plus the discounted state
     at the end of the chunk before. States two chunks back weigh less than 1e-13. No Python, two sorts.
+
+    ``by`` names a column that is null where all of ``columns`` are, and only there: then all averages share their chunks, and two
+    sorts serve them all.
     """
-    return ema_alpha(df, {k: (c, 2.0 / (span + 1)) for k, (c, span) in columns.items()}, key, order)
+    return ema_alpha(df, {k: (c, 2.0 / (span + 1)) for k, (c, span) in columns.items()}, key, order, by)
+
+
+#: Largest exponent of e in the weights of one chunk.
+_STEEP = 600.0
+
+
+def ema_alpha(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date", by: str | None = None) -> DataFrame:
+    sizes = {a: max(1, int(30 / -math.log(1 - a))) if 0 < a < 1 else 1 for _, a in columns.values()}
+    groups: list[dict[str, tuple[str, float]]] = []
+    for name, (column, alpha) in sorted(columns.items(), key=lambda x: -sizes[x[1][1]]):
+        # the longest chunks first; an average joins them if its weights stay finite over their rows
+        if by and groups and 0 < alpha < 1 and -math.log(1 - alpha) * max(sizes[a] for _, a in groups[-1].values()) < _STEEP:
+            groups[-1][name] = (column, alpha)
+        else:
+            groups.append({name: (column, alpha)})
+    for group in groups:
+        df = _averages(df, group, max(sizes[a] for _, a in group.values()), by or next(iter(group.values()))[0], key, order)
+    return df
 
 
-def ema_alpha(df: DataFrame, columns: dict[str, tuple[str, float]], key: str = "symbol", order: str = "date") -> DataFrame:
+def _averages(df: DataFrame, columns: dict[str, tuple[str, float]], size: int, by: str, key: str, order: str) -> DataFrame:
+    """Averages of columns that are null where ``by`` is, over chunks of ``size`` of its values."""
     w = series(key, order)
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    out = df
-    for name, (column, alpha) in columns.items():
-        d = 1 - alpha
-        size = max(1, int(30 / -math.log(d))) if 0 < d < 1 else 1
-        there = F.col(column).isNotNull()
-        out = out.withColumn("_rn", F.count(column).over(upto) - 1)  # of the non-null values
-        place = F.pmod(F.col("_rn"), F.lit(size)).cast("double")
-        x = F.when(F.col("_rn") == 0, F.col(column)).otherwise(F.col(column) * alpha)
-        chunk = Window.partitionBy(key, F.floor(F.col("_rn") / size)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        own = F.pow(F.lit(d), place) * F.sum(x * F.pow(F.lit(d), -place)).over(chunk)
-        full = there & (place == size - 1)
-        out = out.withColumn("_own", own).withColumn("_end", F.when(full, F.col("_own")))
-        out = out.withColumn("_end", F.when(full, F.col("_own") + d**size * F.coalesce(F.last("_end", True).over(before), F.lit(0.0))))
-        out = out.withColumn("_y", F.when(there, F.col("_own") + F.pow(F.lit(d), place + 1) * F.coalesce(F.last("_end", True).over(before), F.lit(0.0))))
-        out = out.withColumn(name, F.last("_y", True).over(upto))
-    return out.drop("_rn", "_own", "_end", "_y")
+    out = df.withColumn("_rn", F.count(by).over(upto) - 1).withColumn("_chunk", F.floor(F.col("_rn") / size))  # of the non-null values
+    place, there = F.pmod(F.col("_rn"), F.lit(size)).cast("double"), F.col(by).isNotNull()
+    chunk = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    full = there & (place == size - 1)
+    d = {name: 1 - alpha for name, (_, alpha) in columns.items()}
+    start = {name: F.when(F.col("_rn") == 0, F.col(column)).otherwise(F.col(column) * alpha) for name, (column, alpha) in columns.items()}
+    out = out.withColumns({f"_own_{n}": F.pow(F.lit(d[n]), place) * F.sum(start[n] * F.pow(F.lit(d[n]), -place)).over(chunk) for n in columns})
+    out = out.withColumns({f"_end_{n}": F.when(full, F.col(f"_own_{n}")) for n in columns})
+    past = lambda n: F.coalesce(F.last(f"_end_{n}", True).over(before), F.lit(0.0))
+    out = out.withColumns({f"_end_{n}": F.when(full, F.col(f"_own_{n}") + d[n] ** size * past(n)) for n in columns})
+    out = out.withColumns({f"_y_{n}": F.when(there, F.col(f"_own_{n}") + F.pow(F.lit(d[n]), place + 1) * past(n)) for n in columns})
+    out = out.withColumns({n: F.last(f"_y_{n}", True).over(upto) for n in columns})
+    return out.drop("_rn", "_chunk", *(f"{p}{n}" for n in columns for p in ("_own_", "_end_", "_y_")))
 
 
 def micros(ts) -> Column:

@@ -16,17 +16,22 @@ def moving(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.select("symbol", "date", *(fr.rolling(k, "close", n).alias(f"{k}_{n}") for k in ("mean", "std", "min", "max")))
 
 
+def _gains(bars: DataFrame) -> DataFrame:
+    d = F.coalesce(F.col("close") - fr.lag("close"), F.lit(0.0))
+    return bars.withColumn("_gain", F.greatest(d, F.lit(0.0))).withColumn("_loss", F.greatest(-d, F.lit(0.0)))
+
+
+def _strength(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rsi", 100 - 100 / (1 + F.coalesce(fr.div("_g", "_l"), F.lit(0.0)))).drop("_gain", "_loss", "_g", "_l")
+
+
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     """100 - 100 / (1 + mean gain / mean loss), recursive means of span n; a relative strength of 0 where nothing was lost."""
-    d = F.coalesce(F.col("close") - fr.lag("close"), F.lit(0.0))
-    moves = bars.withColumn("_gain", F.greatest(d, F.lit(0.0))).withColumn("_loss", F.greatest(-d, F.lit(0.0)))
-    both = fr.ema(moves, {"_g": ("_gain", n), "_l": ("_loss", n)})
-    strength = F.coalesce(fr.div("_g", "_l"), F.lit(0.0))
-    return both.withColumn("rsi", 100 - 100 / (1 + strength)).drop("_gain", "_loss", "_g", "_l")
+    return _strength(fr.ema(_gains(bars), {"_g": ("_gain", n), "_l": ("_loss", n)}, by="_gain"))
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    out = fr.ema(bars, {"_f": ("close", fast), "_s": ("close", slow)}).withColumn("macd", F.col("_f") - F.col("_s"))
+    out = fr.ema(bars, {"_f": ("close", fast), "_s": ("close", slow)}, by="close").withColumn("macd", F.col("_f") - F.col("_s"))
     return fr.ema(out, {"macd_signal": ("macd", signal)}).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
 
 
@@ -55,16 +60,34 @@ def stochastic(bars: DataFrame, n: int = 14, d: int = 3) -> DataFrame:
     return bars.withColumn("stoch_k", 100 * fr.div(F.col("close") - low, high - low)).withColumn("stoch_d", fr.rolling("mean", "stoch_k", d))
 
 
-def adx(bars: DataFrame, n: int = 14) -> DataFrame:
-    """Directional movement against the true range, and the recursive mean of its index."""
+def _directions(bars: DataFrame) -> DataFrame:
     up = F.coalesce(F.col("high") - fr.lag("high"), F.lit(0.0))
     down = F.coalesce(fr.lag("low") - F.col("low"), F.lit(0.0))
-    moves = bars.withColumn("_tr", true_range()).withColumn("_up", up).withColumn("_down", down)
-    moves = moves.withColumn("_plus", F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)).withColumn("_minus", F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0))
-    out = fr.ema(moves, {"_a": ("_tr", n), "_p": ("_plus", n), "_m": ("_minus", n)})
-    out = out.withColumn("plus_di", F.coalesce(100 * fr.div("_p", "_a"), F.lit(0.0))).withColumn("minus_di", F.coalesce(100 * fr.div("_m", "_a"), F.lit(0.0)))
+    moves = bars.withColumn("_up", up).withColumn("_down", down)
+    return moves.withColumn("_plus", F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0)).withColumn("_minus", F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0))
+
+
+def _index(rows: DataFrame, ranges: str) -> DataFrame:
+    out = rows.withColumn("plus_di", F.coalesce(100 * fr.div("_p", ranges), F.lit(0.0))).withColumn("minus_di", F.coalesce(100 * fr.div("_m", ranges), F.lit(0.0)))
     out = out.withColumn("_dx", F.coalesce(100 * fr.div(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")), F.lit(0.0)))
-    return fr.ema(out, {"adx": ("_dx", n)}).drop("_tr", "_up", "_down", "_plus", "_minus", "_a", "_p", "_m", "_dx")
+    return out.drop("_up", "_down", "_plus", "_minus", "_p", "_m")
+
+
+def adx(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Directional movement against the true range, and the recursive mean of its index."""
+    moves = _directions(bars.withColumn("_tr", true_range()))
+    out = fr.ema(moves, {"_p": ("_plus", n), "_m": ("_minus", n)}, by="_plus")
+    return fr.ema(_index(fr.ema(out, {"_a": ("_tr", n)}), "_a"), {"adx": ("_dx", n)}).drop("_tr", "_a", "_dx")
+
+
+def matrix(bars: DataFrame, n: int = 14) -> DataFrame:
+    """All technical features of bars without nulls: as ``rsi``, ``macd``, ``bollinger``, ``atr``, ``stochastic``, ``adx``, ``obv`` and ``vwap``
+    one after the other, but averages that do not need each other are taken together, so that their sorts are shared."""
+    out = _directions(_gains(bars).withColumn("_tr", true_range()))
+    spans = {"_g": ("_gain", n), "_l": ("_loss", n), "_f": ("close", 12), "_s": ("close", 26), "atr": ("_tr", n), "_p": ("_plus", n), "_m": ("_minus", n)}
+    out = _index(_strength(fr.ema(out, spans, by="close")), "atr").withColumn("macd", F.col("_f") - F.col("_s"))
+    out = fr.ema(out, {"macd_signal": ("macd", 9), "adx": ("_dx", n)}, by="close").withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return vwap(obv(stochastic(bollinger(out.drop("_tr", "_f", "_s", "_dx")))))
 
 
 def obv(bars: DataFrame, n: int = 20) -> DataFrame:

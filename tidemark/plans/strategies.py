@@ -27,10 +27,7 @@ def beside(*names: str, more: str = "") -> str:
 
 def technical_matrix(spark, sf_dir):
     """One row per symbol and date with all technical features: windows by symbol only, one shuffle after the bars."""
-    out = m.daily_bars(spark, sf_dir)
-    for step in (t.rsi, t.macd, t.bollinger, t.atr, t.stochastic, t.adx, t.obv, t.vwap):
-        out = step(out)
-    return out
+    return t.matrix(m.daily_bars(spark, sf_dir))
 
 
 MATRIX = ["rsi", "macd", "macd_signal", "macd_histogram", "bb_mid", "bb_upper", "bb_lower", "bb_position", "atr", "stoch_k", "stoch_d", "plus_di", "minus_di", "adx", "obv", "obv_mean", "vwap"]
