@@ -84,7 +84,7 @@ def deduplicate_titles(spark, sf_dir):
 @query("C11_deduplicate_whole_titles", sql("headlines", """, k AS (SELECT id, substring(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'), ' '), 1, 80) AS title_key FROM headlines)
 SELECT id, title_key FROM k QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY id) = 1"""))
 def deduplicate_whole_titles(spark, sf_dir):
-    """As C11_deduplicate_titles, cut to 80 characters only after normalising."""
+    """Titles are cut to 80 characters only after normalising."""
     return c.deduplicate_titles(m.headlines(spark, sf_dir)).select("id", "title_key")
 
 

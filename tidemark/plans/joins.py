@@ -78,6 +78,13 @@ def pairs(spark, sf_dir):
     return rounded(out, "a", "b")
 
 
+@query("J11_align_with_market", sql("rets", """, b AS (SELECT date, avg(ret) AS other FROM rets GROUP BY date HAVING avg(ret) IS NOT NULL) SELECT symbol, date, round(ret, 6) AS own, round(other, 6) AS other FROM rets JOIN b USING (date) WHERE ret IS NOT NULL"""))
+def align_with_market(spark, sf_dir):
+    """Every symbol's returns beside the market's on the dates that both have."""
+    rows = m.with_returns(m.daily_bars(spark, sf_dir)).where("ret is not null")
+    return rounded(rows.select("symbol", "date", F.col("ret").alias("own")).join(rows.groupBy("date").agg(F.avg("ret").alias("other")), "date"), "symbol", "date")
+
+
 @query("J11_align_two", sql("rets", """, s AS (SELECT date, ret AS own FROM rets WHERE symbol = 1 AND ret IS NOT NULL), b AS (SELECT date, avg(ret) AS other FROM rets GROUP BY date HAVING avg(ret) IS NOT NULL)
 SELECT date, round(own, 6) AS own, round(other, 6) AS other FROM s JOIN b USING (date)"""))
 def align_two(spark, sf_dir):

@@ -19,7 +19,7 @@ CTES = {
     "quotes": "quotes AS (SELECT user_id AS symbol, ts, event_id, value + 1 - 0.05 * (1 + CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100) AS bid, value + 1 + 0.05 * (1 + CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100) AS ask, CAST(event_id % 7 + 1 AS DOUBLE) AS bid_size, CAST(event_id % 5 + 1 AS DOUBLE) AS ask_size FROM events WHERE event_type = 'view')",
     "depth": "depth AS (SELECT user_id AS symbol, ts, level, (11 - level) * (1 + CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS bid_size, CAST((11 - level) * (1 + event_id % 3) AS DOUBLE) AS ask_size FROM events, range(1, 11) AS r(level) WHERE event_type = 'view')",
     "mentions": "mentions AS (SELECT user_id AS symbol, ts, event_id, least(greatest((value - 50) / 50, -1.0), 1.0) AS sentiment, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS volume FROM events WHERE event_type = 'click')",
-    "articles": "articles AS (SELECT doc_id AS id, doc_id % 100 AS symbol, DATE '1995-01-02' + CAST(doc_id % 2499 AS INTEGER) AS date, substring(text, 1, 80) AS title, source, n_chars FROM documents)",
+    "articles": "articles AS (SELECT doc_id AS id, doc_id % 100 AS symbol, DATE '1995-01-02' + CAST(doc_id % 2499 AS INTEGER) AS date, text AS title, source, n_chars FROM documents)",
     "headlines": "headlines AS (SELECT doc_id AS id, DATE '1995-01-02' + CAST(doc_id % 2499 AS INTEGER) AS date, text AS title, source FROM documents)",
     "disclosures": "disclosures AS (SELECT o_custkey % 100 AS symbol, o_custkey AS name, CAST(o_orderdate AS DATE) AS date, CAST(o_orderdate AS DATE) + 30 AS disclosed, CASE WHEN regexp_matches(o_orderpriority, '^[12]') THEN 'buy' WHEN regexp_matches(o_orderpriority, '^[45]') THEN 'sell' ELSE 'other' END AS kind, o_totalprice AS amount, o_orderkey FROM orders)",
     "sectors": "sectors AS (SELECT s_suppkey AS symbol, n_regionkey AS sector, s_nationkey AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey)",

@@ -63,7 +63,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     day = F.date_add(F.lit("1995-01-02").cast("date"), (F.col("doc_id") % 2499).cast("int"))
-    return rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100).alias("symbol"), day.alias("date"), F.substring("text", 1, 80).alias("title"), "source", "n_chars")
+    return rows.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100).alias("symbol"), day.alias("date"), F.col("text").alias("title"), "source", "n_chars")
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
