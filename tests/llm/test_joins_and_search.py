@@ -257,3 +257,30 @@ def test_many_equal_short_vectors(bound, short):
     want = sorted(((-int(s), i) for i, s in enumerate(x @ q[0])))[:5]
     filled, scores, ids, _ = tree.search(q, np.array([mtree.NONE]), 5)
     assert list(zip((-scores[0]).tolist(), ids[0].tolist())) == want
+
+
+def test_most_cells_of_grouped_vectors_are_never_met(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    centre = rnd.normal(size=(12, 24)) * 4
+    x = (centre[np.arange(2400) % 12] + 0.05 * rnd.normal(size=(2400, 24))).astype(float)
+    x *= 4 / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs = {}
+    plain = mtree.reached
+
+    def counted(blocks, own, radius):
+        out = plain(blocks, own, radius)
+        pairs["all"] = sum(len(r["keys"]) for r in blocks.collect()) * len(radius)
+        pairs["kept"] = sum(len(r["keys"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(mtree, "reached", counted)
+    got = sorted(map(tuple, mtree.top(df, lambda c: c % 50 == 0, 5, 200).collect()))
+    whole = np.floor(256 * x).astype(np.int64)
+    want = []
+    for q in range(0, 2400, 50):
+        score = whole @ whole[q]
+        best = sorted((i for i in range(2400) if i != q), key=lambda i: (-score[i], i))[:5]
+        want += [(q, k + 1, i, int(score[i])) for k, i in enumerate(best)]
+    assert got == sorted(want)
+    assert pairs["kept"] < pairs["all"] / 3, pairs

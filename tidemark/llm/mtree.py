@@ -8,7 +8,8 @@ sqrt(M^2 - |x|^2) and a query the coordinate 0, so the largest inner products ar
    shards of about ``SHARD``. Each shard is an M-tree of pages of at most ``PAGE`` entries, which hold a routing object,
    its covering radius and its distance to the parent.
 3. Blocks of about ``BLOCK`` queries first search the shard that their own vectors belong to. With the scores found
-   there as limits they meet every other shard.
+   there as limits they meet the other shards of those cells only that, by the distance of their pivot and their radius, may
+   hold something better; a query that is beyond its limit in a cell is left out of the block before anything is shuffled.
 4. A search takes pages by the least distance that any of the block's queries may find there, and stops when no page can
    hold a better object for any query. The stored distances to the parent rule entries and queries out before distances
    are computed; those of one page and the queries that are left are one matrix product. Scores are exact integers.
@@ -204,24 +205,53 @@ def pivots(found: DataFrame, n: int) -> dict[int, np.ndarray]:
     return out
 
 
-def dealt(found: DataFrame, n: int) -> DataFrame:
-    """``found`` with its cell: the vector length and the nearest pivot."""
-    own = found.sparkSession.sparkContext.broadcast(pivots(found, n))
-    schema = pa.schema([("key", pa.binary()), ("dim", pa.int32()), ("v", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("asked", pa.bool_()), ("cell", pa.string())])
+def dealt(found: DataFrame, own) -> DataFrame:
+    """``found`` with its cell, the vector length and the nearest of the broadcast pivots, and the distance to that pivot."""
+    schema = pa.schema([("key", pa.binary()), ("dim", pa.int32()), ("v", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("asked", pa.bool_()), ("cell", pa.string()), ("away", pa.float64())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, vs = batch.column(1).to_numpy(), batch.column(2)
-            cell = np.empty(len(batch), object)
+            cell, away = np.empty(len(batch), object), np.zeros(len(batch))
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 x = vs.take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(len(at), dim)
                 p = own.value.get(dim)
                 near = np.zeros(len(at), np.int64) if p is None or not dim else (x @ p.T - (p**2).sum(1) / 2).argmax(1)
                 cell[at] = [f"{dim}_{z}" for z in near.tolist()]
-            yield common.record(schema, [*batch.columns, cell.tolist()])
+                away[at] = np.sqrt(((x - centres(own.value, dim)[near]) ** 2).sum(1))
+            yield common.record(schema, [*batch.columns, cell.tolist(), away])
 
-    return found.select("key", "dim", "v", "ids", "asked").mapInArrow(task, "key binary, dim int, v array<long>, ids array<long>, asked boolean, cell string")
+    return found.select("key", "dim", "v", "ids", "asked").mapInArrow(task, "key binary, dim int, v array<long>, ids array<long>, asked boolean, cell string, away double")
+
+
+def centres(own: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    """The pivots of a vector length; the origin for one that the sample lacks."""
+    return own[dim] if dim in own else np.zeros((1, dim))
+
+
+def reached(blocks: DataFrame, own, radius: dict[str, float]) -> DataFrame:
+    """Blocks (dim, home, keys, vs, floors) by the cells where some of their queries may find what they lack, with those queries.
+
+    q x = q c + q (x - c) <= q c + |q| r for every x of a cell around c with radius r; a query whose limit is above that needs no
+    shard of the cell. There are at most ``PIVOTS`` cells of a vector length, so their radii fit every task."""
+    schema = pa.schema([("dim", pa.int32()), ("home", pa.string()), ("cell", pa.string()), ("keys", pa.list_(pa.binary())), ("vs", pa.list_(pa.int64())), ("floors", pa.list_(pa.int64()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, home, keys, vs, floors in zip(*batch.columns, strict=True):
+                dim, keys = dim.as_py(), keys.as_py()
+                v, floor = vs.values.to_numpy().reshape(len(keys), dim), floors.values.to_numpy()
+                q, c = v.astype(np.float64), centres(own.value, dim)
+                names = [f"{dim}_{z}" for z in range(len(c))]
+                reach = q @ c.T + np.sqrt((q**2).sum(1))[:, None] * np.array([radius.get(x, -np.inf) for x in names]) if dim else np.zeros((len(keys), 1))
+                needs = reach + 1e-9 * np.abs(reach) + 1e-3 >= floor[:, None]  # a little more than rounding
+                for z in np.flatnonzero(needs.any(0)).tolist():
+                    if names[z] in radius:
+                        some = np.flatnonzero(needs[:, z])
+                        yield common.record(schema, [[dim], [home.as_py()], [names[z]], [[keys[r] for r in some.tolist()]], [v[some].ravel()], [floor[some]]])
+
+    return blocks.select("dim", "home", "keys", "vs", "floors").mapInArrow(task, "dim int, home string, cell string, keys array<binary>, vs array<long>, floors array<long>")
 
 
 def build(rows: DataFrame) -> DataFrame:
@@ -268,9 +298,10 @@ def top(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, block: int
     common.batches(spark)
     rows = integers(vectors)
     found = common.cut(objects(rows, is_query, k), "objects")
-    cells = common.cut(dealt(found, min(PIVOTS, -(-found.count() // shard) or 1)), "cells")
+    own = spark.sparkContext.broadcast(pivots(found, min(PIVOTS, -(-found.count() // shard) or 1)))
+    cells = common.cut(dealt(found, own), "cells")
     # At most PIVOTS rows for each vector length of the sample: small enough to broadcast.
-    count = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"), F.count_if("asked").alias("n"))
+    count = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"), F.count_if("asked").alias("n"), F.max("away").alias("radius"))
     placed = cells.join(F.broadcast(count), ["dim", "cell"]).withColumn("shard", F.concat_ws("_", "cell", F.pmod(F.xxhash64("key"), "parts")))
     trees = common.cut(build(placed), "mtree")
     # Queries of a shard in blocks; each distinct vector is searched once.
@@ -284,7 +315,8 @@ def top(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, block: int
     at_home = common.cut(met(trees, packed(asked.withColumn("floor", F.lit(NONE).cast("long"))), k + 1), "own-shard")
     floors = at_home.groupBy("key").agg(F.when(F.count("*") > k, F.min("score")).otherwise(F.lit(NONE).cast("long")).alias("floor"))
     full = packed(asked.join(floors, "key")).withColumnRenamed("shard", "home")
-    others = full.join(F.broadcast(count.select("dim", "cell", "parts")), "dim").withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.concat_ws("_", "cell", p))))
+    wanted = reached(full, own, {r["cell"]: r["radius"] for r in count.select("cell", "radius").collect()})
+    others = wanted.join(F.broadcast(count.select("dim", "cell", "parts")), ["dim", "cell"]).withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.concat_ws("_", "cell", p))))
     several = max(1, -(-4 * common.partitions(spark) // max(trees.count(), 1)))
     rest = met(trees, others.where("shard <> home"), k + 1, several)
     by = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
