@@ -8,7 +8,7 @@ from ..functions.frames import across, div, rounded
 from ..operators import paths as p
 from ..sources import market as m
 from .recursions import recursive
-from .registry import query, sql
+from .registry import ORACLES, query, sql
 from .technical import W, r
 
 KEYS = ("symbol", "date")
@@ -36,6 +36,14 @@ def distribution_shift(spark, sf_dir):
     return rounded(p.distribution_shift(m.daily_bars(spark, sf_dir), "close", step=40), *KEYS)
 
 
+@query("M36_path_signals", f"""WITH h AS ({ORACLES['M25_rescaled_range']}), d AS ({ORACLES['M27_distribution_shift']}), j AS (SELECT h.*, last_value(z IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS zz FROM h LEFT JOIN d USING (symbol, date))
+SELECT symbol, date, CASE WHEN hurst IS NULL THEN NULL WHEN hurst < 0.35 THEN 'strongly reverting' WHEN hurst < 0.45 THEN 'reverting' WHEN hurst < 0.55 THEN 'random walk' WHEN hurst < 0.65 THEN 'trending' ELSE 'strongly trending' END AS persistence,
+coalesce(zz > 2, false) AS reduce, {r(signal='2 * (hurst - 0.5) * fit', confidence='CASE WHEN zz IS NULL THEN 1.0::DOUBLE WHEN zz > 2 THEN greatest(0.0, 1 - zz / 5) ELSE least(1.0, 1 - zz / 3) END')} FROM j""")
+def path_signals(spark, sf_dir):
+    """Of the measures as they are reported, to 6 digits."""
+    return rounded(p.path_signals(rescaled_range(spark, sf_dir), distribution_shift(spark, sf_dir)), *KEYS, "persistence", "reduce")
+
+
 @query("R5_dependence", sql("rets sectors", f""", s AS (SELECT symbol, date, ret, (sum(ret) OVER k - ret) / nullif(count(ret) OVER k - 1, 0) AS peer, (close - open) / nullif(open, 0) AS tone, volume / 1000 AS crowd FROM rets JOIN sectors USING (symbol) WINDOW k AS (PARTITION BY industry, date)),
 a AS (SELECT *, row_number() OVER w - 1 AS p, list({{'x': coalesce(ret, 0.0), 'y': coalesce(peer, 0.0), 'p': coalesce(ret, 0.0) + 0.2 * coalesce(tone, 0.0)}}) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS w FROM s {W}),
 t AS (SELECT symbol, date, w, abs(crowd) AS crowd FROM a WHERE p >= 60 AND ((p - 60) % 21 = 0 OR coalesce(abs(ret) > 2, false))),
