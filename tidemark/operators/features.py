@@ -17,6 +17,20 @@ def interactions(bars: DataFrame) -> DataFrame:
     return out.select("symbol", "date", (F.col("_m") * F.col("_v")).alias("momentum_x_vol"), (F.col("_m") * F.col("_q")).alias("momentum_x_volume"), (F.col("_v") * F.col("_r")).alias("vol_x_range"), (F.col("ret") * F.col("_q")).alias("ret_x_volume"))
 
 
+def all_interactions(rows: DataFrame) -> DataFrame:
+    """The twelve products of tone, momentum, volatility, oscillators, volume, drawdown and signals, of rows that have them as columns.
+
+    rsi counts from its middle and is scaled to -1..1, adx to 0..1, the band position from its middle, the volume ratio from 1."""
+    rsi, adx, band, volume = (F.col("rsi") - 50) / 50, F.col("adx") / 100, F.col("bb_position") - 0.5, F.col("volume_ratio") - 1
+    tone, mom, vol = F.col("tone"), F.col("momentum"), F.col("volatility")
+    products = {
+        "tone_x_momentum": tone * mom, "tone_x_volatility": tone * vol, "tone_x_rsi": tone * rsi, "tone_x_volume": tone * volume, "momentum_x_volatility": mom * vol, "rsi_x_adx": rsi * adx,
+        "bb_position_x_volume": band * volume, "returns_x_volume": F.col("ret") * volume, "drawdown_x_tone": F.col("drawdown") * tone, "trend_x_meanrev": F.col("trend") * F.col("meanrev"),
+        "regime_vol_x_momentum": F.col("regime_volatility") * mom, "sma_cross_x_adx": F.col("sma_cross") * adx,
+    }
+    return rows.select("symbol", "date", *(c.alias(k) for k, c in products.items()))
+
+
 def correlation_change(pairs: DataFrame, short: int = 20, long: int = 60) -> DataFrame:
     """Correlation of each pair over a short and a long frame, and their difference."""
     w = lambda n: Window.partitionBy("a", "b").orderBy("date").rowsBetween(1 - n, 0)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.frames import across, div, rounded
+from ..functions.frames import across, change, div, last_rows, rolling, rounded, zscore
+from ..operators import features as fe
 from ..operators import paths as p
+from ..operators import technical as t
 from ..sources import market as m
 from .recursions import recursive
 from .registry import ORACLES, query, sql
-from .technical import W, r
+from .technical import W, r, roll
 
 KEYS = ("symbol", "date")
 
@@ -83,3 +85,24 @@ def group_limits(spark, sf_dir):
     last = m.daily_bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
     positions = last.select("symbol", (F.when(F.col("symbol") % 3 == 0, -1).otherwise(1) * F.col("close")).alias("value"))
     return rounded(p.group_limits(positions, groups(spark, sf_dir), 0.03), "symbol", "anchor", "members", "breach")
+
+
+L252 = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+
+
+@query("W15_all_interactions", sql("rets articles", f""", x AS ({ORACLES['W3_rsi']}), y AS ({ORACLES['W8_adx']}), z AS ({ORACLES['W5_bollinger']}), tn AS (SELECT symbol, date, avg((n_chars % 200) / 100.0 - 1) AS tone FROM articles GROUP BY symbol, date),
+b AS (SELECT symbol, date, ret, close / nullif(lag(close, 63) OVER w, 0) - 1 AS mom, {roll('stddev_samp', 'ret', 21)} AS vol, volume / nullif({roll('avg', 'volume', 20)}, 0) - 1 AS vr, close / nullif(max(close) OVER {L252}, 0) - 1 AS dd, ({roll('stddev_samp', 'ret', 20)}) * sqrt(252.0) AS rv,
+({roll('avg', 'close', 50)}) / nullif({roll('avg', 'close', 200)}, 0) - 1 AS sx, sign(({roll('avg', 'close', 20)}) / nullif({roll('avg', 'close', 50)}, 0) - 1) AS tr, (close - ({roll('avg', 'close', 20)})) / nullif({roll('stddev_samp', 'close', 20)}, 0) AS zs FROM rets {W}),
+j AS (SELECT b.*, (x.rsi - 50) / 50 AS ri, y.adx / 100 AS ad, z.bb_position - 0.5 AS bp, coalesce(tn.tone, 0.0) AS tone, CASE WHEN zs > 2 THEN -1 WHEN zs < -2 THEN 1 ELSE 0 END AS mr FROM b JOIN x USING (symbol, date) JOIN y USING (symbol, date) JOIN z USING (symbol, date) LEFT JOIN tn ON b.symbol = tn.symbol AND b.date = tn.date)
+SELECT symbol, date, {r(tone_x_momentum='tone * mom', tone_x_volatility='tone * vol', tone_x_rsi='tone * ri', tone_x_volume='tone * vr', momentum_x_volatility='mom * vol', rsi_x_adx='ri * ad', bb_position_x_volume='bp * vr', returns_x_volume='ret * vr', drawdown_x_tone='dd * tone', trend_x_meanrev='tr * mr', regime_vol_x_momentum='rv * mom', sma_cross_x_adx='sx * ad')} FROM j"""))
+def all_interactions(spark, sf_dir):
+    """Oscillators as they are reported, to 6 digits; a date without an article has no tone."""
+    bars = m.daily_bars(spark, sf_dir)
+    rows = t.matrix(bars).withColumn("ret", change("close"))
+    rows = rows.withColumns({c: F.round(c, 6) for c in ("rsi", "adx", "bb_position")} | {
+        "momentum": change("close", 63), "volatility": rolling("std", "ret", 21), "volume_ratio": div("volume", rolling("mean", "volume", 20)), "drawdown": div("close", F.max("close").over(last_rows(252))) - 1,
+        "regime_volatility": rolling("std", "ret", 20) * F.sqrt(F.lit(252.0)), "sma_cross": div(rolling("mean", "close", 50), rolling("mean", "close", 200)) - 1,
+        "trend": F.signum(div(rolling("mean", "close", 20), rolling("mean", "close", 50)) - 1), "meanrev": F.when(zscore("close", 20) > 2, -1.0).when(zscore("close", 20) < -2, 1.0).otherwise(0.0),
+    })
+    tone = m.articles(spark, sf_dir).groupBy("symbol", "date").agg(F.avg((F.col("n_chars") % 200) / 100.0 - 1).alias("tone"))
+    return rounded(fe.all_interactions(rows.join(tone, ["symbol", "date"], "left").withColumn("tone", F.coalesce("tone", F.lit(0.0)))), *KEYS)
