@@ -11,7 +11,7 @@ from ..operators import technical as t
 from ..sources import market as m
 from .recursions import recursive
 from .registry import ORACLES, query, sql
-from .technical import W, r, roll
+from .technical import W, r, r8, roll
 
 KEYS = ("symbol", "date")
 
@@ -80,11 +80,11 @@ def correlated_groups(spark, sf_dir):
 
 @query("V41_group_limits", recursive("rets sectors", f""", {GROUPS}, ps AS (SELECT symbol, (CASE WHEN symbol % 3 = 0 THEN -1 ELSE 1 END) * last(close ORDER BY date) AS value FROM bars GROUP BY symbol),
 mt AS (SELECT ps.symbol, value, coalesce(anchor, ps.symbol) AS anchor FROM ps LEFT JOIN gp ON ps.symbol = gp.symbol), sh AS (SELECT *, count(*) OVER (PARTITION BY anchor) AS members, sum(abs(value)) OVER (PARTITION BY anchor) / (SELECT sum(abs(value)) FROM mt) AS share FROM mt)
-SELECT symbol, anchor, members, share > 0.03 AS breach, {r(value='value', share='share', target='CASE WHEN share > 0.03 THEN value * 0.03 / share ELSE value END')} FROM sh"""))
+SELECT symbol, anchor, members, share > 0.03 AS breach, {r8(value='value', share='share', target='CASE WHEN share > 0.03 THEN value * 0.03 / share ELSE value END')} FROM sh"""))
 def group_limits(spark, sf_dir):
     last = m.daily_bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
     positions = last.select("symbol", (F.when(F.col("symbol") % 3 == 0, -1).otherwise(1) * F.col("close")).alias("value"))
-    return rounded(p.group_limits(positions, groups(spark, sf_dir), 0.03), "symbol", "anchor", "members", "breach")
+    return rounded(p.group_limits(positions, groups(spark, sf_dir), 0.03), "symbol", "anchor", "members", "breach", digits=8)
 
 
 L252 = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
