@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, clean, cross, evaluation, events, joins, micro, models, more, panels, paths, portfolio, recursions, regimes, sentiment, signals, states, strategies, technical  # noqa: F401  each module registers its queries
+from . import aggregates, clean, cross, evaluation, events, joins, micro, models, more, panels, paths, portfolio, recursions, regimes, sentiment, shapes, signals, states, strategies, technical  # noqa: F401  each module registers its queries
 from .registry import ORACLES, QUERIES, Query
 
 
