@@ -90,10 +90,11 @@ def tail_probabilities(bars: DataFrame, n: int = 60, move: float = 1.5) -> DataF
 
 
 def options_signal(options: DataFrame, n: int = 10) -> DataFrame:
-    """Contrarian on the put-call ratio against its mean, minus the skew's excess, plus unusual volume; the sign of the sum."""
+    """Contrarian on the put-call ratio against its mean, minus the skew's excess (to nine digits, so that rounding decides nothing),
+    plus unusual volume; the sign of the sum."""
     mean, skew, sd = fr.rolling("mean", "pc_ratio", n, 3), fr.rolling("mean", "iv_skew", n), fr.rolling("std", "iv_skew", n)
     a = F.when(F.col("pc_ratio") > 1.2 * mean, 1).when(F.col("pc_ratio") < 0.8 * mean, -1).otherwise(0)
-    b = F.when(F.col("iv_skew") > skew + sd, -1).otherwise(0)
+    b = F.when(F.round("iv_skew", 9) > F.round(skew + sd, 9), -1).otherwise(0)
     c = F.when(F.col("volume_z") > 2, 1).otherwise(0)
     return options.select("symbol", "date", F.signum((a + b + c).cast("double")).cast("int").alias("signal"))
 
