@@ -56,8 +56,9 @@ def alerts(metrics: DataFrame, key: str, rules: DataFrame) -> DataFrame:
 
 
 def provider_choice(candidates: DataFrame) -> DataFrame:
-    """The provider of the best weighted score of freshness, completeness, latency and reliability for each key."""
-    score = 0.3 * F.col("freshness") + 0.3 * F.col("completeness") + 0.2 * (1 - F.least(F.col("latency_ms") / 1000.0, F.lit(1.0))) + 0.2 * F.col("reliability")
+    """The provider of the best weighted score of freshness, completeness, latency and reliability for each key; scores that agree
+    to nine digits are ties and go to the first name."""
+    score = F.round(0.3 * F.col("freshness") + 0.3 * F.col("completeness") + 0.2 * (1 - F.least(F.col("latency_ms") / 1000.0, F.lit(1.0))) + 0.2 * F.col("reliability"), 9)
     ranked = candidates.withColumn("score", score).withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "provider")))
     return ranked.where("_k = 1").select("key", "provider", "score")
 
