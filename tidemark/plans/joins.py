@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import div, micros, rounded
 from ..operators import joins as j
+from ..operators import pairs as pr
 from ..sources import market as m
 from .registry import query, sql
 from .technical import r
@@ -74,8 +75,7 @@ def event_in_window(spark, sf_dir):
 SELECT a, b, count(*) AS n, round(covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0), 6) AS correlation FROM p GROUP BY a, b"""))
 def pairs(spark, sf_dir):
     rows = m.with_returns(m.daily_bars(spark, sf_dir)).where("ret is not null").join(m.sectors(spark, sf_dir), "symbol")
-    out = j.pairs(rows, ["industry", "date"], "ret").groupBy("a", "b").agg(F.count("*").alias("n"), div(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("correlation"))
-    return rounded(out, "a", "b")
+    return rounded(pr.statistics(rows, "industry", "ret").select("a", "b", "n", "correlation"), "a", "b")
 
 
 @query("J11_align_with_market", sql("rets", """, b AS (SELECT date, avg(ret) AS other FROM rets GROUP BY date HAVING avg(ret) IS NOT NULL) SELECT symbol, date, round(ret, 6) AS own, round(other, 6) AS other FROM rets JOIN b USING (date) WHERE ret IS NOT NULL"""))
