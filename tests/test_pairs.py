@@ -68,3 +68,16 @@ def test_no_row_for_each_pair_and_date_is_shuffled(spark, panel):
 
 def test_no_rows(spark, panel):
     assert pairs.statistics(frame(spark, panel).where("symbol = 1"), "cluster", "v").isEmpty()
+
+
+@pytest.mark.parametrize("size", [4, 512])
+def test_concordance_of_pairs(spark, panel, size):
+    got = {(r["a"], r["b"]): (r["n"], r["tau"]) for r in pairs.concordance(frame(spark, panel), "cluster", "v", size).collect()}
+    want = {}
+    for a, b in combinations(range(23), 2):
+        x, y = met(panel, a, b)
+        if a % 2 == b % 2 and len(x) > 1:
+            s = np.sign(np.diff(x)) * np.sign(np.diff(y))
+            want[a, b] = (len(s), s.mean())
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and same(got[k][1], float(want[k][1])) for k in want)
