@@ -52,6 +52,22 @@ def test_residuals_against_singular_vectors(planted):
     assert {r.signal for r in got} <= {-1, 0, 1} and all((r.signal == -1) == (r.z > 2) for r in got)
 
 
+def test_factors_read_the_panel_once_and_are_exact(spark):
+    """No gap between the values that vectors hold: rounds of iteration would not settle."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 150))
+    rows = [(s, DAY + datetime.timedelta(d), float(x[s, d])) for s in range(60) for d in range(150)]
+    panel = factors.series(spark.createDataFrame(rows, "symbol long, date date, ret double").repartition(5), "ret")
+    panel.write.format("noop").mode("overwrite").save()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    for centred in (False, True):
+        calendar, mean, got = factors.factors(panel, 5, centred)
+        want = np.linalg.svd(x - x.mean(0) * centred)[2][:5].T
+        assert len(calendar) == 150 and np.allclose(np.abs((got * want).sum(0)), 1, rtol=0, atol=1e-9) and np.allclose(mean, x.mean(0) * centred)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 30
+    assert factors.factors(panel.limit(3), 5, False)[2].shape == (150, 3) and factors.factors(panel.where("false"), 5, True)[2].shape == (0, 0)
+
+
 def plain_isotonic(score, label):
     blocks = []
     for s in sorted(set(score)):

@@ -1,9 +1,9 @@
 """Leading factors of a panel, residuals from them, and peer clusters of symbols by their factor loadings.
 
 The panel stays long: one row for each symbol with the days it has and its values there (a row is bounded by the calendar).
-Factors are vectors over days. A round of subspace iteration reads every symbol once: its loadings on the present vectors, and
-its share in the next ones, summed in the task and then by day. Only vectors over the calendar reach the driver, and missing days
-count as 0 without being stored. Clusters are found in the same way: centres go out, sums by centre come back.
+Factors are vectors over days: eigenvectors of the products of days, which are summed over symbols in the task and then by stripes
+of days, so that the panel is read once. Only those sums, the square of the calendar (51 MB for ten years), reach the driver, and missing
+days count as 0 without being stored. Clusters are found by rounds: centres go out, sums by centre come back.
 """
 
 from __future__ import annotations
@@ -18,22 +18,40 @@ from pyspark.sql import functions as F
 
 from ..sources import store
 
-#: Vectors beyond those asked for that are iterated along, rounds at most, and the relative change at which they end earlier.
-SPARE, ROUNDS, SETTLED = 8, 40, 1e-7
+#: Days of a stripe of products.
+STRIPE = 64
 #: Symbols among which the starts of clusters are picked, in the order of a hash; rounds of moving centres at most.
 POOL, MOVES = 8192, 100
 _days = ("days", "values")
 
 
-def series(rows: DataFrame, value: str) -> DataFrame:
-    """(symbol, date, value) -> symbol, days (since 1970) and values of its non-null values, stored."""
+def series(rows: DataFrame, value: str, standard: bool = False) -> DataFrame:
+    """(symbol, date, value) -> symbol, days (since 1970) and values of its non-null values, stored; if ``standard``, less the
+    symbol's mean and over its sample deviation."""
     met = rows.where(F.col(value).isNotNull()).groupBy("symbol", F.unix_date("date").alias("day")).agg(F.avg(value).alias("v"))
     out = met.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("day", "v"))).alias("x"))
+    out = out.select("symbol", F.col("x.day").alias("days"), F.col("x.v").alias("values"))
     path = store.scratch(rows.sparkSession, "series")
-    out.select("symbol", F.col("x.day").alias("days"), F.col("x.v").alias("values")).write.parquet(path)
+    (out.mapInArrow(_standard, out.schema) if standard else out).write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
+def _scaled(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Values less their owner's mean and over its sample deviation, 1e-8 at least."""
+    size = np.maximum(np.bincount(owner, minlength=n), 1)
+    away = flat - (np.bincount(owner, flat, n) / size)[owner]
+    return away / np.maximum(np.sqrt(np.bincount(owner, away**2, n) / np.maximum(size - 1, 1)), 1e-8)[owner]
+
+
+def _standard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        symbol, days, values = batch.columns
+        sizes = pa.compute.list_value_length(values).to_numpy()
+        scaled = _scaled(values.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), sizes), batch.num_rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(scaled))
+        yield pa.RecordBatch.from_arrays([symbol, days, lists], names=["symbol", "days", "values"])
+
+
 def _parts(batches: Iterator[pa.RecordBatch], calendar: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Batches of so few symbols that their matrix has some millions of cells."""
     rows = max(1, 4_000_000 // max(len(calendar), 1))
@@ -58,30 +76,24 @@ def factors(panel: DataFrame, k: int, centred: bool) -> tuple[np.ndarray, np.nda
     calendar = np.array([r.days for r in daily], np.int64)
     n = panel.count()
     mean = np.array([r.s for r in daily]) / n if centred and n else np.zeros(len(calendar))
-    width = min(k + SPARE, len(calendar), n)
-    if not width:
+    if not (len(calendar) and n):
         return calendar, mean, np.zeros((len(calendar), 0))
-    names = [f"v{c}" for c in range(width)]
-    schema = pa.schema([("day", pa.int64()), *((c, pa.float64()) for c in names)])
-    vectors = np.linalg.qr(np.random.default_rng(42).normal(size=(len(calendar), width)))[0]
-    before = np.zeros(width)
-    for _ in range(ROUNDS):
-
-        def share(batches: Iterator[pa.RecordBatch], vectors: np.ndarray = vectors) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(vectors.shape)
-            for batch in _parts(batches, calendar):
-                x = _matrix(batch, calendar) - mean
-                total += x.T @ (x @ vectors)
-            yield pa.RecordBatch.from_arrays([pa.array(calendar), *(pa.array(total[:, c]) for c in range(total.shape[1]))], schema=schema)
-
-        summed = panel.select(*_days).mapInArrow(share, "day long, " + ", ".join(f"{c} double" for c in names)).groupBy("day").agg(*(F.sum(c).alias(c) for c in names)).orderBy("day").collect()
-        after = np.array([[r[c] for c in names] for r in summed])
-        values, turn = np.linalg.eigh((vectors.T @ after + after.T @ vectors) / 2)  # squares that each vector holds
-        now, turn = values[::-1], turn[:, ::-1]
-        found = vectors @ turn[:, :k]
-        if np.abs(now[:k] - before[:k]).max() <= SETTLED * max(now[0], 1e-300):
-            break
-        before, vectors = now, np.linalg.qr(after @ turn)[0]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(calendar), len(calendar)))
+        for batch in _parts(batches, calendar):
+            x = _matrix(batch, calendar) - mean
+            total += x.T @ x
+        starts = range(0, len(total), STRIPE)
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([total[at : at + STRIPE].tobytes() for at in starts])], names=["day", "cells"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(cells.as_buffer()) for cells in group["cells"])
+        return pa.table({"day": group["day"][:1], "cells": pa.array([total.tobytes()])})
+
+    kind = "day long, cells binary"
+    stripes = panel.select(*_days).mapInArrow(products, kind).groupBy("day").applyInArrow(summed, kind).orderBy("day").collect()  # the calendar's square
+    found = np.linalg.eigh(np.concatenate([np.frombuffer(r.cells) for r in stripes]).reshape(len(calendar), -1))[1][:, ::-1][:, : min(k, n)]
     sign = np.sign(found[np.abs(found).argmax(0), np.arange(found.shape[1])])
     return calendar, mean, found * np.where(sign == 0, 1, sign)
 
@@ -101,12 +113,7 @@ def loadings(panel: DataFrame, k: int = 5) -> DataFrame:
 def residuals(rows: DataFrame, value: str, k: int = 5, threshold: float = 2.0) -> DataFrame:
     """symbol, date, residual, z, signal: what k common factors leave of each symbol's standardised values (missing days count as
     its mean), scaled by the symbol; 1 where z is below -threshold, -1 above."""
-    panel = series(rows, value)
-    moments = F.expr("aggregate(values, struct(0D as s, 0D as q), (a, x) -> struct(a.s + x as s, a.q + x * x as q))")
-    panel = panel.withColumn("_m", moments).withColumn("_n", F.size("values")).withColumn("_a", F.col("_m.s") / F.col("_n"))
-    spread = F.expr("aggregate(values, 0D, (a, x) -> a + (x - _a) * (x - _a))")
-    panel = panel.withColumn("_d", F.greatest(F.sqrt(spread / F.greatest(F.col("_n") - 1, F.lit(1))), F.lit(1e-8)))
-    panel = panel.select("symbol", "days", F.expr("transform(values, x -> (x - _a) / _d)").alias("values"))
+    panel = series(rows, value, standard=True)
     calendar, _, vectors = factors(panel, k, centred=False)
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +123,7 @@ def residuals(rows: DataFrame, value: str, k: int = 5, threshold: float = 2.0) -
             days = batch.column(1)
             owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(days).to_numpy())
             flat = x[owner, np.searchsorted(calendar, days.flatten().to_numpy())]
-            n = np.maximum(np.bincount(owner, minlength=batch.num_rows), 1)
-            mean = np.bincount(owner, flat, batch.num_rows) / n
-            spread = np.sqrt(np.bincount(owner, (flat - mean[owner]) ** 2, batch.num_rows) / np.maximum(n - 1, 1))
-            z = (flat - mean[owner]) / np.maximum(spread, 1e-8)[owner]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), days.flatten(), pa.array(flat), pa.array(z[owner])], names=["symbol", "day", "residual", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), days.flatten(), pa.array(flat), pa.array(_scaled(flat, owner, batch.num_rows))], names=["symbol", "day", "residual", "z"])
 
     out = panel.mapInArrow(left, "symbol long, day int, residual double, z double")
     return out.select("symbol", F.date_from_unix_date("day").alias("date"), "residual", "z", F.when(F.col("z") < -threshold, 1).when(F.col("z") > threshold, -1).otherwise(0).alias("signal"))
