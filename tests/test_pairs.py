@@ -9,7 +9,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tidemark.operators import pairs
+from tidemark.operators import joins, pair_paths, pairs, recursions
+from tidemark.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,41 @@ def test_concordance_of_pairs(spark, panel, size):
             want[a, b] = (len(s), s.mean())
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and same(got[k][1], float(want[k][1])) for k in want)
+
+
+def rows_of(df, *keys):
+    return [tuple(r) for r in df.orderBy(*keys).collect()]
+
+
+def alike(got, want):
+    assert len(got) == len(want) > 0
+    for a, b in zip(got, want, strict=True):
+        assert all(same(x, y) or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-7, abs_tol=1e-7) if isinstance(y, float) or y is None else x == y for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def finite(spark, panel):
+    """Without values that are no numbers and without the symbol whose spreads are rounding alone."""
+    return frame(spark, {k: v for k, v in panel.items() if not math.isnan(v) and k[0] != 5}).where("date is not null and v is not null")
+
+
+@pytest.mark.parametrize("size", [3, 512])
+def test_filter_and_trades_by_tiles_against_the_scans(spark, panel, size):
+    rows = finite(spark, panel)
+    met = joins.pairs(rows, ["cluster", "date"], "v")
+    scanned = recursions.kalman(met).drop("x", "y").cache()
+    alike(rows_of(pair_paths.kalman(rows, "cluster", "v", size=size), "a", "b", "date"), rows_of(scanned, "a", "b", "date"))
+    traded = recursions.pair_trades(scanned, 0.5, 0.1, 5).select("a", "b", "date", "position", "z", "profit").cache()
+    got = pair_paths.trades(rows, "cluster", "v", 0.5, 0.1, 5, size=size)
+    assert traded.where("profit is not null").count() > 50
+    alike(rows_of(got, "a", "b", "date"), rows_of(traded, "a", "b", "date"))
+    book = recursions.booked(pair_paths.daily_trades(rows, "cluster", "v", 0.5, 0.1, 5, size=size))
+    alike(rows_of(book, "date"), rows_of(recursions.pair_book(traded), "date"))
+    last = recursions.signalled(pair_paths.last_filtered(rows, "cluster", "v", size))
+    alike(rows_of(last, "a", "b"), rows_of(recursions.latest_pair_signals(recursions.pair_trades(scanned)), "a", "b"))
+
+
+@pytest.mark.parametrize("name", ["G14_kalman_hedge", "G34_kalman_trades", "G34_pair_book", "G34_latest_signals"])
+def test_pairs_meet_in_tiles_and_never_as_shuffled_rows(spark, sf_dir, name):
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("FlatMapGroupsInArrow")[0]
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "hashpartitioning(a" not in above and "SortMergeJoin" not in above
