@@ -9,7 +9,10 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tidemark.operators import joins, pair_paths, pairs, recursions
+from pyspark.sql import functions as F
+
+from tidemark.functions import frames as fr
+from tidemark.operators import features, joins, pair_paths, pairs, recursions, signals, strategies
 from tidemark.plans import catalog
 
 
@@ -115,7 +118,27 @@ def test_filter_and_trades_by_tiles_against_the_scans(spark, panel, size):
     alike(rows_of(last, "a", "b"), rows_of(recursions.latest_pair_signals(recursions.pair_trades(scanned)), "a", "b"))
 
 
-@pytest.mark.parametrize("name", ["G14_kalman_hedge", "G34_kalman_trades", "G34_pair_book", "G34_latest_signals"])
+@pytest.mark.parametrize("size", [3, 512])
+def test_frames_of_common_dates_by_tiles_against_windows(spark, panel, size):
+    # a constant has no slope: all of its z are null, while the windows divide by what rounding leaves
+    assert pair_paths.spread_z(finite(spark, panel), "cluster", "v", 8, 18, size).where("a = 4").select(F.count("*") > 20, F.count("z")).first() == (True, 0)
+    rows = finite(spark, panel).where("symbol <> 4")
+    met = joins.pairs(rows, ["cluster", "date"], "v").cache()
+    z = signals.spread_z(met, signals.pair_statistics(met, 18), 8).cache()
+    assert z.where("z is not null").count() > 500
+    alike(rows_of(pair_paths.spread_z(rows, "cluster", "v", 8, 18, size), "a", "b", "date"), rows_of(z, "a", "b", "date"))
+    held = strategies.pair_positions(z, 1.0, 0.3).cache()
+    assert held.where("position <> 0").count() > 100
+    alike(rows_of(pair_paths.positions(rows, "cluster", "v", 1.0, 0.3, 8, 18, size), "a", "b", "date"), rows_of(held, "a", "b", "date"))
+    w = fr.Window.partitionBy("a", "b").orderBy("date")
+    moves = met.select("a", "b", "date", (fr.div("y", F.lag("y").over(w)) - fr.div("x", F.lag("x").over(w))).alias("spread_return"))
+    alike(rows_of(pair_paths.daily_profit(rows, "cluster", "v", 1.0, 0.3, 8, 18, size), "date"), rows_of(strategies.pair_returns(held, moves), "date"))
+    alike(rows_of(pair_paths.correlation_change(rows, "cluster", "v", 4, 12, size), "a", "b", "date"), rows_of(features.correlation_change(met, 4, 12), "a", "b", "date"))
+    some = rows.withColumn("v", F.when(F.dayofmonth("date") % 3 == 0, F.col("v")))
+    alike(rows_of(pair_paths.confirmation(some, "cluster", "v", size), "a", "b", "date"), rows_of(strategies.confirmation(met.select("a", "b", "date"), some, "v"), "a", "b", "date"))
+
+
+@pytest.mark.parametrize("name", ["G14_kalman_hedge", "G34_kalman_trades", "G34_pair_book", "G34_latest_signals", "G11_spread_z", "G12_pair_positions", "G12_pair_profit", "G13_pair_confirmation", "W33_correlation_change"])
 def test_pairs_meet_in_tiles_and_never_as_shuffled_rows(spark, sf_dir, name):
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     above = plan.split("FlatMapGroupsInArrow")[0]
