@@ -80,3 +80,23 @@ def test_lexicon_against_a_loop(spark):
             sign = ((w in text.BULLISH) - (w in text.BEARISH)) * (-1 if flip > 0 else 1)
             up, down, flip = up + (sign > 0), down + (sign < 0), 3 if w in text.NEGATIONS else max(flip - 1, 0)
         assert (s is None and x is None) or s == pytest.approx((up - down) / (1 + up + down)), x
+
+
+def test_a_round_shuffles_nothing_and_reads_blocks(spark, planted, monkeypatch):
+    """Rounds read stored blocks of rows as matrices; the densities are those of the plain formula."""
+    sizes, read = [], type(spark.read).parquet
+
+    def parquet(self, path):
+        out = read(self, path)
+        sizes.append(out.count() if "mixture-blocks" in path else None)
+        return out
+
+    monkeypatch.setattr(type(spark.read), "parquet", parquet)
+    rows = planted.where("y is not null")
+    got = regimes.mixture(rows.coalesce(1), ["x", "y"], 3)
+    assert [n for n in sizes if n is not None] == [1] and got.count() == rows.count()
+    rng = np.random.default_rng(3)
+    x, mean, half = rng.normal(size=(50, 2)), rng.normal(size=(3, 2)), rng.normal(size=(3, 2, 2))
+    cov, weight = half @ half.transpose(0, 2, 1) + 0.1 * np.eye(2), np.array([0.2, 0.3, 0.5])
+    plain = [[np.log(w) - 0.5 * (v - m) @ np.linalg.inv(c) @ (v - m) - 0.5 * np.log(np.linalg.det(2 * np.pi * c)) for w, m, c in zip(weight, mean, cov)] for v in x]
+    assert np.allclose(regimes._terms(x) @ regimes._log_density(weight, mean, cov), plain)

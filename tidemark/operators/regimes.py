@@ -28,20 +28,28 @@ def features(bars: DataFrame) -> DataFrame:
     return out.withColumn("drawdown", fr.div("close", F.max("close").over(fr.last_rows(252))) - 1)
 
 
-def _log_density(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """log(weight times density) of each row in each state."""
-    out = np.empty((len(x), len(weight)))
-    for k in range(len(weight)):
-        root = np.linalg.cholesky(cov[k])
-        away = np.linalg.solve(root, (x - mean[k]).T)
-        out[:, k] = np.log(max(weight[k], 1e-300)) - 0.5 * (away**2).sum(0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
-    return out
+def _terms(x: np.ndarray) -> np.ndarray:
+    """1, each value, and each product of two values of every row."""
+    return np.column_stack([np.ones(len(x)), x, *(x[:, a] * x[:, b] for a, b in combinations_with_replacement(range(x.shape[1]), 2))])
+
+
+def _log_density(weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """What the terms of a row are multiplied by for log(weight times density) of each state: (terms, states)."""
+    d, out = mean.shape[1], []
+    for w, m, c in zip(weight, mean, cov):
+        root = np.linalg.cholesky(c)
+        inverse = np.linalg.inv(c)
+        square = [-inverse[a, b] * (0.5 if a == b else 1.0) for a, b in combinations_with_replacement(range(d), 2)]
+        out.append([np.log(max(w, 1e-300)) - 0.5 * m @ inverse @ m - np.log(np.diag(root)).sum() - 0.5 * d * np.log(2 * np.pi), *(inverse @ m), *square])
+    return np.array(out).T
 
 
 def mixture(rows: DataFrame, columns: list[str], states: int = 4) -> DataFrame:
     """The rows without nulls in ``columns``, with ``state`` 0 .. states - 1: the likeliest component of a Gaussian mixture of the
     standardised columns. Components start from the rows between equal quantiles of the first column; they are numbered by the mean
-    of that column. Without spread or rows every row is in state 0."""
+    of that column. Without spread or rows every row is in state 0.
+
+    The standardised columns are stored once more as blocks of rows, which a round reads as matrices."""
     spark = rows.sparkSession
     path = store.scratch(spark, "mixture")
     rows.where(" and ".join(f"{c} is not null" for c in columns)).write.parquet(path)
@@ -50,35 +58,46 @@ def mixture(rows: DataFrame, columns: list[str], states: int = 4) -> DataFrame:
     centre, width = ([scale[f"{p}{k}"] for k in range(len(columns))] for p in "ms")
     if not all(w and w > 1e-12 for w in width):
         return rows.withColumn("state", F.lit(0))
-    z = F.array(*((F.col(c) - F.lit(m)) / F.lit(w) for c, m, w in zip(columns, centre, width)))
     d = len(columns)
     pairs = list(combinations_with_replacement(range(d), 2))
     names = ["n", *(f"s{k}" for k in range(d)), *(f"p{a}_{b}" for a, b in pairs), "l"]
     cuts = np.array([(v - centre[0]) / width[0] for v in scale["q"]])
     fitted = None
 
-    def shares(x: np.ndarray, model) -> tuple[np.ndarray, float]:
-        if model is None:
-            return np.eye(states)[np.searchsorted(cuts, x[:, 0], side="right")], 0.0
-        log = _log_density(x, *model)
-        top = log.max(1, keepdims=True)
-        part = np.exp(log - top)
-        return part / part.sum(1, keepdims=True), float((top[:, 0] + np.log(part.sum(1))).sum())
+    def matrix(values: list[pa.Array]) -> np.ndarray:
+        return np.column_stack([(v.to_numpy(zero_copy_only=False) - m) / w for v, m, w in zip(values, centre, width)])
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([matrix(batch.columns).tobytes()], pa.binary())], ["x"])
+
+    path = store.scratch(spark, "mixture-blocks")
+    rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(blocks, "x binary").write.parquet(path)
+    stored = spark.read.parquet(path)
     before = None
     for _ in range(ROUNDS):
+        factors = None if fitted is None else _log_density(*fitted)
 
-        def sums(batches: Iterator[pa.RecordBatch], model=fitted) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch], factors=factors) -> Iterator[pa.RecordBatch]:
             total = np.zeros((states, len(names)))
             for batch in batches:
-                if batch.num_rows:
-                    x = batch.column(0).flatten().to_numpy().reshape(-1, d)
-                    part, log = shares(x, model)
-                    total += np.column_stack([part.sum(0), part.T @ x, part.T @ np.column_stack([x[:, a] * x[:, b] for a, b in pairs]), np.full(states, log)])
+                for block in batch.column(0):
+                    x = np.frombuffer(block.as_buffer()).reshape(-1, d)
+                    terms, log = _terms(x), 0.0
+                    if factors is None:
+                        part = np.eye(states)[np.searchsorted(cuts, x[:, 0], side="right")]
+                    else:
+                        part = terms @ factors
+                        top = part.max(1, keepdims=True)
+                        part = np.exp(part - top)
+                        whole = part.sum(1, keepdims=True)
+                        part, log = part / whole, float(top.sum() + np.log(whole).sum())
+                    total += np.column_stack([part.T @ terms, np.full(states, log)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(states)), *(pa.array(total[:, c]) for c in range(len(names)))], names=["state", *names])
 
-        found = rows.select(z.alias("x")).mapInArrow(sums, "state long, " + ", ".join(f"{c} double" for c in names)).groupBy("state").agg(*(F.sum(c).alias(c) for c in names)).orderBy("state").collect()  # one row a state
-        table = np.array([[r[c] for c in names] for r in found])
+        found = stored.mapInArrow(sums, "state long, " + ", ".join(f"{c} double" for c in names)).collect()  # one row a task and state
+        table = np.array([[r[c] for c in names] for r in found]).reshape(-1, states, len(names)).sum(0)
         n = np.maximum(table[:, :1], 1e-12)
         mean, cov = table[:, 1 : d + 1] / n, np.empty((states, d, d))
         for at, (a, b) in enumerate(pairs):
@@ -90,16 +109,13 @@ def mixture(rows: DataFrame, columns: list[str], states: int = 4) -> DataFrame:
         if before is not None and abs(likelihood - before) < SETTLED:
             break
         before = likelihood if likelihood else None
-    rank = np.argsort(np.argsort(fitted[1][:, 0], kind="stable"), kind="stable")
-
-    @F.pandas_udf("int")
-    def state(values):
-        x = np.array(values.tolist()).reshape(-1, d)
-        import pandas as pd
+    rank, factors = np.argsort(np.argsort(fitted[1][:, 0], kind="stable"), kind="stable").astype(np.int32), _log_density(*fitted)
 
-        return pd.Series(rank[_log_density(x, *fitted).argmax(1)].astype(np.int32))
+    @F.arrow_udf("int")
+    def state(*values: pa.Array) -> pa.Array:
+        return pa.array(rank[(_terms(matrix(values)) @ factors).argmax(1)])
 
-    return rows.withColumn("state", state(z))
+    return rows.withColumn("state", state(*(F.col(c).cast("double") for c in columns)))
 
 
 def labelled(rows: DataFrame, ret: str = "ret", least: int = 10) -> DataFrame:
