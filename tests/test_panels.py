@@ -37,3 +37,25 @@ def test_signature_slope_against_a_loop(spark):
             slope = np.polyfit(*zip(*points), 1)[0]
         want.append(slope)
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_a_rank_takes_one_sort_and_counts_ties(spark):
+    from tidemark.functions import frames as fr
+
+    rows = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 1.0), (1, None), (1, 3.0), (2, 0.0), (2, -0.0)], "date int, x double")
+    out = rows.select("date", "x", fr.pct_rank("x").alias("r"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted((r.date, str(r.x), r.r) for r in out.collect()) == sorted([(1, "2.0", 2.5 / 4), (1, "2.0", 2.5 / 4), (1, "1.0", 0.25), (1, "None", None), (1, "3.0", 1.0), (2, "0.0", 0.75), (2, "-0.0", 0.75)], key=lambda r: r[:2])
+
+
+def test_bars_are_dealt_once_over_partitions_that_grow_with_the_ticks(spark, sf_dir, monkeypatch):
+    """A symbol's ticks meet in one partition, so bars and windows by symbol share the only shuffle; a task keeps a bounded share."""
+    from tidemark.functions import frames as fr
+    from tidemark.sources import market
+
+    monkeypatch.setattr(market, "DEALT", 500)
+    n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    out = market.daily_bars(spark, sf_dir).withColumn("r", fr.change("close"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert out.rdd.getNumPartitions() == n
+    assert market.by_date(spark, sf_dir)(out).rdd.getNumPartitions() == n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,9 +11,10 @@ from pyspark.sql.window import Window
 from ..functions import frames as fr
 
 
-def momentum_ranks(bars: DataFrame) -> DataFrame:
-    """Ranks of 5-, 21- and 63-row returns and of the inverse volatility; 0.5 where there is none."""
+def momentum_ranks(bars: DataFrame, deal: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Ranks of 5-, 21- and 63-row returns and of the inverse volatility; 0.5 where there is none. ``deal`` may deal rows by date."""
     out = bars.withColumn("ret", fr.change("close")).withColumn("_v", fr.rolling("std", "ret", 21)).withColumns({f"_m{n}": fr.change("close", n) for n in (5, 21, 63)})
+    out = deal(out.select("symbol", "date", "_v", "_m5", "_m21", "_m63"))
     return out.select("symbol", "date", *(F.coalesce(fr.pct_rank(f"_m{n}"), F.lit(0.5)).alias(f"rank_{n}") for n in (5, 21, 63)), F.coalesce(1 - fr.pct_rank("_v"), F.lit(0.5)).alias("rank_calm"), (F.col("_m21") - F.avg("_m21").over(fr.across("date"))).alias("relative_strength"))
 
 
