@@ -59,3 +59,19 @@ def test_bars_are_dealt_once_over_partitions_that_grow_with_the_ticks(spark, sf_
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert out.rdd.getNumPartitions() == n
     assert market.by_date(spark, sf_dir)(out).rdd.getNumPartitions() == n
+
+
+def test_path_shapes_join_nothing_and_sort_no_frame(spark):
+    import datetime
+
+    import numpy as np
+
+    from tidemark.operators import shapes
+
+    x = np.random.default_rng(5).normal(size=40)
+    for w in (5, 21):
+        got = shapes.last_quantile(x, (0.95, 0.05), w)
+        assert all(np.allclose(got[q], [np.quantile(x[max(0, i - w + 1) : i + 1], q) for i in range(40)]) for q in got)
+    rows = [(s, datetime.date(2020, 1, 1) + datetime.timedelta(k), 5.0 + s + (k * k) % 7) for s in (0, 1) for k in range(3)]
+    plan = shapes.regime_path_shape(spark.createDataFrame(rows, "symbol long, date date, close double"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "percentile" not in plan
