@@ -78,9 +78,10 @@ def rough_path(bars: DataFrame, n: int = 20) -> DataFrame:
 def tail_probabilities(bars: DataFrame, n: int = 60, move: float = 1.5) -> DataFrame:
     """Cornish-Fisher probability of a move beyond ``move`` deviations, and the standardised fifth moment."""
     out = bars.withColumn("ret", fr.change("close"))
+    out = out.withColumns({f"_p{k}": F.pow("ret", F.lit(k)) for k in (2, 3, 4, 5)})  # once a row, not once a row and frame
     w = fr.last_rows(n)
     mean, sd = F.avg("ret").over(w), F.stddev_pop("ret").over(w)
-    p = {k: F.avg(F.pow("ret", F.lit(k))).over(w) for k in (2, 3, 4, 5)}
+    p = {k: F.avg(f"_p{k}").over(w) for k in (2, 3, 4, 5)}
     m3 = p[3] - 3 * mean * p[2] + 2 * F.pow(mean, F.lit(3))
     m5 = p[5] - 5 * mean * p[4] + 10 * mean * mean * p[3] - 10 * F.pow(mean, F.lit(3)) * p[2] + 4 * F.pow(mean, F.lit(5))
     full = F.count("ret").over(w) >= n
