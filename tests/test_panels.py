@@ -75,3 +75,13 @@ def test_path_shapes_join_nothing_and_sort_no_frame(spark):
     rows = [(s, datetime.date(2020, 1, 1) + datetime.timedelta(k), 5.0 + s + (k * k) % 7) for s in (0, 1) for k in range(3)]
     plan = shapes.regime_path_shape(spark.createDataFrame(rows, "symbol long, date date, close double"))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "percentile" not in plan
+
+
+def test_frames_raise_no_powers_and_sort_once(spark):
+    from tidemark.operators import features, micro
+
+    rows = spark.createDataFrame([(1, 1, 2.0)], "symbol long, date int, close double")
+    plan = lambda out: out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan(features.tail_probabilities(rows)).split("\n") if "Window [" in line]
+    assert windows and not any("POWER" in line.upper() for line in windows)
+    assert plan(micro.path_shape(rows)).count("percentile(") == 1

@@ -117,10 +117,10 @@ def path_shape(bars: DataFrame, n: int = 21) -> DataFrame:
     w = fr.last_rows(n)
     full = F.count("ret").over(w) >= n
     down = F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")).when(F.col("ret").isNotNull(), 0.0)
-    q = lambda x: F.percentile("ret", F.lit(x)).over(w)
-    return out.withColumn("_down", down).select(
+    q = F.percentile("ret", F.array(F.lit(0.95), F.lit(0.05))).over(w)  # a frame is sorted once
+    return out.withColumns({"_down": down, "_q": q}).select(
         "symbol", "date", F.when(full, fr.corrected_skew("ret", w)).alias("skew"), F.when(full, fr.corrected_kurtosis("ret", w)).alias("kurt"), F.when(full, F.sqrt(F.avg("_down").over(w))).alias("downside"),
-        F.when(full, fr.div(F.abs(q(0.95)), F.abs(q(0.05)))).alias("tail_ratio"), F.when(full, fr.div(F.max(F.abs("ret")).over(w), F.sum(F.abs("ret")).over(w))).alias("jumpiness"),
+        F.when(full, fr.div(F.abs(F.col("_q")[0]), F.abs(F.col("_q")[1]))).alias("tail_ratio"), F.when(full, fr.div(F.max(F.abs("ret")).over(w), F.sum(F.abs("ret")).over(w))).alias("jumpiness"),
     )
 
 
