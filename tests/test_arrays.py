@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import arrays as ar
 from tidemark.functions import frames as fr
 from tidemark.operators import states
+from tidemark.plans import catalog
 
 DAY = datetime.date(2020, 1, 1)
 
@@ -45,3 +46,14 @@ def test_states_look_back_without_frames_that_are_gone_through_for_every_row(spa
     df = panel(spark).withColumnRenamed("x", "ret")
     for made in (states.symbol_states(states.with_market(df)), states.single_symbol_states(df)):
         assert "RowFrame, -62" not in plan(made) and "RowFrame, -20" not in plan(made)
+
+
+#: What the plan of a query held before its frames became steps over arrays.
+GONE = {
+    "R5_dependence": "collect_list",
+}
+
+
+@pytest.mark.parametrize("name", GONE)
+def test_long_frames_are_steps_over_arrays(spark, sf_dir, name):
+    assert GONE[name] not in plan(catalog.queries()[name](spark, sf_dir))
