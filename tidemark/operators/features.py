@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import arrays as ar
 from ..functions import frames as fr
 from . import micro, pairs
 
@@ -47,23 +49,37 @@ def trend_regime(bars: DataFrame, n: int = 60) -> DataFrame:
     return out.select("symbol", "date", F.when(fr.rolling("std", "ret", n) > 0.25, "volatile").when(fit > 0.7, "trending").otherwise("ranging").alias("regime"))
 
 
+def _estimators(bars: DataFrame) -> DataFrame:
+    """The returns of which Roll's spread is made, and the estimators from highs, lows and closes; that from closes and middles has a value only
+    where it is positive."""
+    out = micro.close_mid_spread(micro.high_low_spread(bars)).withColumn("_r", fr.change("close"))
+    return out.select("symbol", "date", "_r", F.col("high_low_spread").alias("_h"), F.when(F.col("close_mid_spread") > 0, F.col("close_mid_spread")).alias("_m"))
+
+
+def _spread(x: dict[str, np.ndarray], n: int = 20) -> None:
+    """The row's median of the three spread estimators that have a value; Roll's as ``micro.roll_spread``."""
+    m, both = ar.products(x["_r"], ar.lag(x["_r"]), n - 1)
+    roll = np.where(m >= n - 1, 2 * np.sqrt(np.maximum(-both / (n - 2), 0.0)), np.nan)
+    low, mid, high = np.sort(np.stack([roll, x["_h"], x["_m"]]), axis=0)  # nulls last
+    x["spread"] = np.where(np.isnan(high), np.where(np.isnan(mid), low, (low + mid) / 2), mid)
+
+
 def consensus_spread(bars: DataFrame) -> DataFrame:
     """The row's median of the three spread estimators that have a value, and 1 less its rank in the symbol's history.
 
     The estimator from closes and middles has a value only where it is positive. Spreads that agree to 12 digits tie.
     """
-    out = micro.close_mid_spread(micro.high_low_spread(micro.roll_spread(bars)))
-    values = F.array_sort(F.array_compact(F.array("roll_spread", "high_low_spread", F.when(F.col("close_mid_spread") > 0, F.col("close_mid_spread")))))
-    n = F.size(values)
-    middle = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
-    out = out.withColumn("spread", F.when(n > 0, middle))
+    out = ar.along(_estimators(bars), ["_r", "_h", "_m"], ["spread"], _spread)
     return out.select("symbol", "date", "spread", (1 - fr.pct_rank(F.round("spread", 12), "symbol")).alias("liquidity"))
 
 
-def illiquidity_signal(rows: DataFrame, n: int = 20, limit: float = 2.0) -> DataFrame:
+def illiquidity_signal(bars: DataFrame, n: int = 20, limit: float = 2.0) -> DataFrame:
     """z of the spread over the last 5 n rows with n values at least, 0 without a spread of values; -1 where it is beyond ``limit``."""
-    mean, sd = (fr.rolling(kind, "spread", 5 * n, n) for kind in ("mean", "std"))
-    out = rows.withColumn("z", F.when(sd > 1e-12, (F.col("spread") - mean) / sd).otherwise(0.0))
+    def z(x: dict[str, np.ndarray]) -> None:
+        mean, sd = ar.mean(x["spread"], 5 * n, n), ar.std(x["spread"], 5 * n, n)
+        x["z"] = np.where(sd > 1e-12, (x["spread"] - mean) / sd, 0.0)
+
+    out = ar.along(_estimators(bars), ["_r", "_h", "_m"], ["z"], _spread, z)
     return out.select("symbol", "date", "z", F.when(F.col("z") > limit, -1).otherwise(0).alias("signal"))
 
 

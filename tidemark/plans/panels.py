@@ -28,7 +28,7 @@ def consensus_spread(spark, sf_dir):
 @query("M6_illiquidity", sql("rets", f""", {SPREAD}, g AS (SELECT *, CASE WHEN count(spread) OVER {last(100)} >= 20 THEN avg(spread) OVER {last(100)} END AS a, CASE WHEN count(spread) OVER {last(100)} >= 20 THEN stddev_samp(spread) OVER {last(100)} END AS s FROM f),
 h AS (SELECT symbol, date, CASE WHEN s > 1e-12 THEN (spread - a) / s ELSE 0.0 END AS z FROM g) SELECT symbol, date, {r(z='z')}, CASE WHEN z > 2 THEN -1 ELSE 0 END AS signal FROM h"""))
 def illiquidity(spark, sf_dir):
-    return rounded(fe.illiquidity_signal(fe.consensus_spread(m.daily_bars(spark, sf_dir))), "symbol", "date")
+    return rounded(fe.illiquidity_signal(m.daily_bars(spark, sf_dir)), "symbol", "date")
 
 
 @query("W21_residual_stability", sql("rets sectors", f""", x AS (SELECT rets.symbol, date, industry, coalesce(ret, 0.0) AS r FROM rets JOIN sectors ON rets.symbol = sectors.symbol),
