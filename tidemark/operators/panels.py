@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import arrays as ar
 from ..functions import frames as fr
 
 
@@ -23,43 +25,49 @@ def residual_stability(rows: DataFrame, n: int = 64, least: int = 10) -> DataFra
     expand into rolling sums of products of the columns, and nothing is listed. Both are 0 below ``least`` rows; a frame
     whose residuals vanish has stability 1.
     """
-    out = rows.withColumn("_a", F.col("ret") - F.col("peers")).withColumns({"_b": fr.lag("_a"), "_k": fr.lag("market")})
-    frame, pairs = fr.last_rows(n), fr.last_rows(n - 1)
-    out = out.withColumns({
-        "_n": F.count("ret").over(frame),
-        "beta": F.coalesce(fr.div(F.covar_pop("ret", "market").over(frame), F.var_pop("market").over(frame)), F.lit(0.0)),
-        **{name: F.sum(F.col(x) * F.col(y)).over(pairs) for name, x, y in (("_ab", "_a", "_b"), ("_mb", "market", "_b"), ("_ak", "_a", "_k"), ("_mk", "market", "_k"), ("_bb", "_b", "_b"), ("_bk", "_b", "_k"), ("_kk", "_k", "_k"))},
-    })
-    beta = F.col("beta")
-    product = F.col("_ab") - beta * (F.col("_mb") + F.col("_ak")) + beta * beta * F.col("_mk")
-    square = F.col("_bb") - 2 * beta * F.col("_bk") + beta * beta * F.col("_kk")
-    steady = F.when(square > 1e-12 * F.col("_bb"), F.greatest(1 - F.abs(product / square), F.lit(0.0))).otherwise(1.0)
-    enough = F.col("_n") >= least
-    return out.select("symbol", "date", F.when(enough, beta).otherwise(0.0).alias("beta"), F.when(enough, steady).otherwise(0.0).alias("stability"))
+    def step(x: dict[str, np.ndarray]) -> None:
+        ret, market = x["ret"], x["market"]
+        a = ret - x["peers"]
+        b, k = ar.lag(a), ar.lag(market)
+        _, both = ar.products(ret, market, n)
+        beta = ar.known(ar.div(both, ar.moments(market, n)[2]))
+        ab, mb, ak, mk, bb, bk, kk = ar.total(np.stack([a * b, market * b, a * k, market * k, b * b, b * k, k * k]), n - 1)
+        product = ab - beta * (mb + ak) + beta * beta * mk
+        square = bb - 2 * beta * bk + beta * beta * kk
+        steady = np.where(square > 1e-12 * bb, np.maximum(1 - np.abs(ar.div(product, square)), 0.0), 1.0)
+        enough = ar.count(ret, n) >= least
+        x["beta"], x["stability"] = np.where(enough, beta, 0.0), np.where(enough, steady, 0.0)
+
+    return ar.along(rows.select("symbol", "date", "ret", "market", "peers"), ["ret", "market", "peers"], ["beta", "stability"], step).select("symbol", "date", "beta", "stability")
 
 
 def signature_slope(bars: DataFrame, n: int = 60, every: int = 5, least: int = 20, steps: tuple[int, ...] = (1, 2, 5, 10, 15), periods: int = 252) -> DataFrame:
     """Slope of the volatility signature on the sampling step, at every fifth row over its last n closes, carried forward.
 
-    A step counts if it leaves two returns; 0 before the first slope.
+    A step counts if it leaves two returns; 0 before the first slope. The windows of a symbol are the rows of one matrix.
     """
-    place = F.row_number().over(fr.series()) - least
-    rows = bars.withColumn("_c", F.when((place >= 0) & (place % every == 0), F.collect_list("close").over(fr.last_rows(n))))
-
-    def volatility(step: int) -> Column:
-        taken = F.filter("_c", lambda x, i: i % step == 0)
-        moves = F.filter(F.zip_with(F.slice(taken, 2, n), taken, lambda x, y: F.log(x / y)), lambda v: v.isNotNull())
-        total, square = F.aggregate(moves, F.lit(0.0), lambda s, v: s + v), F.aggregate(moves, F.lit(0.0), lambda s, v: s + v * v)
-        k = F.size(moves)
-        return F.when(k >= 2, F.sqrt(F.greatest(square - total * total / k, F.lit(0.0)) / (k - 1) * (periods / step)))
-
-    rows = rows.withColumns({f"_v{s}": volatility(s) for s in steps})
-    there = {s: F.col(f"_v{s}").isNotNull().cast("double") for s in steps}
-    total = lambda value: sum((value(s) for s in steps), F.lit(0.0))
-    k, sx, sxx = total(lambda s: there[s]), total(lambda s: there[s] * s), total(lambda s: there[s] * s * s)
-    sy, sxy = total(lambda s: F.coalesce(F.col(f"_v{s}"), F.lit(0.0))), total(lambda s: s * F.coalesce(F.col(f"_v{s}"), F.lit(0.0)))
-    rows = rows.withColumn("_slope", F.when(k >= 2, fr.div(k * sxy - sx * sy, k * sxx - sx * sx)))
-    return rows.select("symbol", "date", F.coalesce(F.last("_slope", True).over(fr.so_far()), F.lit(0.0)).alias("slope"))
+    def step(x: dict[str, np.ndarray]) -> None:
+        close = x["close"]
+        due = np.arange(least, len(close) + 1, every) - 1
+        windows = np.full((len(due), n), np.nan)
+        for row, i in zip(windows, due, strict=True):
+            there = close[max(i + 1 - n, 0) : i + 1]
+            there = there[~np.isnan(there)]
+            row[: len(there)] = there
+        there, vol = np.zeros((len(due), len(steps))), np.zeros((len(due), len(steps)))
+        for j, s in enumerate(steps):
+            ratio = windows[:, s::s] / windows[:, : (n - 1) // s * s : s]
+            moves = np.where(ratio > 0, np.log(ratio), np.nan)
+            k = (~np.isnan(moves)).sum(1)
+            away = ar.known(moves - (ar.known(moves).sum(1) / np.maximum(k, 1))[:, None])
+            there[:, j], vol[:, j] = k >= 2, np.where(k >= 2, np.sqrt((away * away).sum(1) / np.maximum(k - 1, 1) * (periods / s)), 0.0)
+        at = np.array(steps, float)
+        k, sx, sxx, sy, sxy = there.sum(1), there @ at, there @ (at * at), vol.sum(1), vol @ at
+        slope = np.full(len(close), np.nan)
+        slope[due] = np.where(k >= 2, ar.div(k * sxy - sx * sy, k * sxx - sx * sx), np.nan)
+        x["slope"] = ar.carried(slope)
+
+    return ar.along(bars.select("symbol", "date", "close"), ["close"], ["slope"], step).select("symbol", "date", "slope")
 
 
 def drift_adjusted(rows: DataFrame, least: float = 5.0, days: int = 60, up: float = 1.25, down: float = 0.85) -> DataFrame:
