@@ -50,6 +50,7 @@ def test_states_look_back_without_frames_that_are_gone_through_for_every_row(spa
 
 #: What the plan of a query held before its frames became steps over arrays.
 GONE = {
+    "W15_all_interactions": "RowFrame, -199",
     "W21_residual_stability": "RowFrame, -62",
     "M34_signature_slope": "collect_list",
     "W14_momentum_quality": "RowFrame, -62",

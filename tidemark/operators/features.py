@@ -19,6 +19,40 @@ def interactions(bars: DataFrame) -> DataFrame:
     return out.select("symbol", "date", (F.col("_m") * F.col("_v")).alias("momentum_x_vol"), (F.col("_m") * F.col("_q")).alias("momentum_x_volume"), (F.col("_v") * F.col("_r")).alias("vol_x_range"), (F.col("ret") * F.col("_q")).alias("ret_x_volume"))
 
 
+_INPUTS = ["ret", "rsi", "adx", "bb_position", "momentum", "volatility", "volume_ratio", "drawdown", "regime_volatility", "sma_cross", "trend", "meanrev"]
+
+
+def _oscillators(x: dict[str, np.ndarray], n: int = 14) -> None:
+    """As ``technical.rsi``, ``adx`` and the position of ``bollinger``."""
+    high, low, close = x["high"], x["low"], x["close"]
+    before, up, down = ar.lag(close), ar.known(high - ar.lag(high)), ar.known(ar.lag(low) - low)
+    d = ar.known(close - before)
+    x["rsi"] = 100 - 100 / (1 + ar.known(ar.div(ar.ema(np.maximum(d, 0.0), n), ar.ema(np.maximum(-d, 0.0), n))))
+    ranges = ar.ema(np.fmax(high - low, np.fmax(np.abs(high - before), np.abs(low - before))), n)
+    plus = ar.known(100 * ar.div(ar.ema(np.where((up > down) & (up > 0), up, 0.0), n), ranges))
+    minus = ar.known(100 * ar.div(ar.ema(np.where((down > up) & (down > 0), down, 0.0), n), ranges))
+    x["adx"] = ar.ema(ar.known(100 * ar.div(np.abs(plus - minus), plus + minus)), n)
+    lower, upper = x["mean_20"] - 2.0 * x["std_20"], x["mean_20"] + 2.0 * x["std_20"]
+    x["bb_position"] = ar.div(close - lower, upper - lower)
+
+
+def _moves(x: dict[str, np.ndarray]) -> None:
+    close = x["close"]
+    x["mean_20"], x["std_20"] = ar.mean(close, 20), ar.std(close, 20)
+    ret = x["ret"] = ar.div(close, ar.lag(close)) - 1
+    x["momentum"], x["volatility"], x["regime_volatility"] = ar.div(close, ar.lag(close, 63)) - 1, ar.std(ret, 21), ar.std(ret, 20) * np.sqrt(252.0)
+    x["volume_ratio"], x["drawdown"] = ar.div(x["volume"], ar.mean(x["volume"], 20)), ar.div(close, ar.largest(close, 252)) - 1
+    middle, z = ar.mean(close, 50), ar.div(close - x["mean_20"], x["std_20"])
+    x["sma_cross"], x["trend"] = ar.div(middle, ar.mean(close, 200)) - 1, np.sign(ar.div(x["mean_20"], middle) - 1)
+    x["meanrev"] = np.where(z > 2, -1.0, np.where(z < -2, 1.0, 0.0))
+
+
+def interaction_inputs(bars: DataFrame) -> DataFrame:
+    """symbol, date and what ``all_interactions`` multiplies, but the tone: one step over a symbol's bars without nulls."""
+    bars = bars.select("symbol", "date", "high", "low", "close", "volume")
+    return ar.along(bars, ["high", "low", "close", "volume"], _INPUTS, _moves, _oscillators).select("symbol", "date", *_INPUTS)
+
+
 def all_interactions(rows: DataFrame) -> DataFrame:
     """The twelve products of tone, momentum, volatility, oscillators, volume, drawdown and signals, of rows that have them as columns.
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.frames import across, change, div, last_rows, rolling, rounded, zscore
+from ..functions.frames import across, div, rounded
 from ..operators import features as fe
 from ..operators import paths as p
-from ..operators import technical as t
 from ..sources import market as m
 from .recursions import recursive
 from .registry import ORACLES, query, sql
@@ -97,12 +96,7 @@ j AS (SELECT b.*, (x.rsi - 50) / 50 AS ri, y.adx / 100 AS ad, z.bb_position - 0.
 SELECT symbol, date, {r(tone_x_momentum='tone * mom', tone_x_volatility='tone * vol', tone_x_rsi='tone * ri', tone_x_volume='tone * vr', momentum_x_volatility='mom * vol', rsi_x_adx='ri * ad', bb_position_x_volume='bp * vr', returns_x_volume='ret * vr', drawdown_x_tone='dd * tone', trend_x_meanrev='tr * mr', regime_vol_x_momentum='rv * mom', sma_cross_x_adx='sx * ad')} FROM j"""))
 def all_interactions(spark, sf_dir):
     """Oscillators as they are reported, to 6 digits; a date without an article has no tone."""
-    bars = m.daily_bars(spark, sf_dir)
-    rows = t.matrix(bars).withColumn("ret", change("close"))
-    rows = rows.withColumns({c: F.round(c, 6) for c in ("rsi", "adx", "bb_position")} | {
-        "momentum": change("close", 63), "volatility": rolling("std", "ret", 21), "volume_ratio": div("volume", rolling("mean", "volume", 20)), "drawdown": div("close", F.max("close").over(last_rows(252))) - 1,
-        "regime_volatility": rolling("std", "ret", 20) * F.sqrt(F.lit(252.0)), "sma_cross": div(rolling("mean", "close", 50), rolling("mean", "close", 200)) - 1,
-        "trend": F.signum(div(rolling("mean", "close", 20), rolling("mean", "close", 50)) - 1), "meanrev": F.when(zscore("close", 20) > 2, -1.0).when(zscore("close", 20) < -2, 1.0).otherwise(0.0),
-    })
+    rows = fe.interaction_inputs(m.daily_bars(spark, sf_dir))
+    rows = rows.withColumns({c: F.round(c, 6) for c in ("rsi", "adx", "bb_position")})
     tone = m.articles(spark, sf_dir).groupBy("symbol", "date").agg(F.avg((F.col("n_chars") % 200) / 100.0 - 1).alias("tone"))
     return rounded(fe.all_interactions(rows.join(tone, ["symbol", "date"], "left").withColumn("tone", F.coalesce("tone", F.lit(0.0)))), *KEYS)
