@@ -152,7 +152,8 @@ def options_signal(options: DataFrame, n: int = 10) -> DataFrame:
 
 def social_signal(daily: DataFrame, n: int = 5) -> DataFrame:
     """z of the change of the sentiment and of the volume; contrarian at extremes of both."""
-    out = daily.withColumn("_d", F.col("sentiment") - fr.lag("sentiment")).withColumn("sentiment_z", fr.zscore("_d", n, 3)).withColumn("volume_z", fr.zscore("volume", n, 3))
+    z = lambda c: fr.div(F.col(c) - fr.rolling("mean", c, n, 3), fr.stepped_std(c, n, 3))
+    out = daily.withColumn("_d", F.col("sentiment") - fr.lag("sentiment")).withColumns({"sentiment_z": z("_d"), "volume_z": z("volume")})
     return out.select("symbol", "date", "sentiment_z", "volume_z", F.when((F.col("sentiment_z") > 1) & (F.col("volume_z") > 1), -1).when((F.col("sentiment_z") < -1) & (F.col("volume_z") > 1), 1).otherwise(0).alias("signal"))
 
 
