@@ -32,6 +32,16 @@ def test_equal_scores_go_to_the_first_provider(spark):
     assert {r["provider"] for r in out.collect()} == {"a"}
 
 
+def test_shares_on_a_half_round_as_in_the_sql(spark):
+    """R3_event_panel: on a date with 1,280 rows the percentile 82 / 1280 ends with a 5 after the sixth digit."""
+    x = [k / 1280 for k in range(1, 1281)] + [k / 12800 for k in range(1, 12801)] + [-41 / 640, 1e-9, 1e300, 1e305, math.inf, -math.inf]
+    for digits in (6, 8):
+        got = [r.x for r in frames.rounded(spark.createDataFrame(list(enumerate(x)), "k long, x double").coalesce(1), "k", digits=digits).orderBy("k").collect()]
+        con = duckdb.connect()
+        con.register("t", pa.table({"k": range(len(x)), "x": x}))
+        assert got == [r[0] for r in con.execute(f"SELECT round(x, {digits}) FROM t ORDER BY k").fetchall()]
+
+
 def test_a_change_of_one_deviation_is_on_the_same_side_as_in_the_sql(spark, tmp_path):
     """R30_social_signal: sentiments 1, 1, x, 1 change by 0, x - 1, 1 - x, whose last z is 1 but for rounding."""
     rows = [(4 * u + day, f"2024-01-0{day + 1} 10:00:00", u, 100.0 if day != 2 else u / 4, '{"k": %d}' % (90 if day == 3 else 1 + (u + day) % 5)) for u in range(400) for day in range(4)]
