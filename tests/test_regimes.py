@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import frames
 from tidemark.operators import regimes, text
 
 DAY = datetime.date(2020, 1, 1)
@@ -100,3 +101,44 @@ def test_a_round_shuffles_nothing_and_reads_blocks(spark, planted, monkeypatch):
     cov, weight = half @ half.transpose(0, 2, 1) + 0.1 * np.eye(2), np.array([0.2, 0.3, 0.5])
     plain = [[np.log(w) - 0.5 * (v - m) @ np.linalg.inv(c) @ (v - m) - 0.5 * np.log(np.linalg.det(2 * np.pi * c)) for w, m, c in zip(weight, mean, cov)] for v in x]
     assert np.allclose(regimes._terms(x) @ regimes._log_density(weight, mean, cov), plain)
+
+
+def test_quantiles_from_counts_of_bits_are_exact(spark):
+    """No task gathers the values: 0.25 and 0.75 of blocks with negative, equal, huge and tiny values, in several files."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 1001):
+        x = np.round(rng.normal(size=n), 2) * 10.0 ** rng.integers(-200, 200, n)
+        stored = spark.createDataFrame([(bytearray(np.stack([part, part]).tobytes()),) for part in np.array_split(x, 3) if len(part)], "x binary").repartition(2)
+        assert regimes._quantiles(stored, 2, n, [0.0, 0.25, 0.5, 0.75, 1.0]) == pytest.approx(np.quantile(x, [0.0, 0.25, 0.5, 0.75, 1.0]), rel=1e-12)
+
+
+def test_blocks_do_not_depend_on_the_size_of_batches(spark, planted, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    former, sizes, read = spark.conf.get(key), [], type(spark.read).parquet
+
+    def parquet(self, path):
+        out = read(self, path)
+        sizes.append(out.count() if "mixture-blocks" in path else None)
+        return out
+
+    monkeypatch.setattr(type(spark.read), "parquet", parquet)
+    rows = planted.where("y is not null").coalesce(1)
+    want = {(r.symbol, r.date, r.state) for r in regimes.mixture(rows, ["x", "y"], 3).collect()}
+    try:
+        spark.conf.set(key, 100)
+        monkeypatch.setattr(regimes, "BLOCK", 500)
+        got = regimes.mixture(rows, ["x", "y"], 3)
+        assert [n for n in sizes if n is not None] == [1, 3] and {(r.symbol, r.date, r.state) for r in got.collect()} == want
+    finally:
+        spark.conf.set(key, former)
+
+
+def test_features_are_those_of_windows(spark):
+    rng, day = np.random.default_rng(6), F.date_add(F.lit(DAY), F.col("k"))
+    close = [(s, k, float(v) if k % 90 else 0.0) for s in range(2) for k, v in enumerate(np.exp(rng.normal(size=300)))]
+    bars = spark.createDataFrame(close, "symbol long, k int, close double").withColumn("date", day)
+    ret = frames.change("close")
+    want = bars.withColumn("ret", ret).withColumns({"volatility": frames.rolling("std", "ret", 20), "momentum_20": frames.change("close", 20), "momentum_60": frames.change("close", 60), "drawdown": frames.div("close", F.max("close").over(frames.last_rows(252))) - 1})
+    names = ["ret", "volatility", "momentum_20", "momentum_60", "drawdown"]
+    for a, b in zip(regimes.features(bars).orderBy("symbol", "date").collect(), want.orderBy("symbol", "date").collect(), strict=True):
+        assert [a[c] is None for c in names] == [b[c] is None for c in names] and [a[c] or 0 for c in names] == pytest.approx([b[c] or 0 for c in names], rel=1e-9)

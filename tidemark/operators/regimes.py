@@ -14,23 +14,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import arrays as ar
 from ..functions import frames as fr
 from ..sources import store
 
 #: Added to variances of standardised features; gain in log likelihood a row at which the fit ends, and its rounds at most.
 RIDGE, SETTLED, ROUNDS = 1e-6, 1e-6, 200
+#: Rows of a stored block, and rows whose terms are in memory at once.
+BLOCK, STEP = 16_384, 4_096
 
 
 def features(bars: DataFrame) -> DataFrame:
-    """Volatility, momentum over 20 and 60 rows, and drawdown from the last 252 rows' high of each symbol."""
-    out = bars.withColumn("ret", fr.change("close"))
-    out = out.withColumns({"volatility": fr.rolling("std", "ret", 20), "momentum_20": fr.change("close", 20), "momentum_60": fr.change("close", 60)})
-    return out.withColumn("drawdown", fr.div("close", F.max("close").over(fr.last_rows(252))) - 1)
+    """Volatility, momentum over 20 and 60 rows, and drawdown from the last 252 rows' high of each symbol: a step over its rows."""
+
+    def step(series: dict[str, np.ndarray]) -> None:
+        close = series["close"]
+        series.update({name: ar.div(close, ar.lag(close, n)) - 1 for name, n in (("ret", 1), ("momentum_20", 20), ("momentum_60", 60))})
+        series["volatility"], series["drawdown"] = ar.std(series["ret"], 20), ar.div(close, ar.largest(close, 252)) - 1
+
+    return ar.along(bars, ["close"], ["ret", "volatility", "momentum_20", "momentum_60", "drawdown"], step)
 
 
 def _terms(x: np.ndarray) -> np.ndarray:
-    """1, each value, and each product of two values of every row."""
-    return np.column_stack([np.ones(len(x)), x, *(x[:, a] * x[:, b] for a, b in combinations_with_replacement(range(x.shape[1]), 2))])
+    """1, each value, and each product of two values of every row; a term's values are next to each other in memory."""
+    x, pairs = x.T, list(combinations_with_replacement(range(x.shape[1]), 2))
+    out = np.ones((1 + len(x) + len(pairs), x.shape[1]))
+    out[1 : 1 + len(x)] = x
+    for k, (a, b) in enumerate(pairs, 1 + len(x)):
+        np.multiply(x[a], x[b], out=out[k])
+    return out.T
 
 
 def _log_density(weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -44,37 +56,79 @@ def _log_density(weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.nd
     return np.array(out).T
 
 
+def _quantiles(stored: DataFrame, columns: int, n: int, shares: list[float]) -> list[float]:
+    """Exact quantiles of the first column of stored blocks, between the two values next to each. The bits of a double, as a whole number
+    in the order of the doubles, are found 16 at a time from counts, so that no values are gathered."""
+    places = [q * (n - 1) for q in shares]
+    ranks = sorted({int(f(p)) for p in places for f in (np.floor, np.ceil)})
+    prefix, below = dict.fromkeys(ranks, 0), dict.fromkeys(ranks, 0)
+    for shift in (48, 32, 16, 0):
+        wanted = sorted(set(prefix.values()))
+
+        def count(batches: Iterator[pa.RecordBatch], shift=shift, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(wanted), 1 << 16), np.int64)
+            for batch in batches:
+                for block in batch.column(0):
+                    bits = np.frombuffer(block.as_buffer()).reshape(columns, -1)[0].view(np.uint64)
+                    key = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+                    first, digit = key >> np.uint64(shift) >> np.uint64(16), (key >> np.uint64(shift)) & np.uint64(0xFFFF)
+                    for k, start in enumerate(wanted):
+                        total[k] += np.bincount((digit if shift == 48 else digit[first == np.uint64(start)]).astype(np.int64), minlength=1 << 16)
+            k, digit = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(digit.astype(np.int32)), pa.array(total[k, digit])], ["k", "digit", "n"])
+
+        found = stored.mapInArrow(count, "k int, digit int, n long").groupBy("k", "digit").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros((len(wanted), 1 << 16), np.int64)
+        counts[found["k"].to_numpy(), found["digit"].to_numpy()] = found["n"].to_numpy()
+        for r in ranks:
+            so_far = np.cumsum(counts[wanted.index(prefix[r])])
+            digit = int(np.searchsorted(so_far, r - below[r], side="right"))
+            prefix[r], below[r] = prefix[r] << 16 | digit, below[r] + (int(so_far[digit - 1]) if digit else 0)
+    value = {r: float(np.array(k ^ (1 << 63) if k >> 63 else k ^ ((1 << 64) - 1), np.uint64).view(np.float64)) for r, k in prefix.items()}
+    low, high = ([value[int(f(p))] for p in places] for f in (np.floor, np.ceil))
+    return [a if a == b else (np.ceil(p) - p) * a + (p - np.floor(p)) * b for p, a, b in zip(places, low, high)]
+
+
 def mixture(rows: DataFrame, columns: list[str], states: int = 4) -> DataFrame:
     """The rows without nulls in ``columns``, with ``state`` 0 .. states - 1: the likeliest component of a Gaussian mixture of the
     standardised columns. Components start from the rows between equal quantiles of the first column; they are numbered by the mean
     of that column. Without spread or rows every row is in state 0.
 
-    The standardised columns are stored once more as blocks of rows, which a round reads as matrices."""
+    The standardised columns are stored once more as blocks of rows, which a round reads as matrices, column by column."""
     spark = rows.sparkSession
     path = store.scratch(spark, "mixture")
     rows.where(" and ".join(f"{c} is not null" for c in columns)).write.parquet(path)
     rows = spark.read.parquet(path)
-    scale = rows.agg(*(F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)), *(F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(columns)), F.percentile(columns[0], [k / states for k in range(1, states)]).alias("q")).first()
+    scale = rows.agg(*(F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)), *(F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(columns)), F.count("*").alias("n")).first()
     centre, width = ([scale[f"{p}{k}"] for k in range(len(columns))] for p in "ms")
     if not all(w and w > 1e-12 for w in width):
         return rows.withColumn("state", F.lit(0))
     d = len(columns)
     pairs = list(combinations_with_replacement(range(d), 2))
     names = ["n", *(f"s{k}" for k in range(d)), *(f"p{a}_{b}" for a, b in pairs), "l"]
-    cuts = np.array([(v - centre[0]) / width[0] for v in scale["q"]])
     fitted = None
 
     def matrix(values: list[pa.Array]) -> np.ndarray:
         return np.column_stack([(v.to_numpy(zero_copy_only=False) - m) / w for v, m, w in zip(values, centre, width)])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stored(parts: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).T.tobytes()], pa.binary())], ["x"])
+
+        parts, held = [], 0
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([matrix(batch.columns).tobytes()], pa.binary())], ["x"])
+                parts, held = [*parts, matrix(batch.columns)], held + batch.num_rows
+            if held >= BLOCK:
+                yield stored(parts)
+                parts, held = [], 0
+        if parts:
+            yield stored(parts)
 
     path = store.scratch(spark, "mixture-blocks")
-    rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(blocks, "x binary").write.parquet(path)
+    rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(blocks, "x binary").write.option("compression", "none").parquet(path)
     stored = spark.read.parquet(path)
+    cuts = np.array(_quantiles(stored, d, scale["n"], [k / states for k in range(1, states)]))
     before = None
     for _ in range(ROUNDS):
         factors = None if fitted is None else _log_density(*fitted)
@@ -83,17 +137,20 @@ def mixture(rows: DataFrame, columns: list[str], states: int = 4) -> DataFrame:
             total = np.zeros((states, len(names)))
             for batch in batches:
                 for block in batch.column(0):
-                    x = np.frombuffer(block.as_buffer()).reshape(-1, d)
-                    terms, log = _terms(x), 0.0
-                    if factors is None:
-                        part = np.eye(states)[np.searchsorted(cuts, x[:, 0], side="right")]
-                    else:
-                        part = terms @ factors
-                        top = part.max(1, keepdims=True)
-                        part = np.exp(part - top)
-                        whole = part.sum(1, keepdims=True)
-                        part, log = part / whole, float(top.sum() + np.log(whole).sum())
-                    total += np.column_stack([part.T @ terms, np.full(states, log)])
+                    whole = np.frombuffer(block.as_buffer()).reshape(d, -1)
+                    for at in range(0, whole.shape[1], STEP):
+                        x = whole[:, at : at + STEP].T
+                        terms = _terms(x).T
+                        if factors is None:
+                            part = np.eye(states)[:, np.searchsorted(cuts, x[:, 0], side="right")]
+                        else:
+                            part = factors.T @ terms
+                            top = part.max(0)
+                            np.exp(np.subtract(part, top, out=part), out=part)
+                            every = part.sum(0)
+                            part /= every
+                            total[:, -1] += top.sum() + np.log(every).sum()
+                        total[:, :-1] += part @ terms.T
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(states)), *(pa.array(total[:, c]) for c in range(len(names)))], names=["state", *names])
 
         found = stored.mapInArrow(sums, "state long, " + ", ".join(f"{c} double" for c in names)).collect()  # one row a task and state
