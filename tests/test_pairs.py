@@ -143,3 +143,16 @@ def test_pairs_meet_in_tiles_and_never_as_shuffled_rows(spark, sf_dir, name):
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     above = plan.split("FlatMapGroupsInArrow")[0]
     assert plan.count("FlatMapGroupsInArrow") == 1 and "hashpartitioning(a" not in above and "SortMergeJoin" not in above
+
+
+def test_tiles_read_blocks_that_are_stored_once(spark, panel):
+    """Histories are not shuffled to each tile, and a task has few tiles however small their rows are."""
+    found = pairs.tiles(frame(spark, panel), "cluster", "v", 3)
+    rows = found.collect()
+    assert found.columns == ["cluster", "i", "j", "left", "right"] and found.rdd.getNumPartitions() == len(rows) == 20
+    blocks = {r.left for r in rows} | {r.right for r in rows}
+    assert len(blocks) == 8 and sorted((r.cluster, r.i, r.j) for r in rows) == [(c, i, j) for c in range(2) for i in range(4) for j in range(i, 4)]
+    stored = [r.symbol for b in blocks for r in spark.read.parquet(b).collect()]
+    assert sorted(stored) == list(range(23))
+    plan = pairs.statistics(frame(spark, panel), "cluster", "v", 20, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "values" not in plan and "array" not in plan
