@@ -85,6 +85,29 @@ def test_scores_against_a_plain_loop(spark, docs_of, odd_rows, head):
     assert {w: n for w, (n, _) in table.items()} == counts
 
 
+@pytest.mark.parametrize("head", [1 << 18, 12])
+def test_transitions_count_every_word_under_its_own_class(spark, docs_of, odd_rows, head):
+    """Training words beyond the head too, and no pass over all words would raise the likelihood of these counts much further."""
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choice(["aa", "bb", "cc", "dd", f"r{rnd.randrange(60)}", f"s{rnd.randrange(3000)}"]) for _ in range(rnd.randrange(50)))) for i in range(120)] + odd_rows[:7]
+    docs, held_out = docs_of(rows), common.crc_mod(F.col("doc_id"), 7) == 2
+    texts, known, shared, model = brown_lm.train(docs, ~held_out, head, 6, 3, 5)
+    table = {r["word"]: (r["n"], r["cls"]) for r in known.collect()}
+    size = len(model.emission)
+    bigrams, tokens, types = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+    for i, text in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            chain = [0, *(table[w][1] for w in [*WORDS.findall(lower(text or "")), "\n"])]
+            np.add.at(bigrams, (chain[:-1], chain[1:]), 1)
+    for n, c in table.values():
+        tokens[c], types[c] = tokens[c] + n, types[c] + 1
+    want = brown_lm.class_model(bigrams, tokens, types, int(tokens.sum()), len(table), model.ending, model.head)
+    assert np.allclose(model.transition, want.transition) and np.allclose(model.emission, want.emission)
+    # Words seen once move too.
+    former = {w: int(model.ending[shared.value.unit(w.encode())]) for w, (n, _) in table.items() if n == 1 and w != "\n"}
+    assert len(former) > 300 and sum(table[w][1] != c for w, c in former.items()) > 50
+
+
 def test_words_move_to_the_class_of_their_neighbours():
     n = np.array([[0, 50, 50], [60, 5, 400], [40, 410, 5]], float)
     # Words of class 1 are followed by class 2 and the other way round; both stand in class 1 at first.
