@@ -156,3 +156,9 @@ def test_tiles_read_blocks_that_are_stored_once(spark, panel):
     assert sorted(stored) == list(range(23))
     plan = pairs.statistics(frame(spark, panel), "cluster", "v", 20, 3)._jdf.queryExecution().executedPlan().toString()
     assert "values" not in plan and "array" not in plan
+
+
+def test_pairs_are_never_broadcast(spark, sf_dir):
+    """V42_correlation_regime: a tile's row is small, its pairs are not."""
+    plan = catalog.queries()["V42_correlation_regime"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan.split("FlatMapGroupsInArrow")[0]

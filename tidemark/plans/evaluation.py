@@ -147,7 +147,8 @@ def stress_windows(spark, sf_dir):
 @query("V42_correlation_regime", sql("bars sectors", f""", {PAIRS}, c AS (SELECT industry, correlation FROM ps JOIN sectors ON ps.a = sectors.symbol)
 SELECT industry, count(correlation) AS n, round(avg(correlation), 6) AS mean_correlation, count(CASE WHEN abs(correlation) > 0.2 THEN 1 END) AS alerts, CASE WHEN avg(correlation) > 0.05 THEN 'high' WHEN avg(correlation) < 0 THEN 'low' ELSE 'normal' END AS regime FROM c GROUP BY industry"""))
 def correlation_regime(spark, sf_dir):
-    pairs = pair_table(spark, sf_dir).join(m.sectors(spark, sf_dir).select(F.col("symbol").alias("a"), "industry"), "a")
+    # The plan cannot tell how many pairs a tile gives, so it is told which side is small.
+    pairs = pair_table(spark, sf_dir).join(F.broadcast(m.sectors(spark, sf_dir).select(F.col("symbol").alias("a"), "industry")), "a")
     return rounded(e.correlation_regime(pairs, "industry"), "industry", "n", "alerts")
 
 
